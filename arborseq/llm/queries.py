@@ -31,12 +31,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2, digest=True)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .simhash import near_groups
+
+    groups = near_groups(_table(spark, sf_dir, "documents"), shingle=3, seed=42)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -49,9 +64,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op3_bpe, op6_packing, op8_exact_dedup, op9_token_counts)
+    for f in (op1_warc, op3_bpe, op5_language_id, op6_packing, op7_simhash, op8_exact_dedup, op9_token_counts, op10_neighbours)
 }
 
 _B32 = " || ".join(
