@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship, texts
+from .common import Numbers, ship, texts
 
 #: No merge joins a pair of this rank.
 NONE = np.int64(1 << 40)
@@ -58,11 +58,10 @@ class Ranks:
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
-        self.cache: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.cache = {}
+        self.cache = Numbers()
         self.ids = np.zeros(0, dtype=np.uint32)
         self.word_starts = np.zeros(1, dtype=np.int64)
 
@@ -166,15 +165,12 @@ class Ranks:
         cut = [find(x) for x in docs]
         if len(self.cache) > CACHE_WORDS:
             self.clear()
-        cache = self.cache
-        fresh = list(set().union(*cut).difference(cache))
-        if fresh:
-            ids, starts = self.replay([w.encode("utf-8", "surrogatepass") for w in fresh])
-            base = len(cache)
-            cache.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+        flat = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        if self.cache.fresh:
+            ids, starts = self.replay([w.encode("utf-8", "surrogatepass") for w in self.cache.fresh])
+            self.cache.fresh = []
             self.word_starts = np.concatenate([self.word_starts, starts[1:] + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
-        flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
         lengths = self.word_starts[flat + 1] - self.word_starts[flat]
         ids = gather(self.ids, self.word_starts[flat], lengths)
         ends = np.concatenate([[0], np.cumsum(lengths)])

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE = Path(__file__).resolve().parent.parent
+from ..functions.shipping import ship as ship_code
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -41,21 +38,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it installed (once per context)."""
-    sc = spark.sparkContext
-    # texts may be long: small batches bound what a Python worker holds
+    """Prepare a session for Python workers: the package's code, and small batches, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
-    if getattr(sc, "_arborseq_shipped", False):
-        return
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent).as_posix())
-    folder = tempfile.mkdtemp(prefix="arborseq-")
-    path = os.path.join(folder, f"arborseq-{uuid.uuid4().hex[:8]}.zip")
-    Path(path).write_bytes(data.getvalue())
-    sc.addPyFile(path)
-    sc._arborseq_shipped = True
+    ship_code(spark)
+
+
+class Numbers(dict):
+    """Numbers strings in the order they are first looked up; ``fresh`` gathers those new since it was last emptied."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:

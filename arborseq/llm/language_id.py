@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .common import ship, texts
+from .common import Numbers, ship, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -70,7 +70,7 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.rows = np.zeros((0, len(self.model.langs)))
 
     def sums(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +78,11 @@ class Scorer:
         if len(self.number) > CACHE_WORDS:
             self.clear()
         cut = [_WORD.findall(x.lower()) for x in docs]
-        fresh = list(set().union(*cut).difference(self.number))
-        if fresh:
-            n = len(self.number)
-            self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        if self.number.fresh:
+            fresh, self.number.fresh = self.number.fresh, []
             new = np.array([self.model.score(w) if w.isalpha() else np.zeros(len(self.model.langs)) for w in fresh])
             self.rows = np.concatenate([self.rows, new])
-        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
         out = np.zeros((len(docs), len(self.model.langs)))
         at = 0
         for i, words in enumerate(cut):

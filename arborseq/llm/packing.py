@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import blocks, gather
-from .common import ship, texts
+from .common import Numbers, ship, texts
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 BLOCK_TOKENS = 4_000_000
 
 
@@ -52,7 +52,7 @@ class WordTokenizer:
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
@@ -63,6 +63,10 @@ class WordTokenizer:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special = [t["content"] for t in config["added_tokens"]]
         self.library = Tokenizer.from_file(path)
+        # for words that are normalised and split already
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         end = config["model"]["end_of_word_suffix"]
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=bool)
@@ -70,9 +74,19 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.cache = Numbers()
         self.ids = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def trim(self) -> None:
+        """Keep the chunks used most, at most half of what the cache may hold."""
+        floor = max(2, int(np.sort(self.uses)[-CACHE_WORDS // 2])) if len(self.uses) > CACHE_WORDS // 2 else 2
+        at = np.flatnonzero(self.uses > floor)
+        chunks = list(self.cache)
+        lengths = self.starts[at + 1] - self.starts[at]
+        self.ids, self.starts, self.uses = gather(self.ids, self.starts[at], lengths), np.concatenate([[0], np.cumsum(lengths)]), self.uses[at]
+        self.cache = Numbers((chunks[i], n) for n, i in enumerate(at.tolist()))
 
     @staticmethod
     def normal(text: str) -> str:
@@ -83,7 +97,7 @@ class WordTokenizer:
         found, ends, base = [], [], 0
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self.merges.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
             stops = np.flatnonzero(self.is_end[ids]) + 1
             if len(stops) != len(part):  # a word the library splits or joins otherwise: one by one
                 each = [self.library.encode(w, add_special_tokens=False).ids for w in part]
@@ -106,19 +120,20 @@ class WordTokenizer:
         ends = scan[np.cumsum([len(x) for x in cut])]
         self.starts = np.concatenate([self.starts, ends + len(self.ids)])
         self.ids = np.concatenate([self.ids, gather(ids, at[flat], lengths)])
-        n = len(self.cache)
-        self.cache.update(zip(fresh, range(n, n + len(fresh)), strict=True))
 
     def spell(self, docs: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each followed by ``end_id``, and where each document's begin."""
         whole = {i for i, x in enumerate(docs) if not AGREED(x) or any(s in x for s in self.special)}
         cut = [[] if i in whole else self.normal(x).split() for i, x in enumerate(docs)]
         if len(self.cache) > CACHE_WORDS:
-            self.clear()
-        fresh = list(set().union(*cut).difference(self.cache))
-        if fresh:
-            self._learn(fresh)
+            self.trim()
         flat = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        if self.cache.fresh:
+            self._learn(self.cache.fresh)
+            self.cache.fresh = []
+        uses = np.bincount(flat, minlength=len(self.cache))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         lengths = self.starts[flat + 1] - self.starts[flat]
         ids = gather(self.ids, self.starts[flat], lengths)
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)]
