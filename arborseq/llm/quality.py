@@ -235,8 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns."""
+    """The rows of ``docs`` that the classifier keeps, with their columns, whatever their names."""
     model = train(docs, labels, key, text)
-    narrow = with_evidence(docs, model, text, list(dict.fromkeys([host, path])))
-    sites = site_posteriors(narrow, host, path)
-    return judged(with_evidence(docs, model, text), sites, host, path).where("keep").select(*docs.columns)
+    held = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    tagged = docs.select(*[F.col(c).alias(h) for c, h in held.items()])
+    narrow = with_evidence(tagged, model, held[text], list(dict.fromkeys([held[host], held[path]])))
+    sites = site_posteriors(narrow, held[host], held[path])
+    out = judged(with_evidence(tagged, model, held[text]), sites, held[host], held[path]).where("keep")
+    return out.select(*[F.col(h).alias(c) for c, h in held.items()])
