@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.shipping import ship
@@ -27,7 +26,7 @@ def by_cell(df: DataFrame, order: list[str], fn: Callable[[Columns], dict], sche
     call is shared by many small cells.
     """
     ship(df.sparkSession)
-    rows = df.repartition(F.col(cell)).sortWithinPartitions(cell, *order)
+    rows = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell).sortWithinPartitions(cell, *order)
     schema = rows.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     kinds = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
 

@@ -474,14 +474,22 @@ def postorder(ids: list[int], parents: list[int]) -> tuple[list[int], np.ndarray
     return out, np.array(left)
 
 
+def key_roots(left: np.ndarray) -> list[int]:
+    """Of the nodes with one leftmost leaf, the highest."""
+    return sorted({int(x): i for i, x in enumerate(left)}.values())
+
+
 def tree_distance(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> int:
     """Least number of inserted, deleted and relabelled nodes that turns one ordered tree into the other."""
     (na, la), (nb, lb) = postorder(*a), postorder(*b)
-    roots = lambda left: [i for i in range(len(left)) if left[i] not in left[i + 1 :]]
+    ra, rb = key_roots(la), key_roots(lb)
+    if sum(i - la[i] + 1 for i in ra) * len(rb) > sum(j - lb[j] + 1 for j in rb) * len(ra):
+        # the same either way, but rows are worked on whole: fewer and longer ones
+        (na, la, ra), (nb, lb, rb) = (nb, lb, rb), (na, la, ra)
     dist = np.zeros((len(na), len(nb)), dtype=np.int64)
     labels_b = np.array(nb)
-    for i in roots(la):
-        for j in roots(lb):
+    for i in ra:
+        for j in rb:
             ai, bj = int(la[i]), int(lb[j])
             width = j - bj + 2
             table = np.zeros((i - ai + 2, width), dtype=np.int64)
