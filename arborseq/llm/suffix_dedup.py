@@ -19,8 +19,8 @@ Anchors and units are compared by independent 64-bit hashes, 128 bits together.
 
 Texts are shuffled once, into a table bucketed by document; later steps bring only
 positions to it.  Copies within a batch are settled before the shuffle, groups are
-streamed in sorted order rather than held, and anchors that very many differing
-units share are dealt out window by window.
+streamed in sorted order rather than held, and units of anchors that very many share
+are dealt out in pieces, by the bytes that equal windows must have in common.
 """
 
 from __future__ import annotations
@@ -38,8 +38,10 @@ from .common import salted_partitions, shared_dir, ship, stored
 
 GRAM = 24
 SEGMENT = 1 << 20
-#: Anchors with more differing units are dealt out window by window.
-CROWDED = 20_000
+#: Units of anchors that more of them share are cut into pieces of PLACES windows and dealt out by the bytes that all
+#: windows at those places hold.
+BUSY = 1_000
+PLACES = 4
 #: Windows sorted at a time.
 SORTED = 2_000_000
 
@@ -203,35 +205,52 @@ def _settle_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PIECE = "a long, off int, did long, start long, n int, body binary, sure boolean"
 
 
+def pieces(w, did: int, at: int, body: bytes, depth: int) -> Iterator[tuple]:
+    """A unit of a busy anchor by groups of PLACES places: route, offset, document, start, number of windows, bytes.
+
+    Windows at one place of an anchor are equal only if the bytes are that all windows of the group hold, so those
+    bytes make the route: it brings together what can be equal and hardly anything else.
+    """
+    i = 0
+    while i < w["n"]:
+        group = (w["off"] - i) // PLACES
+        end = min(w["n"], w["off"] - group * PLACES + 1)
+        core = at + w["off"] - group * PLACES
+        name = b"%d %d " % (w["a"], group) + body[core : core + depth - PLACES + 1]
+        route = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "big", signed=True)
+        yield route, w["off"] - i, did, w["start"] + i, end - i, body[at + i : at + end + depth - 1]
+        i = end
+
+
 def _fetch_task(depth: int):
-    """The strings of a document's partial units; of crowded anchors, windows one by one, repeated ones in a batch settled."""
+    """The strings of a document's partial units; those of busy anchors in pieces, of which equal ones in a batch are settled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dids, bases = (batch.column(i).to_pylist() for i in (0, 1))
             out: list[tuple] = []
-            seen: dict[tuple, tuple] = {}
-            for did, base, body, wanted in zip(dids, bases, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                for w in sorted(wanted or (), key=lambda w: w["start"]):
+            busy: list[tuple] = []
+            for did, base, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for w in wanted or ():
                     s = w["start"] - base
                     if s < 0 or s + w["n"] + depth - 1 > len(body):
                         continue  # it lies in another row of this document
-                    if not w["crowded"]:
+                    if w["busy"]:
+                        busy += pieces(w, did, s, body, depth)
+                    else:
                         out.append((w["a"], w["off"], did, w["start"], w["n"], body[s : s + w["n"] + depth - 1], False))
-                        continue
-                    for i in range(w["n"]):
-                        window = body[s + i : s + i + depth]
-                        key = (int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True), w["off"] - i)
-                        row = (*key, did, w["start"] + i, 1, window, False)
-                        was = seen.get(key)
-                        if was is None:
-                            seen[key] = row
-                        elif was[2:4] <= row[2:4]:
-                            out.append((row[2] ^ row[3], *row[1:5], b"", True))
-                        else:
-                            seen[key] = row
-                            out.append((was[2] ^ was[3], *was[1:5], b"", True))
-            out += seen.values()
+            busy.sort(key=lambda p: p[2:4])
+            seen: set[tuple] = set()
+            gone: list[list[int]] = []
+            for p in busy:
+                key = (p[0], p[1], p[5])
+                if key not in seen:
+                    seen.add(key)
+                    out.append((*p, False))
+                elif gone and gone[-1][0] == p[2] and gone[-1][1] + gone[-1][2] == p[3]:
+                    gone[-1][2] += p[4]
+                else:
+                    gone.append([p[2], p[3], p[4]])
+            out += [(d * -7046029254386353131 + s & (1 << 62) - 1, 0, d, s, n, b"", True) for d, s, n in gone]
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "off", "did", "start", "n", "body", "sure"])
@@ -372,10 +391,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     clean(spark)
     # further digits: the windows of units that share an anchor and differ
     partial = settled.where(~F.col("whole"))
-    crowded = stored(partial.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).select("a", F.lit(True).alias("crowded")), "crowded")
-    wanted = partial.join(crowded, "a", "left").groupBy("did").agg(F.collect_list(F.struct("a", "off", "start", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted"))
-    pieces = table.select("_did", "_base", "_body").join(wanted, table._did == wanted.did).select("_did", "_base", "_body", "wanted").mapInArrow(_fetch_task(depth), PIECE)
-    sorted_ = stored(pieces.repartition(n, "a").sortWithinPartitions("a", "did", "start").mapInArrow(_sort_task(depth), "did long, start long, n int"), "windows")
+    busy = stored(partial.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUSY).select("a", F.lit(True).alias("busy")), "busy")
+    wanted = partial.join(busy, "a", "left").groupBy("did").agg(F.collect_list(F.struct("a", "off", "start", "n", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("wanted"))
+    fetched = table.select("_did", "_base", "_body").join(wanted, table._did == wanted.did).select("_did", "_base", "_body", "wanted").mapInArrow(_fetch_task(depth), PIECE)
+    sorted_ = stored(fetched.repartition(n, "a").sortWithinPartitions("a", "did", "start").mapInArrow(_sort_task(depth), "did long, start long, n int"), "windows")
     clean(spark)
     removed = settled.where("whole").select("did", "start", "n").union(sorted_)
     spans = removed.groupBy("did").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + depth - 1).alias("end"))).alias("_spans"))
@@ -422,7 +441,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
 
     names = docs.columns
     others = [c for c in names if c not in (key, text)]
-    rows = repeats(docs.withColumn("_null_text", F.col(text).isNull()), key, text, depth, (*others, "_null_text"))
+    held = [f"c{i}" for i in range(len(others))]
+    tagged = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(h) for c, h in zip(others, held, strict=True)], F.col(text).isNull().alias("z"))
+    rows = repeats(tagged, "k", "t", depth, (*held, "z"))
     rows = rows.select("_did", "_null_key", "_base", "_body", "_spans", *[f"_col_{i}" for i in range(len(others) + 1)])
     schema = T.StructType([docs.schema[c] for c in (key, text, *others)])
 
