@@ -20,8 +20,9 @@ def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None) -> Da
 
     Two sets that share k elements share two of the first ``size - k + 2`` in any fixed order (for k = 1, one of the
     first ``size``).  So branches meet on pairs of elements of that prefix, not on single cells: posting lists are far
-    shorter, and a cell that is everywhere no longer makes a list that grows with the square of its branches.
-    Candidates are then verified on the whole sets.  ``between`` (cell_a, cell_b) keeps listed cells only, in
+    shorter, and a cell that is everywhere no longer makes a list that grows with the square of its branches.  Sets
+    come along sorted, so a meeting is verified where it happens and counts only on the first two elements in common:
+    one join, each pair once, nothing to make distinct.  ``between`` (cell_a, cell_b) keeps listed cells only, in
     either order.
     """
     if k < 1:
@@ -36,14 +37,15 @@ def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None) -> Da
     else:
         m = F.size("s") - (k - 2)
         keys = F.flatten(F.transform(F.sequence(F.lit(1), m - 1), lambda i: F.transform(F.sequence(i + 1, m), lambda j: F.struct(F.element_at("s", i).alias("e"), F.element_at("s", j).alias("f")))))
-    posted = sets.select(*BRANCH, F.explode(keys).alias("key"))
+    posted = sets.select(*BRANCH, "s", F.explode(keys).alias("key")).select(*BRANCH, "s", "key.e", "key.f")
     a, b = posted.alias("a"), posted.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.post_cell") < F.col("b.post_cell")))
-    pairs = met.select(F.col("a.post_cell").alias("cell_a"), F.col("a.branch_id").alias("branch_a"), F.col("b.post_cell").alias("cell_b"), F.col("b.branch_id").alias("branch_b")).distinct()
-    if between is not None:
-        pairs = pairs.join(wanted, ["cell_a", "cell_b"], "left_semi")
-    full = fetch(pairs, sets, "s")
-    return full.withColumn("n_shared", F.size(F.array_intersect("s_a", "s_b"))).where(F.col("n_shared") >= k).select(*PAIR, "n_shared")
+    met = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.f") == F.col("b.f")) & (F.col("a.post_cell") < F.col("b.post_cell")))
+    common = F.array_intersect("a.s", "b.s")
+    first = (F.element_at(common, 1) == F.col("a.e")) & (F.lit(True) if k == 1 else F.element_at(common, 2) == F.col("a.f"))
+    pairs = met.where((F.size(common) >= k) & first).select(
+        F.col("a.post_cell").alias("cell_a"), F.col("a.branch_id").alias("branch_a"), F.col("b.post_cell").alias("cell_b"), F.col("b.branch_id").alias("branch_b"), F.size(common).cast("long").alias("n_shared")
+    )
+    return pairs if between is None else pairs.join(wanted, ["cell_a", "cell_b"], "left_semi")
 
 
 def fetch(pairs: DataFrame, branches: DataFrame, *columns: str) -> DataFrame:
