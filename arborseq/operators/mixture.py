@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .by_cell import Columns, by_cell, cells_of
 from .sequences import BRANCH
 from .shuffles import clean_probs
+from .spatial import cells_within
 
 SIX = ["xx", "xy", "xz", "yy", "yz", "zz"]
 #: Covariances with a smaller determinant have no inverse to speak of.
@@ -105,6 +106,17 @@ def score_matrix(rows: DataFrame, mixture: DataFrame, log: bool = False) -> Data
     return every.select(*BRANCH, "i", "j", score.alias("score"))
 
 
+def extended_scores(rows: DataFrame, synapses: DataFrame, mixture: DataFrame, radius: float, log: bool = True) -> DataFrame:
+    """(branch, pre_cell, j, score): as ``score_matrix``, for every cell with a synapse within ``radius`` of the branch that isn't on it."""
+    near = cells_within(rows, synapses, radius, BRANCH)
+    other = near.join(rows.select(*BRANCH, "pre_cell").distinct(), [*BRANCH, "pre_cell"], "left_anti")
+    pairs = other.join(rows.select(*BRANCH, F.col("seq_pos").alias("j"), "x", "y", "z"), BRANCH).withColumnRenamed("pre_cell", "cell_id")
+    key = [*BRANCH, "cell_id", "j"]
+    every = pairs.select(*key).join(density(pairs, mixture, key), key, "left")
+    score = F.col("log_density") if log else F.coalesce("density", F.lit(0.0))
+    return every.select(*BRANCH, F.col("cell_id").alias("pre_cell"), "j", score.alias("score"))
+
+
 def with_scores(branches: DataFrame, scores: DataFrame) -> DataFrame:
     """Nested branches with ``scores``, an array of rows of the matrix, as the axon shuffle takes them."""
     row = scores.groupBy(*BRANCH, "i").agg(F.array_sort(F.collect_list(F.struct("j", "score"))).alias("r"))
@@ -148,7 +160,7 @@ def with_segments(branches: DataFrame, probs: DataFrame) -> DataFrame:
     return branches.join(m, BRANCH, "left").withColumn("segs", segs).drop("m")
 
 
-__all__ = ["clean_probs", "density", "fit", "path_moments", "predict", "score_matrix", "segment_probs", "weighted", "with_scores", "with_segments"]
+__all__ = ["clean_probs", "density", "extended_scores", "fit", "path_moments", "predict", "score_matrix", "segment_probs", "weighted", "with_scores", "with_segments"]
 
 
 def expectation_maximisation(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, precision: np.ndarray, steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6):

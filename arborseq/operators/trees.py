@@ -537,3 +537,8 @@ def path_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     one = met.groupBy("cell_id", "leaf_a").agg(F.min("da").alias("m")).groupBy("cell_id").agg(F.avg("m").alias("a_to_b"))
     two = met.groupBy("cell_id", "leaf_b").agg(F.min("db").alias("m")).groupBy("cell_id").agg(F.avg("m").alias("b_to_a"))
     return one.join(two, "cell_id").select("cell_id", "a_to_b", "b_to_a", ((F.col("a_to_b") + F.col("b_to_a")) / 2).alias("mean"))
+
+
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(cell_id, n_a, n_b, distance, mean): tree edit distance, and mean path distance of both directions."""
+    return edit_distances(a, b).join(path_distances(a, b).select("cell_id", "mean"), "cell_id", "left")

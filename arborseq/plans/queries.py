@@ -163,6 +163,16 @@ def synapse_counts_desc(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "post_cell")))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem")
+def count_lookup(spark, d):
+    return tables.with_counts(tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_suppkey")
+
+
+@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
+def list_tables(spark, d):
+    return spark.createDataFrame([(n,) for n in tables.names(spark, d)], "name string")
+
+
 @query("""WITH few AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)
     SELECT 'kept' AS part, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM few)
     UNION ALL SELECT 'dropped', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM few)""")
@@ -543,6 +553,18 @@ def tree_edit_distance(spark, d):
     return trees.edit_distances(fixtures.tree_chain(spark, d), fixtures.tree_heap(spark, d))
 
 
+@query()
+def tree_compare(spark, d):
+    out = trees.compare(fixtures.tree_chain(spark, d), fixtures.tree_heap(spark, d))
+    return out.withColumn("mean", r6("mean"))
+
+
+@query()
+def extended_scores(spark, d):
+    c = _collapsed(spark, d)
+    return mixture.extended_scores(c, c, _mixture(spark, d), 2.0).withColumn("score", r6("score"))
+
+
 def _rows_as_points(spark, d) -> DataFrame:
     return fixtures.tree_chain(spark, d).select("cell_id", "node_id", "x", "y", "z")
 

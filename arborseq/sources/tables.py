@@ -16,6 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(n[: -len(".parquet")] for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
+
+
+def with_counts(df: DataFrame, key: str, count_name: str = "n") -> DataFrame:
+    """Rows with how often their key occurs; counted apart and joined, so a frequent key is one row until then."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
+    return df.join(counts, key)
+
+
 def versioned(spark: SparkSession, root: str, version: str, name: str) -> DataFrame:
     """A table of one dataset version, kept in a folder of its own."""
     return table(spark, f"{root}/{version}", name)
