@@ -40,6 +40,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Prepare a session for Python workers: the package's code, and small batches, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
     ship_code(spark)
 
 
