@@ -562,7 +562,7 @@ def tree_compare(spark, d):
 @query()
 def extended_scores(spark, d):
     c = _collapsed(spark, d)
-    return mixture.extended_scores(c, c, _mixture(spark, d), 2.0).withColumn("score", r6("score"))
+    return mixture.extended_scores(c, c, _mixture(spark, d), 0.5).withColumn("score", r6("score"))
 
 
 def _rows_as_points(spark, d) -> DataFrame:
