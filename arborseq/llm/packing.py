@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .bpe import blocks, gather
 from .common import Numbers, ship, texts
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 BLOCK_TOKENS = 4_000_000
 
 
