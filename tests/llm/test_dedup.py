@@ -150,6 +150,27 @@ def test_near_copies(spark):
     assert near_copies.near_copies(df.where("1 = 0")).count() == 0
 
 
+def test_near_copies_within_templates(spark):
+    """A link must be found however many closer texts a common passage brings that aren't links."""
+    rng = random.Random(21)
+    pool = [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)]
+    template = words(rng, 150, pool).split()
+    rows = []
+    for member in range(200):
+        w = template[:]
+        for place in rng.sample(range(5, 145), 2):  # 0.76 between members
+            w[place] = f"own{rng.random()}"
+        rows.append((2 * member, " ".join(w)))
+        if member % 5 == 0:  # 0.81
+            for place in rng.sample(range(5, 145), 3):
+                w[place] = f"other{rng.random()}"
+            rows.append((2 * member + 1, " ".join(w)))
+    got = dict(map(tuple, near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    sets = [set(near_copies.shingles(t).tolist()) for _, t in rows]
+    roots = union_find(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert got == {rows[i][0]: rows[min(j for j, x in enumerate(roots) if x == r)][0] for i, r in enumerate(roots) if i != r}
+
+
 def test_large_buckets_keep_their_links(monkeypatch):
     monkeypatch.setattr(near_copies, "LARGE", 20)
     rng = np.random.default_rng(3)
