@@ -171,6 +171,18 @@ def test_near_copies_within_templates(spark):
     assert got == {rows[i][0]: rows[min(j for j, x in enumerate(roots) if x == r)][0] for i, r in enumerate(roots) if i != r}
 
 
+def test_near_copies_around_a_large_family(spark):
+    """Texts that are near to one member of thousands, and not to the others."""
+    rng = random.Random(5)
+    base = words(rng, 64, [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)]).split()
+    rows = [(i, " ".join([*base[:-1], f"own{i}"])) for i in range(4500)]
+    for i in range(40):
+        member = [*base[:-3], f"member{i}", *base[-2:]]  # 0.90 to the family
+        rows += [(5000 + 2 * i, " ".join(member)), (5001 + 2 * i, " ".join([*base[:5], f"far{i}", *base[6:-3], *member[-3:]]))]  # 0.82 to it, 0.74 to the family
+    got = dict(map(tuple, near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {i: 0 for i, _ in rows[1:]}
+
+
 def test_large_buckets_keep_their_links(monkeypatch):
     monkeypatch.setattr(near_copies, "LARGE", 20)
     rng = np.random.default_rng(3)
