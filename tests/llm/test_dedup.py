@@ -183,6 +183,18 @@ def test_near_copies_around_a_large_family(spark):
     assert got == {i: 0 for i, _ in rows[1:]}
 
 
+def test_near_copies_of_few_shingles(spark):
+    """Pairs at just 0.8: four of five shingles, and twelve with three of their own."""
+    rng = random.Random(6)
+    pool = [chr(97 + i) + chr(97 + j) + chr(97 + k) for i in range(26) for j in range(26) for k in range(26)]
+    rows = []
+    for i in range(1500):
+        w = words(rng, 9 if i % 2 else 19, pool).split()
+        rows += [(2 * i, " ".join(w[:-1])), (2 * i + 1, " ".join(w))] if i % 2 else [(2 * i, " ".join(w[:-1])), (2 * i + 1, " ".join(w[2:]))]
+    got = dict(map(tuple, near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {2 * i + 1: 2 * i for i in range(1500)}
+
+
 def test_large_buckets_keep_their_links(monkeypatch):
     monkeypatch.setattr(near_copies, "LARGE", 20)
     rng = np.random.default_rng(3)
