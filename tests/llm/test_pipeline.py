@@ -40,6 +40,17 @@ def test_near_stage(spark, docs, data):
     assert sorted(r.doc_id for r in out.collect()) == sorted(known[i][0] for i, r in enumerate(roots) if i == r)
 
 
+def test_rows_that_share_an_identifier(spark, data):
+    """Only the row that is a copy goes; another text under its identifier stays."""
+    common, clean = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, common), (2, common.upper()), (2, clean), (3, common + " end"), (3, "quite another text"), (None, common)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = cp.exact_dedup(spark, docs, data)
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted((d or 0, t) for d, t in rows if t != common.upper())
+    near = cp.simhash_near_dedup(spark, docs, data)
+    assert sorted((r.doc_id or 0, r.text) for r in near.collect()) == sorted([(0, common), (1, common), (2, clean), (3, "quite another text")])
+
+
 def test_suffix_stage(spark, docs, data):
     out = {r.doc_id: r for r in cp.suffix_array_dedup(spark, docs, data).collect()}
     want = {r[0]: r for r in brute_removed([(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()], 100)}
