@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,22 @@ def test_neighbours_recall_and_small_tables(spark, data):
     assert neighbours.search(df.where("vec_id in (20, 40, 41)")).count() == 4
 
 
+def test_neighbours_recall_where_the_index_prunes(spark):
+    """More pivots than are probed, and longer files than are reranked whole."""
+    n, every, k = 20_000, 80, 20
+    assert 2 * n**0.5 > 5 * 48 and 8 * n / (2 * n**0.5) > 2 * 256
+    x = np.random.default_rng(4).normal(size=(n, 64)).astype("float32")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(df, every=every, k=k).collect()}
+    asked = np.arange(0, n, every)
+    scores = x[asked].astype("float64") @ x.T.astype("float64")
+    scores[np.arange(len(asked)), asked] = -9
+    hits = sum((int(q), int(j)) in got for q, s in zip(asked, scores, strict=True) for j in np.argpartition(-s, k)[:k])
+    print("recall", hits / (k * len(asked)))
+    assert hits >= 0.97 * k * len(asked)
+
+
 def test_footrule_counts_displaced_pivots():
     def plain(a, b, n):
         place = lambda p, x: list(p).index(x) if x in p else len(p)
