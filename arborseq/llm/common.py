@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.shipping import ship as ship_code
 
@@ -27,14 +30,54 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared storage and read it back: lineage ends there.
+    """Write ``df`` as Parquet to the shared storage and read it back: lineage ends there, and its shuffle files go.
 
-    A lost executor costs only the tasks it ran; what is written stays.
+    A lost executor costs only the tasks it ran; what is written stays until ``discard``.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_cleaned(spark):
+        df.write.mode("overwrite").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+@contextlib.contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Jobs started here remove their shuffle files when they end, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Words of 64 bits in the filter that ``parted`` broadcasts: 16 MB.
+FILTER_WORDS = 1 << 20
+
+
+def parted(rows: DataFrame, columns: list[str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of which none has its ``columns`` in ``wanted``, the others), told by a bit for each hash.
+
+    The others hold all that are in ``wanted`` and some more, so joins that shuffle can be kept to them.  The filter has
+    a fixed size; where ``wanted`` has so many rows that it fills up, it saves nothing.
+    """
+    hashed = F.xxhash64(*columns)
+    word, bit = F.pmod(hashed, F.lit(FILTER_WORDS)), F.shiftrightunsigned(hashed, 58).cast("int")
+    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    marked = rows.join(F.broadcast(bits), word == F.col("_word"), "left").withColumn("_hit", F.coalesce(F.call_function("getbit", "_bits", bit), F.lit(0)) == 1)
+    return tuple(marked.where(F.col("_hit") == x).select(*rows.columns) for x in (False, True))
 
 
 def ship(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -24,6 +24,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
     nodes_only = e.where("ok and u = v").select("u").distinct()
     e = stored(e.where("ok and u <> v").select("u", "v").distinct(), "edges")
+    nodes_only = stored(nodes_only, "loops")
     before = _fingerprint(e)
     while True:
         # large star: hang every larger neighbour of a node on the least node around it
@@ -33,7 +34,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # small star: hang a node and its smaller neighbours on the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        done, e = e, stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(done, large)
         now = _fingerprint(e)
         if now == before:
             break

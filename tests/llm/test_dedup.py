@@ -195,8 +195,7 @@ def test_near_copies_of_few_shingles(spark):
     assert got == {2 * i + 1: 2 * i for i in range(1500)}
 
 
-def test_large_buckets_keep_their_links(monkeypatch):
-    monkeypatch.setattr(near_copies, "LARGE", 20)
+def test_bucket_links_span_a_family():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 2, dtype=np.uint64)
     fp = np.stack([base ^ np.array([1 << int(b), 0], dtype=np.uint64) for b in rng.integers(0, 60, 80)])
@@ -204,6 +203,30 @@ def test_large_buckets_keep_their_links(monkeypatch):
     assert len(set(union_find(len(fp), links.tolist()))) == 1 and len(links) < 8 * len(fp)
 
 
+def test_crowded_keys_are_dealt_in_blocks_and_lose_no_pair(spark, monkeypatch):
+    """Every pair of different groups meets in some cell, and no cell is large."""
+    monkeypatch.setattr(near_copies, "CROWDED", 5)
+    rng = random.Random(2)
+    groups = {1: [0] * 23 + [rng.randrange(1, 9) for _ in range(17)], 2: [7] * 30, 3: list(range(12)), 4: [1, 2]}
+    rows = [(k, node, g, 0) for k, of in groups.items() for node, g in enumerate(of)]
+    posted = spark.createDataFrame(rows, "key long, node long, grp long, at long")
+    crowds = spark.createDataFrame([(1, 0, 5, 4), (2, 7, 6, 0), (3, 0, 1, 3)], "key long, top long, ins long, outs long")
+    cells = {}
+    for r in near_copies.dealt(posted, crowds).collect():
+        cells.setdefault(r.key, []).append((r.node, r.grp, r.side))
+    met = {(min(a, b), max(a, b)) for x in cells.values() for a, g, s in x for b, h, t in x if g != h and (s != t or s == 2)}
+    want = {(min(i, j), max(i, j)) for of in groups.values() for i, g in enumerate(of) for j, h in enumerate(of) if g != h}
+    assert met == want
+    assert max(len(x) for x in cells.values()) <= 25
+
+
+@pytest.mark.parametrize("crowded, small, large", [(6, 3, 5), (40, 8, 20)])
+def test_near_copies_in_crowded_keys(spark, monkeypatch, crowded, small, large):
+    for name, value in (("CROWDED", crowded), ("SMALL", small), ("LARGE", large)):
+        monkeypatch.setattr(near_copies, name, value)
+    test_near_copies_within_templates(spark)
+
+
 def brute_removed(rows, depth):
     """By a set of all strings seen; rows in the order of keys (null first)."""
     seen, out = set(), []
