@@ -54,12 +54,12 @@ def permuted(rows: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
 def footrule(query: np.ndarray, others: np.ndarray, n_pivots: int) -> np.ndarray:
     """Distance of one prefix from others; a pivot that a prefix lacks stands just behind it."""
     length = len(query)
-    place = np.full(n_pivots, length, dtype=np.int32)
-    place[query] = np.arange(length)
-    here, there = np.arange(length, dtype=np.int32), place[others]
+    place = np.full(n_pivots, length, dtype=np.int16)
+    place[query] = np.arange(length, dtype=np.int16)
+    there = place.take(others)
     # pivots of the other prefix, at their place here or behind; then those of this one that the other lacks
-    shared = np.where(there < length, length - there, 0).sum(axis=1)
-    return np.abs(there - here).sum(axis=1) + length * (length + 1) // 2 - shared
+    apart = np.abs(there - np.arange(length, dtype=np.int16)) + there
+    return apart.sum(axis=1, dtype=np.int32) - length * length + length * (length + 1) // 2
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding", max_pivots: int = 512, post: int = 8, probe: int = 48, prefix: int = 48, keep: float = 0.75, least_kept: int = 256, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding", max_pivots: int = 4096, post: int = 8, probe: int = 48, prefix: int = 48, keep: float = 0.5, least_kept: int = 256, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row whose key is divisible by ``every``.
 
     Nearness is the inner product in double precision.  The number of pivots is twice the root of the number of
@@ -119,7 +119,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     def probe_block(file: pa.Table, queries: pa.Table) -> pa.Table:
         if not file.num_rows or not queries.num_rows:
             return kind_out.empty_table()
-        ids, vs, perms = file["id"].to_numpy(), matrix(file["v"]), matrix(file["perm"])
+        ids, vs, perms = file["id"].to_numpy(), matrix(file["v"]), matrix(file["perm"]).astype(np.intp)
         order = np.argsort(ids, kind="stable")
         ids, vs, perms = ids[order], vs[order], perms[order]
         qids, qs, qperms = queries["id"].to_numpy(), matrix(queries["v"]), matrix(queries["perm"])
@@ -131,7 +131,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
                 far = footrule(qperms[i], perms, n_pivots)
                 at = np.argpartition(far, most - 1)[:most]
             at = at[ids[at] != q]
-            scores = np.einsum("ij,j->i", vs[at], qs[i])
+            scores = np.einsum("ij,j->i", vs.take(at, axis=0), qs[i])
             top = best_of(ids[at], scores, k)
             found.append((np.full(len(top), q), ids[at[top]], scores[top]))
         return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], schema=kind_out)

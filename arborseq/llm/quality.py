@@ -2,11 +2,12 @@
 
 A document's own evidence is a logistic regression on its shape (case, symbols,
 repetition, ...) and on words that tell labelled documents apart.  A site's rate
-is the mean evidence of its documents shrunk toward the level above it: hosts
-toward the global rate, paths toward their host.  How strongly is estimated from
-the spread of the host means (method of moments), so few documents barely move a
-site and a level without spread moves none.  A document's posterior combines its
-evidence with its site's rate relative to the global one.
+is the mean evidence of its other documents shrunk toward the level above it: hosts
+toward the global rate, paths toward their host.  How strongly is estimated for each
+level from the spread of its means around the level above (method of moments), so few
+documents barely move a site and a level without spread moves none.  A document's
+posterior combines its evidence with its site's rate relative to the global one; its
+own evidence takes no part in that rate, so it counts once.
 
 Two such posteriors are formed, for good quality and for toxicity; a document is
 rejected if it is more likely bad than good, or more likely toxic than not.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stored, texts
+from .common import frugal, ship, stored, texts
 from .language_id import in_share
 
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
@@ -115,10 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, q, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = sorted(_tokens(t))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([q] * len(found), pa.int32()), pa.array([x] * len(found), pa.int32())], names=["text", "quality", "toxic"])
+            found = [sorted(_tokens(t)) for t in batch.column(0).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array([t for x in found for t in x], pa.string()), batch.column(1).take(row), batch.column(2).take(row)], names=["text", "quality", "toxic"])
 
     words = rows.mapInArrow(spread, kinds)
     model = Model({h: Head() for h in HEADS})
@@ -170,7 +170,7 @@ def with_evidence(docs: DataFrame, model: Model, text: str = "text", keep: list[
             logits = [pa.array(np.clip(head.logits(np.array(x)), -12, 12) if len(x) else np.zeros(0), mask=blank) for head, x in zip(heads, rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *logits], names=[f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(frugal(run), T.StructType(fields))
 
 
 def _rate(logit: Column) -> Column:
@@ -181,46 +181,66 @@ def _logit(rate: Column) -> Column:
     return F.log(rate / (1 - rate))
 
 
-def site_posteriors(evidence: DataFrame, host: str, path: str, most_strength: float = 1e4) -> DataFrame:
-    """(host, path, shift_quality, shift_toxic): how far a site's shrunken log odds lie from the global ones.
+def _strength(between: float, chance: float, most: float) -> float:
+    """How many documents the level above weighs, if means differ by a variance of ``between`` and documents by one of ``chance``."""
+    return min(most, max(2.0, chance / between - 1)) if between > 0 else most
 
-    ``evidence`` has ``host``, ``path``, _quality and _toxic.  Everything is grouped sums; the global level is one row.
+
+def site_rates(evidence: DataFrame, host: str, path: str, most_strength: float = 1e4) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
+    """Sums of each site, stored, and for each head the global rate and the strengths of the host and the path level.
+
+    ``evidence`` has ``host``, ``path``, _quality and _toxic.  Everything is grouped sums; what reaches the driver is one row.
     """
     sums = []
     for h in HEADS:
         p = _rate(F.col(f"_{h}"))
         sums += [F.sum(p).alias(f"{h}_sum"), F.count(p).alias(f"{h}_n")]
     paths = stored(evidence.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(*sums), "paths")
-    hosts = stored(paths.groupBy("host").agg(*[F.sum(f"{h}_{x}").alias(f"{h}_host_{x}") for h in HEADS for x in ("sum", "n")]), "hosts")
-    total = hosts.agg(*[F.sum(f"{h}_host_{x}").alias(f"{h}_{x}") for h in HEADS for x in ("sum", "n")], F.count(F.lit(1)).alias("hosts")).first()
-    out = paths.join(hosts, paths.host.eqNullSafe(hosts.host)).drop(hosts.host)
-    shifts = []
+    of_paths = [F.sum(F.pow(F.col(f"{h}_{x}"), 2) / (1 if x == "n" else F.col(f"{h}_n"))).alias(f"{h}_path_{y}") for h in HEADS for x, y in (("n", "n2"), ("sum", "q"))]
+    counts = [F.count(F.when(F.col(f"{h}_n") > 0, 1)).alias(f"{h}_paths") for h in HEADS]
+    filled = paths.select("host", *[F.when(F.col(f"{h}_n") > 0, F.col(f"{h}_{x}")).alias(f"{h}_{x}") for h in HEADS for x in ("sum", "n")])
+    hosts = stored(filled.groupBy("host").agg(*[F.coalesce(F.sum(f"{h}_{x}"), F.lit(0)).alias(f"{h}_host_{x}") for h in HEADS for x in ("sum", "n")], *of_paths, *counts), "hosts")
+    need = []
     for h in HEADS:
-        n = total[f"{h}_n"] or 0
-        mean = min(max((total[f"{h}_sum"] or 0.0) / n if n else 0.5, 1e-6), 1 - 1e-6)
-        # between-host variance by moments: spread of host means less what chance gives
-        moments = hosts.where(F.col(f"{h}_host_n") > 0).agg(F.sum(F.col(f"{h}_host_n") * F.pow(F.col(f"{h}_host_sum") / F.col(f"{h}_host_n") - mean, 2)).alias("q"), F.sum(F.pow(F.col(f"{h}_host_n"), 2)).alias("n2"), F.count(F.lit(1)).alias("k")).first()
+        n, total, rate = F.col(f"{h}_host_n"), F.col(f"{h}_host_sum"), F.col(f"{h}_host_sum") / F.col(f"{h}_host_n")
+        need += [
+            F.sum(n).alias(f"{h}_n"), F.sum(total).alias(f"{h}_sum"), F.sum(n * n).alias(f"{h}_n2"), F.sum(total * rate).alias(f"{h}_q"), F.count(F.when(n > 0, 1)).alias(f"{h}_k"),
+            # of paths within their hosts: squared distances, what chance gives, and the weight of the variance
+            F.sum(F.col(f"{h}_path_q") - total * rate).alias(f"{h}_within"), F.sum((F.col(f"{h}_paths") - 1) * rate * (1 - rate)).alias(f"{h}_by_chance"),
+            F.sum(n - F.col(f"{h}_path_n2") / n).alias(f"{h}_weight"), F.sum(n * rate * (1 - rate)).alias(f"{h}_spread"),
+        ]
+    row = hosts.agg(*need).first().asDict()
+    levels = {}
+    for h in HEADS:
+        v = {k: float(row[f"{h}_{k}"] or 0) for k in ("n", "sum", "n2", "q", "k", "within", "by_chance", "weight", "spread")}
+        mean = min(max(v["sum"] / v["n"] if v["n"] else 0.5, 1e-6), 1 - 1e-6)
         chance = mean * (1 - mean)
-        weight = n - (moments["n2"] or 0) / n if n else 0
-        between = max(0.0, ((moments["q"] or 0.0) - (moments["k"] - 1) * chance) / weight) if weight > 0 else 0.0
-        strength = min(most_strength, max(2.0, chance / between - 1)) if between > 0 else most_strength
-        host_rate = (F.col(f"{h}_host_sum") + strength * mean) / (F.col(f"{h}_host_n") + strength)
-        path_rate = (F.col(f"{h}_sum") + strength * host_rate) / (F.col(f"{h}_n") + strength)
-        shifts.append((_logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), path_rate))) - float(np.log(mean / (1 - mean)))).alias(f"_shift_{h}"))
-    return stored(out.select("host", "path", *shifts), "sites")
+        weight = v["n"] - v["n2"] / v["n"] if v["n"] else 0
+        hosts_apart = max(0.0, (v["q"] - v["n"] * mean * mean - (v["k"] - 1) * chance) / weight) if weight > 0 else 0.0
+        paths_apart = max(0.0, (v["within"] - v["by_chance"]) / v["weight"]) if v["weight"] > 1e-9 else 0.0
+        levels[h] = (mean, _strength(hosts_apart, chance, most_strength), _strength(paths_apart, v["spread"] / v["n"] if v["n"] else chance, most_strength))
+    out = paths.join(hosts, paths.host.eqNullSafe(hosts.host)).drop(hosts.host)
+    return stored(out.select("host", "path", *[f"{h}_{x}" for h in HEADS for x in ("sum", "n", "host_sum", "host_n")]), "sites"), levels
 
 
-def judged(evidence: DataFrame, sites: DataFrame, host: str, path: str) -> DataFrame:
+def judged(evidence: DataFrame, sites: tuple[DataFrame, dict[str, tuple[float, float, float]]], host: str, path: str) -> DataFrame:
     """``evidence`` with p_quality, p_toxic and keep; a text without evidence is kept, with its probabilities null.
 
     Sites are a stored table, so Spark broadcasts them only if their size allows it.
     """
-    s = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), *[f"_shift_{h}" for h in HEADS])
+    table, levels = sites
+    names = [f"{h}_{x}" for h in HEADS for x in ("sum", "n", "host_sum", "host_n")]
+    s = table.select(F.col("host").alias("_host"), F.col("path").alias("_path"), *[F.col(x).alias(f"_site_{x}") for x in names])
     rows = evidence.join(s, evidence[host].eqNullSafe(s._host) & evidence[path].eqNullSafe(s._path), "left")
     for h in HEADS:
-        rows = rows.withColumn(f"p_{h}", _rate(F.col(f"_{h}") + F.coalesce(F.col(f"_shift_{h}"), F.lit(0.0))))
+        mean, host_strength, path_strength = levels[h]
+        own = _rate(F.col(f"_{h}"))
+        host_rate = (F.col(f"_site_{h}_host_sum") - own + host_strength * mean) / (F.col(f"_site_{h}_host_n") - 1 + host_strength)
+        rate = (F.col(f"_site_{h}_sum") - own + path_strength * host_rate) / (F.col(f"_site_{h}_n") - 1 + path_strength)
+        shift = _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), rate))) - float(np.log(mean / (1 - mean)))
+        rows = rows.withColumn(f"p_{h}", _rate(F.col(f"_{h}") + shift))
     bad = (F.col("p_quality") < 0.5) | (F.col("p_toxic") > 0.5)
-    return rows.withColumn("keep", ~F.coalesce(bad, F.lit(False))).drop("_host", "_path", *[f"_shift_{h}" for h in HEADS])
+    return rows.withColumn("keep", ~F.coalesce(bad, F.lit(False))).drop("_host", "_path", *[f"_site_{x}" for x in names])
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
@@ -230,7 +250,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     model = train(docs, labels, key, text)
     narrow = stored(with_evidence(docs, model, text, list(dict.fromkeys([key, host, path]))), "evidence")
-    out = judged(narrow, site_posteriors(narrow, host, path), host, path)
+    out = judged(narrow, site_rates(narrow, host, path), host, path)
     return out.select(key, F.col("_quality").alias("evidence_quality"), F.col("_toxic").alias("evidence_toxic"), "p_quality", "p_toxic", "keep")
 
 
@@ -239,7 +259,6 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = train(docs, labels, key, text)
     held = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     tagged = docs.select(*[F.col(c).alias(h) for c, h in held.items()])
-    narrow = with_evidence(tagged, model, held[text], list(dict.fromkeys([held[host], held[path]])))
-    sites = site_posteriors(narrow, held[host], held[path])
-    out = judged(with_evidence(tagged, model, held[text]), sites, held[host], held[path]).where("keep")
+    scored = stored(with_evidence(tagged, model, held[text]), "scored")  # texts are scored once and not shuffled
+    out = judged(scored, site_rates(scored, held[host], held[path]), held[host], held[path]).where("keep")
     return out.select(*[F.col(h).alias(c) for c, h in held.items()])

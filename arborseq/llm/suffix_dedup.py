@@ -15,7 +15,8 @@ and a group that shrinks to one suffix leaves the sort at once.
   significant first, through ``depth`` bytes.  Groups left then are exactly the
   repeated windows; all but the first occurrence are removed.
 
-Anchors and units are compared by independent 64-bit hashes, 128 bits together.
+Anchors and units are compared by 64-bit polynomial hashes of different bases, 128 bits
+together.
 
 Texts are shuffled once, into a table bucketed by document; later steps bring only
 positions to it.  Copies within a batch are settled before the shuffle, groups are
@@ -31,10 +32,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_partitions, shared_dir, ship, stored
+from .common import frugal, salted_partitions, shared_dir, ship, shuffles_cleaned, stored
 
 GRAM = 24
 SEGMENT = 1 << 20
@@ -46,17 +47,28 @@ PLACES = 4
 SORTED = 2_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(0, np.uint64)] * 2
+_N = np.uint64(0xA0761D6478BD642F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, m in enumerate((_M, _INVERSE)):
+def powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    known = _powers.get(int(base))
+    if known is None or len(known[0]) < n:
+        both = []
+        for m in (base, np.uint64(pow(int(base), -1, 1 << 64))):
             p = np.full(n, m, dtype=np.uint64)
             p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _powers[int(base)] = tuple(both)
+    return _powers[int(base)]
+
+
+def scanned(data: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Running sums of bytes times powers of the base: the difference of two, shifted back, is a string's hash."""
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1, base)[0][: len(data)], dtype=np.uint64, out=out[1:])
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,10 +87,8 @@ def units(data: np.ndarray, bounds: np.ndarray, depth: int, gram: int = GRAM):
     if n < depth:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z.astype(np.uint64), z, z, z
-    up, down = powers(n + 1)
-    scan = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64, out=scan[1:])
-    h = mix((scan[gram:] - scan[:-gram]) * down[: n - gram + 1])
+    scan = scanned(data, _M)
+    h = mix((scan[gram:] - scan[:-gram]) * powers(n + 1, _M)[1][: n - gram + 1])
     width = depth - gram + 1
     least = (h & ~np.uint64((1 << 28) - 1)) | np.arange(len(h), dtype=np.uint64)
     span = 1
@@ -99,7 +109,8 @@ def units(data: np.ndarray, bounds: np.ndarray, depth: int, gram: int = GRAM):
     first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
     p = p[np.concatenate([[0], cut])]
     count, offset = last - first + 1, p - first
-    whole_hash = (scan[last + depth] - scan[first]) * down[first]
+    scan = scanned(data, _N)  # a base of its own, so the two hashes don't fail together
+    whole_hash = (scan[last + depth] - scan[first]) * powers(n + 1, _N)[1][first]
     u = mix(whole_hash ^ ((count << 16 | offset).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)))
     return h[p], u, first, count, offset
 
@@ -126,34 +137,38 @@ def segments(bodies: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
         yield out()
 
 
-UNIT = "route long, a long, u long, did long, start long, n int, off int, sure boolean"
+UNIT = "route long, a long, u long, did long, row long, start long, n int, off int, sure boolean"
 
 
 def _units_task(depth: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            did, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             found = []
             for data, bounds, rows, starts in segments(batch.column(2).to_pylist(), depth):
                 a, u, first, n, off = units(data, bounds, depth)
                 part = np.searchsorted(bounds, first, side="right") - 1
                 row = rows[part]
-                found.append((a.view(np.int64), u.view(np.int64), did[row], first - bounds[part] + starts[part] + base[row], n, off))
+                found.append((a.view(np.int64), u.view(np.int64), did[row], place[row], first - bounds[part] + starts[part], n, off))
             if not found:
                 continue
-            a, u, d, start, n, off = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, d, u, a))
-            a, u, d, start, n, off = (x[order] for x in (a, u, d, start, n, off))
+            a, u, d, row, start, n, off = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, row, d, u, a))
+            a, u, d, row, start, n, off = (x[order] for x in (a, u, d, row, start, n, off))
             # a unit that this batch has earlier is settled: it goes along only to reach its document
             sure = np.concatenate([[False], (a[1:] == a[:-1]) & (u[1:] == u[:-1])])
-            route = np.where(sure, d * np.int64(-7046029254386353131) + start, a)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, a, u, d, start, n.astype(np.int32), off.astype(np.int32), sure)], names=["route", "a", "u", "did", "start", "n", "off", "sure"])
+            route = np.where(sure, (d ^ row) * np.int64(-7046029254386353131) + start, a)
+            columns = (route, a, u, d, row, start, n.astype(np.int32), off.astype(np.int32), sure)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["route", "a", "u", "did", "row", "start", "n", "off", "sure"])
 
     return run
 
 
+UNIT_PLACE = ("did", "row", "start", "n", "off", "a")
+
+
 def _settle_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From units sorted by (sure, a, u, did, start): repeated ones (``whole``), and the first of each unit whose anchor has several.
+    """From units sorted by (sure, a, u, did, row, start): repeated ones (``whole``), and the first of each unit whose anchor has several.
 
     Streams; of the rows before a batch only the last anchor, its first row and its last unit are remembered.
     """
@@ -185,7 +200,7 @@ def _settle_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = sure | same_u
         partial = first_of_unit & other[group]
         keep = whole | partial
-        out = [c[n][keep] for n in ("did", "start", "n", "off", "a")] + [whole[keep]]
+        out = [c[n][keep] for n in UNIT_PLACE] + [whole[keep]]
         if extra is not None:
             out = [np.concatenate([[x], y]) for x, y in zip(extra, out, strict=True)]
         # what the last anchor leaves behind
@@ -196,29 +211,29 @@ def _settle_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if same_a[begin]:  # the whole batch belongs to the anchor before it
                 pending = None if other[group[-1]] else seen["pending"]
             else:
-                pending = None if other[group[-1]] else [c[n][begin] for n in ("did", "start", "n", "off", "a")] + [False]
+                pending = None if other[group[-1]] else [c[n][begin] for n in UNIT_PLACE] + [False]
             seen = {"a": a[-1], "u": u[-1], "pending": pending}
-        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=k)) for x, k in zip(out, kinds, strict=True)], names=["did", "start", "n", "off", "a", "whole"])
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=k)) for x, k in zip(out, kinds, strict=True)], names=[*UNIT_PLACE, "whole"])
 
 
-PIECE = "a long, off int, did long, start long, n int, body binary, sure boolean"
+PIECE = "a long, off int, did long, row long, start long, n int, body binary, sure boolean"
 
 
-def pieces(w, did: int, at: int, body: bytes, depth: int) -> Iterator[tuple]:
-    """A unit of a busy anchor by groups of PLACES places: route, offset, document, start, number of windows, bytes.
+def pieces(w, did: int, row: int, body: bytes, depth: int) -> Iterator[tuple]:
+    """A unit of a busy anchor by groups of PLACES places: route, offset, document, row, start, number of windows, bytes.
 
     Windows at one place of an anchor are equal only if the bytes are that all windows of the group hold, so those
     bytes make the route: it brings together what can be equal and hardly anything else.
     """
-    i = 0
+    i, at = 0, w["start"]
     while i < w["n"]:
         group = (w["off"] - i) // PLACES
         end = min(w["n"], w["off"] - group * PLACES + 1)
         core = at + w["off"] - group * PLACES
         name = b"%d %d " % (w["a"], group) + body[core : core + depth - PLACES + 1]
         route = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "big", signed=True)
-        yield route, w["off"] - i, did, w["start"] + i, end - i, body[at + i : at + end + depth - 1]
+        yield route, w["off"] - i, did, row, at + i, end - i, body[at + i : at + end + depth - 1]
         i = end
 
 
@@ -229,31 +244,28 @@ def _fetch_task(depth: int):
         for batch in batches:
             out: list[tuple] = []
             busy: list[tuple] = []
-            for did, base, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for w in wanted or ():
-                    s = w["start"] - base
-                    if s < 0 or s + w["n"] + depth - 1 > len(body):
-                        continue  # it lies in another row of this document
+            for did, row, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for w in wanted:
                     if w["busy"]:
-                        busy += pieces(w, did, s, body, depth)
+                        busy += pieces(w, did, row, body, depth)
                     else:
-                        out.append((w["a"], w["off"], did, w["start"], w["n"], body[s : s + w["n"] + depth - 1], False))
-            busy.sort(key=lambda p: p[2:4])
+                        out.append((w["a"], w["off"], did, row, w["start"], w["n"], body[w["start"] : w["start"] + w["n"] + depth - 1], False))
+            busy.sort(key=lambda p: p[2:5])
             seen: set[tuple] = set()
             gone: list[list[int]] = []
             for p in busy:
-                key = (p[0], p[1], p[5])
+                key = (p[0], p[1], p[6])
                 if key not in seen:
                     seen.add(key)
                     out.append((*p, False))
-                elif gone and gone[-1][0] == p[2] and gone[-1][1] + gone[-1][2] == p[3]:
-                    gone[-1][2] += p[4]
+                elif gone and gone[-1][:2] == [p[2], p[3]] and gone[-1][2] + gone[-1][3] == p[4]:
+                    gone[-1][3] += p[5]
                 else:
-                    gone.append([p[2], p[3], p[4]])
-            out += [(d * -7046029254386353131 + s & (1 << 62) - 1, 0, d, s, n, b"", True) for d, s, n in gone]
+                    gone.append([p[2], p[3], p[4], p[5]])
+            out += [((d ^ r) * -7046029254386353131 + s & (1 << 62) - 1, 0, d, r, s, n, b"", True) for d, r, s, n in gone]
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "off", "did", "start", "n", "body", "sure"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "off", "did", "row", "start", "n", "body", "sure"])
 
     return run
 
@@ -296,10 +308,10 @@ def repeated_windows(anchor: np.ndarray, off: np.ndarray, n: np.ndarray, bodies:
 
 
 def _sort_task(depth: int):
-    """Removed windows, as runs (did, start, n), from pieces sorted by (a, did, start)."""
+    """Removed windows, as runs (did, row, start, n), from pieces sorted by (a, did, row, start)."""
 
     def settled(rows: list[np.ndarray], bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        a, off, did, start, n = rows
+        a, off, did, place, start, n = rows
         # bound what is sorted at once: windows with other places of the anchor never meet
         low, high = int((off - n).min()) + 1, int(off.max())
         parts = max(1, -(-int(n.sum()) // SORTED))
@@ -318,7 +330,8 @@ def _sort_task(depth: int):
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])
             first = np.flatnonzero(new)
             sizes = np.diff(np.concatenate([first, [len(r)]]))
-            yield pa.RecordBatch.from_arrays([pa.array(did[r[first]]), pa.array(start[r[first]] + w[first]), pa.array(sizes.astype(np.int32))], names=["did", "start", "n"])
+            at = r[first]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[at], place[at], start[at] + w[first], sizes.astype(np.int32))], names=["did", "row", "start", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -326,11 +339,11 @@ def _sort_task(depth: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sure = batch.column(6).to_numpy(zero_copy_only=False).astype(bool)
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            sure = batch.column(7).to_numpy(zero_copy_only=False).astype(bool)
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if sure.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i][sure]) for i in (2, 3, 4)], names=["did", "start", "n"])
-            bodies = [b for b, s in zip(batch.column(5).to_pylist(), sure.tolist(), strict=True) if not s]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i][sure]) for i in (2, 3, 4, 5)], names=["did", "row", "start", "n"])
+            bodies = [b for b, s in zip(batch.column(6).to_pylist(), sure.tolist(), strict=True) if not s]
             rows = [x[~sure] for x in rows]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
@@ -348,13 +361,10 @@ def _sort_task(depth: int):
     return run
 
 
-def spans_of(pairs: list[tuple[int, int]], base: int, size: int) -> list[tuple[int, int]]:
-    """Sorted, merged spans inside a row of ``size`` bytes that begins at ``base``."""
+def spans_of(found: list[dict] | None) -> list[tuple[int, int]]:
+    """Sorted, merged spans of bytes."""
     out: list[list[int]] = []
-    for s, e in sorted(pairs):
-        s, e = max(0, s - base), min(size, e - base)
-        if s >= e:
-            continue
+    for s, e in sorted((p["start"], p["end"]) for p in found or ()):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -363,12 +373,12 @@ def spans_of(pairs: list[tuple[int, int]], base: int, size: int) -> list[tuple[i
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 100, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of ``docs``: _did, _base, _body (bytes), _null_key, ``columns``, and _spans (start, end) of removed bytes.
+    """Every row of ``docs``: _did, _row, _body (bytes), _null_key, ``columns``, and _spans (start, end) of removed bytes.
 
-    Every byte is removed that a ``depth``-byte string covers which also starts earlier: in a row with a smaller key,
-    or in the same row further left.  Strings are judged on the input, and never cross rows.  Null text counts as
-    empty, a null key as smaller than any other.  Rows with one key count as parts of one document in the order of
-    their texts' hashes, so of equal rows the later is a copy.
+    Every byte is removed that a ``depth``-byte string covers which also starts earlier: in a row that comes before, or
+    in the same row further left.  Rows come in the order of their keys, a null key before any other, and rows that
+    share a key, null or not, in the order in which the table lists them; so of equal rows the later is a copy.
+    Strings are judged on the input, and never cross rows.  Null text counts as empty.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -377,50 +387,42 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         raise ValueError("keys must be integers")
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     none = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("_did"), F.col(key).isNull().alias("_null_key"), body.alias("_body"), *[F.col(c).alias(f"_col_{i}") for i, c in enumerate(columns)])
-    parts = Window.partitionBy("_did").orderBy(F.xxhash64("_body")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.repartition(n, "_did").withColumn("_base", F.coalesce(F.sum(F.octet_length("_body").cast("long")).over(parts), F.lit(0).cast("long")))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("_did"), F.monotonically_increasing_id().alias("_row"), F.col(key).isNull().alias("_null_key"), body.alias("_body"), *[F.col(c).alias(f"_col_{i}") for i, c in enumerate(columns)])
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(n, "_did").option("path", shared_dir(spark, "texts")).option("compression", "zstd").saveAsTable(name)
+    # a row's place makes its bucket, so rows without a key, or that share one, don't gather
+    with shuffles_cleaned(spark):
+        rows.repartition(n, "_row").write.bucketBy(n, "_row").option("path", shared_dir(spark, "texts")).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
-    clean(spark)
+    spark.sql(f"DROP TABLE {name}")  # only its name: the files are where the path says
     # first and second digit: anchors, then units
-    found = table.select("_did", "_base", "_body").mapInArrow(_units_task(depth), UNIT)
-    met = found.repartition(n, "route").select("sure", "a", "u", "did", "start", "n", "off").sortWithinPartitions("sure", "a", "u", "did", "start")
-    settled = stored(met.mapInArrow(_settle_task, "did long, start long, n int, off int, a long, whole boolean"), "units")
-    clean(spark)
+    found = table.select("_did", "_row", "_body").mapInArrow(frugal(_units_task(depth)), UNIT)
+    met = found.repartition(n, "route").select("sure", "a", "u", "did", "row", "start", "n", "off").sortWithinPartitions("sure", "a", "u", "did", "row", "start")
+    settled = stored(met.mapInArrow(frugal(_settle_task), "did long, row long, start long, n int, off int, a long, whole boolean"), "units")
     # further digits: the windows of units that share an anchor and differ
     partial = settled.where(~F.col("whole"))
     busy = stored(partial.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUSY).select("a", F.lit(True).alias("busy")), "busy")
-    wanted = partial.join(busy, "a", "left").groupBy("did").agg(F.collect_list(F.struct("a", "off", "start", "n", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("wanted"))
-    fetched = table.select("_did", "_base", "_body").join(wanted, table._did == wanted.did).select("_did", "_base", "_body", "wanted").mapInArrow(_fetch_task(depth), PIECE)
-    sorted_ = stored(fetched.repartition(n, "a").sortWithinPartitions("a", "did", "start").mapInArrow(_sort_task(depth), "did long, start long, n int"), "windows")
-    clean(spark)
-    removed = settled.where("whole").select("did", "start", "n").union(sorted_)
-    spans = removed.groupBy("did").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + depth - 1).alias("end"))).alias("_spans"))
-    return table.join(spans, table._did == spans.did, "left").drop("did")
-
-
-def clean(spark) -> None:
-    """Let shuffle files of steps that are stored by now go; they would stay until the driver's next collection."""
-    spark.sparkContext._jvm.System.gc()
+    wanted = partial.join(busy, "a", "left").groupBy("row").agg(F.collect_list(F.struct("a", "off", "start", "n", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("wanted"))
+    fetched = table.select("_did", "_row", "_body").join(wanted, table._row == wanted.row).select("_did", "_row", "_body", "wanted").mapInArrow(frugal(_fetch_task(depth)), PIECE)
+    sorted_ = stored(fetched.repartition(n, "a").sortWithinPartitions("a", "did", "row", "start").mapInArrow(frugal(_sort_task(depth)), "did long, row long, start long, n int"), "windows")
+    removed = settled.where("whole").select("row", "start", "n").union(sorted_.select("row", "start", "n"))
+    spans = removed.groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + depth - 1).alias("end"))).alias("_spans"))
+    return table.join(spans, table._row == spans.row, "left").drop("row")
 
 
 def removed_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 100) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; see ``repeats``."""
-    rows = repeats(docs, key, text, depth).select("_did", "_null_key", "_base", "_body", "_spans")
+    rows = repeats(docs, key, text, depth).select("_did", "_null_key", "_body", "_spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, null, base, body, spans = (batch.column(i).to_pylist() for i in range(5))
             out = []
-            for d, z, b, x, s in zip(did, null, base, body, spans, strict=True):
-                cut = spans_of([(p["start"], p["end"]) for p in s or ()], b, len(x))
+            for d, z, x, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                cut = spans_of(s)
                 out.append((None if z else d, len(x), sum(e - a for a, e in cut), len(cut), hashlib.sha256(keep(x, cut)).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(frugal(run), f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def keep(body: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -444,16 +446,16 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
     held = [f"c{i}" for i in range(len(others))]
     tagged = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(h) for c, h in zip(others, held, strict=True)], F.col(text).isNull().alias("z"))
     rows = repeats(tagged, "k", "t", depth, (*held, "z"))
-    rows = rows.select("_did", "_null_key", "_base", "_body", "_spans", *[f"_col_{i}" for i in range(len(others) + 1)])
+    rows = rows.select("_did", "_null_key", "_body", "_spans", *[f"_col_{i}" for i in range(len(others) + 1)])
     schema = T.StructType([docs.schema[c] for c in (key, text, *others)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, null, base, body, spans = (batch.column(i).to_pylist() for i in range(5))
+            did, null, body, spans = (batch.column(i).to_pylist() for i in range(4))
             gone = batch.column(batch.num_columns - 1).to_pylist()
-            new = [None if g else keep(x, spans_of([(p["start"], p["end"]) for p in s or ()], b, len(x))).decode("utf-8", "ignore") for g, b, x, s in zip(gone, base, body, spans, strict=True)]
+            new = [None if g else keep(x, spans_of(s)).decode("utf-8", "ignore") for g, x, s in zip(gone, body, spans, strict=True)]
             ids = pa.array([None if z else d for d, z in zip(did, null, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(new, pa.string()), *[batch.column(5 + i) for i in range(len(others))]], names=[key, text, *others])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(new, pa.string()), *[batch.column(4 + i) for i in range(len(others))]], names=[key, text, *others])
 
     key_long = T.StructType([T.StructField(key, T.LongType())] + schema.fields[1:])
-    return rows.mapInArrow(run, key_long).withColumn(key, F.col(key).cast(docs.schema[key].dataType)).select(*names)
+    return rows.mapInArrow(frugal(run), key_long).withColumn(key, F.col(key).cast(docs.schema[key].dataType)).select(*names)

@@ -37,6 +37,24 @@ def test_exact_dedup_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_every_round_merges_in_sorted_order(spark):
+    """The optimiser leaves each round its exchange, its sort and the pass over the sorted entries."""
+    rows = exact_dedup.digests(documents(spark), bits=4)
+    plan = exact_dedup.retained(rows, bits=4)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") >= 4
+    physical = exact_dedup.retained(rows, bits=4)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Sort [run") >= 4
+
+
+def test_every_round_merges_in_sorted_order(spark):
+    """The optimiser leaves each round its exchange, its sort and the pass over the sorted entries."""
+    rows = exact_dedup.digests(documents(spark), bits=4)
+    plan = exact_dedup.retained(rows, bits=4)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") >= 4
+    physical = exact_dedup.retained(rows, bits=4)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Sort [run") >= 4
+
+
 def union_find(n, links):
     parent = list(range(n))
 
@@ -183,6 +201,54 @@ def test_near_copies_around_a_large_family(spark):
     assert got == {i: 0 for i, _ in rows[1:]}
 
 
+def test_shared_keys_of_any_run(monkeypatch):
+    """Keys of the same nodes get one number, lone ones go, and a crowded key is handed on however batches cut it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_copies, "CROWDED", 6)
+    held = {5: [1], 6: [1, 2], 7: [1, 2], 8: [3], 9: list(range(20)), 10: [4, 5], 11: list(range(7)), 12: [8]}
+    flat = [(k, 0, n) for k, nodes in held.items() for n in nodes]
+    for size in (1, 2, 3, 5, 8, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat[i : i + size], strict=True)], names=["key", "at", "node"]) for i in range(0, len(flat), size)]
+        out = [tuple(r.values()) for b in near_copies._shared_keys_task(batches) for r in b.to_pylist()]
+        got = {}
+        for k, _, n in out:
+            got.setdefault(k, []).append(n)
+        assert got.pop(9) == held[9] and got.pop(11) == held[11]
+        assert sorted(map(sorted, got.values())) == [[1, 1, 2, 2], [4, 5]]
+
+
+def test_shared_keys_of_any_run(monkeypatch):
+    """Keys of the same nodes get one number, lone ones go, and a crowded key is handed on however batches cut it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_copies, "CROWDED", 6)
+    held = {5: [1], 6: [1, 2], 7: [1, 2], 8: [3], 9: list(range(20)), 10: [4, 5], 11: list(range(7)), 12: [8]}
+    flat = [(k, 0, n) for k, nodes in held.items() for n in nodes]
+    for size in (1, 2, 3, 5, 8, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat[i : i + size], strict=True)], names=["key", "at", "node"]) for i in range(0, len(flat), size)]
+        out = [tuple(r.values()) for b in near_copies._shared_keys_task(batches) for r in b.to_pylist()]
+        got = {}
+        for k, _, n in out:
+            got.setdefault(k, []).append(n)
+        assert got.pop(9) == held[9] and got.pop(11) == held[11]
+        assert sorted(map(sorted, got.values())) == [[1, 1, 2, 2], [4, 5]]
+
+
+def test_prefixes_share_as_many_shingles_as_are_needed():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = rng.permutation(10_000)[:n].astype(np.uint64)
+        b = np.concatenate([a[rng.random(n) < rng.uniform(0.8, 1)], rng.integers(20_000, 30_000, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        known = np.unique(rng.integers(0, 10_000, 50).astype(np.uint64))
+        x, y = near_copies.prefixes([a, b], (known, rng.integers(3, 9, len(known))), 0.8)
+        assert len(np.intersect1d(x, y)) >= near_copies.needed(min(len(a), len(b)))
+
+
 def test_near_copies_of_few_shingles(spark):
     """Pairs at just 0.8: four of five shingles, and twelve with three of their own."""
     rng = random.Random(6)
@@ -244,20 +310,23 @@ def brute_removed(rows, depth):
     return out
 
 
-def unique_keys(docs):
-    """One row for each key, and one without: rows that share a key have an order of their own."""
-    return docs.dropDuplicates(["doc_id"])
-
-
 @pytest.mark.parametrize("busy, segment", [(1000, 1 << 20), (3, 500), (1, 1 << 20)])
 def test_removed_digest(spark, monkeypatch, busy, segment):
     monkeypatch.setattr(suffix_dedup, "BUSY", busy)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
-    docs = unique_keys(documents(spark)).cache()
+    docs = documents(spark)
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = sorted(map(tuple, suffix_dedup.removed_digest(docs).collect()), key=repr)
     assert got == sorted(brute_removed(rows, 100), key=repr)
-    docs.unpersist()
+
+
+def test_many_rows_without_a_key_or_of_one(spark):
+    rng = random.Random(13)
+    passages = [words(rng, 40) for _ in range(6)]
+    rows = [(rng.choice([None, None, 7, i]), " ".join([words(rng, rng.randrange(6)), rng.choice(passages), words(rng, rng.randrange(6))])) for i in range(900)]
+    got = sorted(map(tuple, suffix_dedup.removed_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(brute_removed(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), 100), key=repr)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_texts")]
 
 
 def test_repeated_rows_and_empty_tables(spark):

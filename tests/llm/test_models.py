@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -111,13 +113,60 @@ def test_quality_on_odd_documents(spark):
     assert quality.accepted(docs, labels.where("1 = 0")).count() == docs.count()
 
 
+def test_quality_on_held_out_labels(spark):
+    """Fitted on two thirds of the labels, judged on the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    out = quality.classify(docs, labels.where(~held)).join(labels.where(held), "doc_id")
+    clean, bad = out.where("quality = 1 and toxic = 0"), out.where("quality = 0 or toxic = 1")
+    assert clean.count() > 100 and bad.count() > 20
+    assert clean.where("keep").count() >= 0.97 * clean.count()
+    assert bad.where("not keep").count() >= 0.9 * bad.count()
+
+
+def plain_posteriors(rows):
+    """(host, path, logit) rows: their probabilities, from lists and loops."""
+    rate = lambda x: 1 / (1 + math.exp(-x))
+    p = [rate(x) for _, _, x in rows]
+    n, mean = len(p), sum(p) / len(p)
+    hosts, paths = {}, {}
+    for (h, q, _), x in zip(rows, p, strict=True):
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, q), []).append(x)
+    avg = lambda v: sum(v) / len(v)
+    chance = mean * (1 - mean)
+    between = (sum(len(v) * (avg(v) - mean) ** 2 for v in hosts.values()) - (len(hosts) - 1) * chance) / (n - sum(len(v) ** 2 for v in hosts.values()) / n)
+    own = {h: sum(1 for k in paths if k[0] == h) for h in hosts}
+    within = sum(len(v) * (avg(v) - avg(hosts[k[0]])) ** 2 for k, v in paths.items()) - sum((own[h] - 1) * avg(v) * (1 - avg(v)) for h, v in hosts.items())
+    weight = n - sum(len(v) ** 2 / len(hosts[k[0]]) for k, v in paths.items())
+    spread = sum(len(v) * avg(v) * (1 - avg(v)) for v in hosts.values()) / n
+    strength = lambda b, c: min(1e4, max(2.0, c / b - 1)) if b > 0 else 1e4
+    s, t = strength(between, chance), strength(within / weight if weight > 1e-9 else 0, spread)
+    out = []
+    for (h, q, x), mine in zip(rows, p, strict=True):
+        host = (sum(hosts[h]) - mine + s * mean) / (len(hosts[h]) - 1 + s)
+        site = (sum(paths[h, q]) - mine + t * host) / (len(paths[h, q]) - 1 + t)
+        out.append(rate(x + math.log(site / (1 - site)) - math.log(mean / (1 - mean))))
+    return out
+
+
+def test_posteriors_equal_a_plain_program(spark):
+    rng = random.Random(3)
+    lean = {(h, q): rng.gauss(0.5, 1.5) for h in "abcdef" for q in ("x", "y", None)}
+    rows = [(h, q, rng.gauss(lean[h, q], 1.0)) for h, q in lean for _ in range(rng.randrange(1, 30))] + [(None, "x", 2.0), ("lone", None, -2.0)]
+    ev = spark.createDataFrame([(i, *r, -3.0) for i, r in enumerate(rows)] + [(-1, "a", "x", None, None)], "i long, h string, p string, _quality double, _toxic double")
+    got = {r.i: (r.p_quality, r.keep) for r in quality.judged(ev, quality.site_rates(ev, "h", "p"), "h", "p").collect()}
+    assert got.pop(-1) == (None, True)
+    want = plain_posteriors(rows)
+    assert all(abs(got[i][0] - w) < 1e-9 for i, w in enumerate(want))
+
+
 def test_sparse_sites_are_shrunk(spark):
-    rows = [("big", "p", 3.0 if i % 10 else -3.0) for i in range(400)] + [("bad", "p", -3.0) for _ in range(200)] + [("tiny", "p", -3.0)] + [(None, None, 3.0)]
+    rows = [("big", "p", 3.0 if i % 10 else -3.0) for i in range(400)] + [("bad", "p", -3.0) for _ in range(200)] + [("tiny", "p", -3.0), ("tiny", "p", -3.0)] + [(None, None, 3.0)]
     ev = spark.createDataFrame(rows, "h string, p string, _quality double").withColumn("_toxic", F.lit(-3.0))
-    shift = {r.host: r._shift_quality for r in quality.site_posteriors(ev, "h", "p").collect()}
-    assert shift["bad"] < shift["tiny"] < 0 < shift["big"]
-    assert abs(shift["tiny"]) < 0.6 * abs(shift["bad"])
-    assert None in shift
+    out = quality.judged(ev, quality.site_rates(ev, "h", "p"), "h", "p").where("_quality < 0")
+    by = {r.h: r.p for r in out.groupBy("h").agg(F.avg("p_quality").alias("p")).collect()}
+    assert by["bad"] < by["tiny"] < by["big"]
 
 
 def vectors(spark, rows):
