@@ -5,8 +5,8 @@ differ in at most three bits, then from some start every chain of l consecutive
 segments differs in at most ``l * 3 / 8`` bits: none in the first two, one in the
 first three to five, two in six or seven, three in all.  So two segments and two
 of the next three are equal: 8 starts with 3 choices give 24 keys of 32 bits by
-which candidates meet.  Within a key, pairs pass the chains of six and seven
-before the full check.
+which candidates meet.  Within a key, however many meet there, pairs pass the chains
+from its start before the full check.
 
 Equal fingerprints are one entry from the start, so a group of copies costs one
 row for each task.  From a key's candidates only a spanning forest of links is
@@ -29,6 +29,11 @@ from .components import components
 SEGMENTS, BITS = 8, 3
 #: Most differences in a chain of 1 to 8 segments.
 BUDGET = np.array([n * BITS // SEGMENTS for n in range(1, SEGMENTS + 1)])
+#: For each start, the bits of the chains whose budgets imply those of all others: two, five and seven segments.
+CHAINS = tuple(
+    (int(BUDGET[n - 1]), np.array([sum(255 << 8 * ((start + x) % SEGMENTS) for x in range(n)) for start in range(SEGMENTS)], dtype=np.uint64))
+    for n in (2, 5, 7)
+)
 #: Keys with more fingerprints are dealt out by a further segment.
 CROWDED = 4096
 SMALL = 48
@@ -110,35 +115,35 @@ class Forest:
                 self.links.append((x, y))
 
 
-def near(x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Which of these exclusive-ors are links; with ``start`` the chains from there are tried before the full check."""
-    if start is None:
-        return np.bitwise_count(x) <= BITS
-    ok = np.arange(len(x))
-    differ = np.bitwise_count(np.ascontiguousarray(x).view(np.uint8)).reshape(-1, SEGMENTS)
-    chain = np.take_along_axis(differ, (start[:, None] + np.arange(7)) % SEGMENTS, 1).cumsum(axis=1)
-    ok = ok[(chain <= BUDGET[:7]).all(axis=1)]
-    out = np.zeros(len(x), dtype=bool)
-    out[ok[np.bitwise_count(x[ok]) <= BITS]] = True
-    return out
+def near(x: np.ndarray, start) -> np.ndarray:
+    """Which of these exclusive-ors are links whose chains from ``start`` (one, or one each) keep within their budgets.
+
+    The chains come first, the full check is left to what passes them.  Every link passes from some start, and its ends
+    meet in a key of that start.
+    """
+    ok = np.ones(len(x), dtype=bool)
+    for most, bits in CHAINS:
+        ok &= np.bitwise_count(x & bits[start]) <= most
+    ok[ok] = np.bitwise_count(x[ok]) <= BITS
+    return ok
 
 
-def link_crowd(fps: np.ndarray, open_segments: list[int], forest: Forest) -> None:
-    """Link the distinct fingerprints of one key, however many."""
+def link_crowd(fps: np.ndarray, start: int, open_segments: list[int], forest: Forest) -> None:
+    """Link the distinct fingerprints of one key, however many, by the chains from its start."""
     if len(fps) > CROWDED and open_segments:
         bytes_ = fps.view(np.uint8).reshape(-1, SEGMENTS)
         for s in open_segments:  # one of them is equal in any linked pair, as at most three differ
             order = np.argsort(bytes_[:, s], kind="stable")
             for part in np.split(fps[order], np.flatnonzero(np.diff(bytes_[order, s])) + 1):
                 if len(part) > 1:
-                    link_crowd(part, [x for x in open_segments if x != s] if len(open_segments) > BITS + 1 else [], forest)
+                    link_crowd(part, start, [x for x in open_segments if x != s] if len(open_segments) > BITS + 1 else [], forest)
         return
     left = fps
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = near(left ^ x)
+            hit = near(left ^ x, start)
             if hit.any():
                 found = left[hit]
                 forest.join(np.full(len(found), x).view(np.int64), found.view(np.int64))
@@ -153,7 +158,7 @@ def link_sorted(keys: np.ndarray, fps: np.ndarray, numbers: np.ndarray, forest:
     size = np.repeat(sizes, sizes)
     for at in np.flatnonzero(sizes > SMALL):
         a, b = cuts[at], cuts[at + 1]
-        link_crowd(np.unique(fps[a:b]), free_segments(int(numbers[a])), forest)
+        link_crowd(np.unique(fps[a:b]), int(numbers[a]) // 3, free_segments(int(numbers[a])), forest)
     for lag in range(1, SMALL):
         i = np.flatnonzero((keys[:-lag] == keys[lag:]) & (size[:-lag] <= SMALL)) if lag < len(keys) else np.zeros(0, dtype=int)
         if not len(i):
