@@ -12,11 +12,13 @@ No piece holds a word mark behind another character, so the state after such a
 mark is always the same: there the state map of a chunk is constant.  Texts are
 cut into chunks at these places; the maps of distinct chunks are computed once
 and composed over a block by a prefix scan, which for constant maps is a running
-sum of their counts.
+sum of their counts.  Long words have no such places: their spans' maps are found for
+the states they are met in, and composed one after the other.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -32,6 +34,9 @@ from .common import ship, texts
 MARK = "▁"
 MAX_TRANSITIONS = 600_000
 MAX_CHUNKS = 400_000
+#: Longer words are read by spans of SPAN characters, whose state maps are kept as they are found.
+LONG, SPAN = 256, 32
+MAX_SPANS = 200_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -66,17 +71,35 @@ class Transducer(dict):
         self.states: list[tuple] = [((0, None, 0),)]
         self.number = {self.states[0]: 0}
         self.step: dict[int, int] = {}
+        self.spans: dict[tuple[int, str], tuple[int, int]] = {}
 
     def merged(self, text: str) -> list[str]:
-        """The tokens of a text, merged pair by pair: best score first, then leftmost."""
+        """The tokens of a text, merged pair by pair: best score first, then leftmost; n log n steps."""
         parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best = max(((scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            whole = parts[i] + parts[j]
+            if whole in scores:
+                heapq.heappush(queue, (-scores[whole], i, j, whole))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, j, whole = heapq.heappop(queue)
+            # a part that was merged away is empty, one that has grown spells another whole
+            if not parts[i] or not parts[j] or after[i] != j or parts[i] + parts[j] != whole:
+                continue
+            parts[i], parts[j] = whole, ""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                offer(i, after[j])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [x for x in parts if x]
 
     def _stable(self, before: str | None, token: str) -> bool:
         if before is not None and token[0] == MARK and before[-1] != MARK:
@@ -113,22 +136,37 @@ class Transducer(dict):
         self.step[state << 21 | ord(ch)] = packed
         return packed
 
+    def read(self, state: int, text: str) -> tuple[int, int]:
+        """The state map of a text at one state: the state after it and the tokens counted on the way."""
+        step, total = self.step, 0
+        for ch in text:
+            packed = step.get(state << 21 | ord(ch))
+            if packed is None:
+                packed = self._compile(state, ch)
+            state = packed >> 16
+            total += (packed & 0xFFFF) - (1 << 15)
+        return state, total
+
     def count(self, chunk: str) -> int:
         """Tokens of a chunk that begins with a mark; the state after it is the one before it."""
-        if len(self.step) > MAX_TRANSITIONS:
+        if len(self.step) > MAX_TRANSITIONS or len(self.spans) > MAX_SPANS:
             self.reset()
-        state = total = 0
-        step = self.step
         try:
-            for ch in chunk:
-                packed = step.get(state << 21 | ord(ch))
-                if packed is None:
-                    packed = self._compile(state, ch)
-                state = packed >> 16
-                total += (packed & 0xFFFF) - (1 << 15)
+            if len(chunk) <= LONG:
+                return self.read(0, chunk)[1]
+            state = total = 0
+            for at in range(0, len(chunk), SPAN):
+                key = (state, chunk[at : at + SPAN])
+                found = self.spans.get(key)
+                if found is None:
+                    found = self.read(*key)
+                    if len(self.spans) <= MAX_SPANS:
+                        self.spans[key] = found
+                state = found[0]
+                total += found[1]
+            return total
         except Ambiguous:
             return sum(1 if t in self.scores else self.unknown_cost(t) for t in self.merged(chunk))
-        return total
 
     def __missing__(self, chunk: str) -> int:
         n = self.count(MARK + chunk)

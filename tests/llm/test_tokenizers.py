@@ -85,6 +85,24 @@ def test_round_trip_and_counts_on_odd_documents(spark, reference):
     assert bpe.round_trip(empty(spark), BPE, P.PATTERN).count() == token_counts.token_counts(empty(spark), PIECES, 20).count() == 0
 
 
+def test_long_words_by_spans_and_by_merges():
+    """Words of any length, by composed state maps and by the fallback's merges, equal the library."""
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    machine = token_counts.sentencepiece_transducer(PIECES)
+    rng = random.Random(11)
+    for alphabet in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyzé", "01=", "\u4e2d\u6587z"):
+        for n in (255, 256, 257, 288, 5000):
+            word = "".join(rng.choices(alphabet, k=n))
+            want = len(sp.encode(word))
+            assert machine.count(token_counts.MARK + word) == want
+            assert sum(1 if t in machine.scores else machine.unknown_cost(t) for t in machine.merged(token_counts.MARK + word)) == want
+    assert machine.count(token_counts.MARK + "ab" * 200_000) == len(sp.encode("ab" * 200_000))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=40), st.integers(1, 64))
 def test_balance(sizes, capacity):
