@@ -14,11 +14,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .common import Numbers, ship, texts
+from .common import Numbers, discard, ship, stored, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -96,28 +96,37 @@ def in_share(key: str, salt: int, share: float) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000, least_count: int = 2) -> Backoff:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000, least_count: int = 2, max_letters: int = 64) -> Backoff:
     """Fit on the rows of ``docs`` that have a language.
 
-    The fit is bounded: of more than about ``max_docs`` rows, a share of that size drawn by a hash of the key; the
-    ``max_words`` most frequent words and ``max_grams`` n-grams (ties by text, then language).
+    The fit is bounded, each bound being dealt out evenly over the languages, so a rare one is learned at every size: of
+    a language's more than about ``max_docs`` over all languages' number of rows, a share of that size drawn by a hash of
+    the key; its most frequent of ``max_words`` words and ``max_grams`` n-grams (ties by text).  What one language chose
+    is counted in all of them.  Words of more than ``max_letters`` letters, and those a language has fewer than
+    ``least_count`` times, aren't learned.
     """
-    known = docs.where(F.col(lang).isNotNull())
-    n = known.select(lang).count()
-    rows = known.where(in_share(key, 5, min(1.0, max_docs / max(1, n)))).select(F.col(lang).alias("lang"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    words = rows.select("lang", F.explode(F.split("body", r"[^\p{L}]+")).alias("text")).where("text <> ''").groupBy("text", "lang").agg(F.count(F.lit(1)).alias("n")).where(F.length("text") <= 64)
+    known = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
+    sizes = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    langs = max(1, sizes.count())
+    drawn = known.join(sizes, "lang").where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 32)) * F.col("rows") < F.lit((1 << 32) * max_docs / langs))
+    spelled = F.filter(F.split("body", r"[^\p{L}]+"), lambda w: (F.length(w) > 0) & (F.length(w) <= max_letters))
+    words = stored(drawn.select("lang", F.explode(spelled).alias("text")).groupBy("text", "lang").agg(F.count(F.lit(1)).alias("n")), "words")
     marked = F.concat(F.lit("^"), F.col("text"), F.lit("$"))
 
     def pieces(k: int) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.length(marked) - (k - 1)), lambda i: F.substr(marked, i, F.lit(k)))
         return F.when(F.length(marked) >= k, cut).otherwise(F.array().cast("array<string>"))
 
-    grams = words.select("lang", "n", F.explode(F.concat(*map(pieces, range(1, LONGEST + 1)))).alias("text")).groupBy("text", "lang").agg(F.sum("n").alias("n"))
+    grams = stored(words.select("lang", "n", F.explode(F.concat(*map(pieces, range(1, LONGEST + 1)))).alias("text")).groupBy("text", "lang").agg(F.sum("n").alias("n")), "grams")
 
     def most(df: DataFrame, k: int) -> list[tuple[str, str, int]]:
-        return [tuple(r) for r in df.select("text", "lang", "n").orderBy(F.desc("n"), "text", "lang").limit(k).collect()]
+        first = Window.partitionBy("lang").orderBy(F.desc("n"), "text")  # of the bounded sample
+        chosen = df.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= max(1, k // langs)).select("text").distinct()
+        return [tuple(r) for r in df.join(chosen, "text", "left_semi").select("text", "lang", "n").collect()]
 
-    return Backoff(most(words.where(F.col("n") >= least_count), max_words), most(grams, max_grams))
+    out = Backoff(most(words.where(F.col("n") >= least_count), max_words), most(grams, max_grams))
+    discard(sizes, words, grams)
+    return out
 
 
 def predict(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,6 +83,58 @@ def test_language_on_odd_documents(spark):
     assert nothing.where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    """However small a language's share, and whatever the bounds."""
+    rows = [(i, "the quick brown fox jumps over it", "en") for i in range(3000)] + [(5000 + i, "nopea kettu hyppii sen yli", "fi") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_docs=200, max_words=12, max_grams=60)
+    assert model.langs == ["en", "fi"]
+    out = language_id.predict(docs, model).join(docs, "doc_id")
+    assert out.where("lang_pred <> lang").count() == 0
+    long = spark.createDataFrame([(0, "a" * 64 + " " + "b" * 65 + " " + "b" * 65 + " " + "a" * 64, "en")], docs.schema)
+    assert set(language_id.train(long).words) == {"a" * 64}
+
+
+def test_language_scores_equal_a_plain_program(spark):
+    """Counts, log frequencies and posteriors from dictionaries and loops."""
+    rng = random.Random(7)
+    stems = {"en": ["the", "house", "and", "rain", "old"], "de": ["das", "haus", "und", "regen", "old"], "nl": ["het", "huis", "en", "regen", "oud"]}
+    rows = [(i, " ".join(rng.choices(stems[x], k=rng.randrange(1, 12))), x) for i, x in enumerate(rng.choices(sorted(stems), k=120))]
+    asked = [(1000 + i, t, None) for i, t in enumerate(["The houses", "regens", "haus 7 oudje", "xyz", "und the", "zzz old"])]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    words, grams = {}, {}
+    for _, text, lang in rows:
+        for w in text.split():
+            words[w, lang] = words.get((w, lang), 0) + 1
+    for (w, lang), n in words.items():
+        m = f"^{w}$"
+        for k in range(1, 5):
+            for i in range(len(m) - k + 1):
+                grams[m[i : i + k], lang] = grams.get((m[i : i + k], lang), 0) + n
+    words = {k: n for k, n in words.items() if n >= 2}
+
+    def logs(table, key, same):
+        names = {t for t, _ in table if same(t)}
+        sums = {x: sum(n for (t, l), n in table.items() if l == x and same(t)) for x in stems}
+        return [math.log((table.get((key, x), 0) + 0.1) / (sums[x] + 0.1 * len(names))) for x in sorted(stems)]
+
+    def score(word):
+        if any(t == word for t, _ in words):
+            return logs(words, word, lambda t: True)
+        m = f"^{word}$"
+        for k in range(4, 0, -1):
+            found = [logs(grams, g, lambda t: len(t) == k) for g in (m[i : i + k] for i in range(len(m) - k + 1)) if any(t == g for t, _ in grams)]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * 3
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    for d, text, _ in rows + asked:
+        sums = [sum(x) for x in zip(*[score(w) for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()], strict=True)]
+        best = max(sums)
+        assert got[d][0] == sorted(stems)[sums.index(best)] and abs(got[d][1] - 1 / sum(math.exp(x - best) for x in sums)) < 1e-9
+
+
 def test_backoff_goes_from_words_to_shorter_grams():
     model = language_id.Backoff([("the", "en", 9), ("der", "de", 9)], [("^the", "en", 5), ("^der", "de", 5), ("er$", "de", 5), ("he$", "en", 5), ("e", "en", 1), ("t", "en", 9), ("e", "de", 3), ("d", "de", 3)])
     en = model.langs.index("en")
