@@ -249,6 +249,21 @@ def test_prefixes_share_as_many_shingles_as_are_needed():
         assert len(np.intersect1d(x, y)) >= near_copies.needed(min(len(a), len(b)))
 
 
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 30, 350, 3000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for changed in (0, 1, n // 20, n // 3):
+            other = np.unique(np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+            sketch = near_copies.sketches([base, other])
+            assert sketch.shape == (2, len(near_copies.SKETCH))
+            folded = np.bitwise_xor.reduce(sketch.reshape(2, -1, near_copies.FOLDED), axis=1)
+            differ = len(np.setxor1d(base, other))
+            assert near_copies.apart(*folded) <= near_copies.apart(*sketch) <= differ
+            if n == 350 and changed == n // 3:  # far below 0.8, which the full sketch tells
+                assert near_copies.apart(*sketch) > 0.112 * (len(base) + len(other))
+
+
 def test_near_copies_of_few_shingles(spark):
     """Pairs at just 0.8: four of five shingles, and twelve with three of their own."""
     rng = random.Random(6)
