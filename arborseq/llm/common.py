@@ -63,7 +63,7 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Words of 64 bits in the filter that ``parted`` broadcasts: 16 MB.
+#: Most words of 64 bits in the filter that ``parted`` broadcasts: 16 MB.
 FILTER_WORDS = 1 << 20
 
 
@@ -71,13 +71,20 @@ def parted(rows: DataFrame, columns: list[str], wanted: DataFrame) -> tuple[Data
     """(rows of which none has its ``columns`` in ``wanted``, the others), told by a bit for each hash.
 
     The others hold all that are in ``wanted`` and some more, so joins that shuffle can be kept to them.  The filter has
-    a fixed size; where ``wanted`` has so many rows that it fills up, it saves nothing.
+    16 bits for each row of ``wanted``, a stored table that is counted here, up to a bound; where there are so many that
+    it would fill up, it would save nothing, and all rows are others.
     """
+    size = wanted.count()
+    if size > 64 * FILTER_WORDS:
+        return rows.where("1 = 0"), rows
+    words = min(FILTER_WORDS, 1 << max(10, (size // 4).bit_length()))
     hashed = F.xxhash64(*columns)
-    word, bit = F.pmod(hashed, F.lit(FILTER_WORDS)), F.shiftrightunsigned(hashed, 58).cast("int")
-    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
-    marked = rows.join(F.broadcast(bits), word == F.col("_word"), "left").withColumn("_hit", F.coalesce(F.call_function("getbit", "_bits", bit), F.lit(0)) == 1)
-    return tuple(marked.where(F.col("_hit") == x).select(*rows.columns) for x in (False, True))
+    word, bit = F.pmod(hashed, F.lit(words)), F.shiftrightunsigned(hashed, 58).cast("int")
+    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    # the caller's columns travel in a struct, so their names can't clash with those of the filter
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), word.alias("at"), bit.alias("bit"))
+    marked = packed.join(F.broadcast(bits), F.col("at") == F.col("word"), "left").withColumn("hit", F.coalesce(F.call_function("getbit", "bits", "bit"), F.lit(0)) == 1)
+    return tuple(marked.where(F.col("hit") == x).select("row.*") for x in (False, True))
 
 
 def ship(spark: SparkSession) -> None:
