@@ -64,8 +64,8 @@ def gains(target: list[int], given: list[int]) -> list[int]:
 
 def weight(buckets: Column, gain: list[int]) -> Column:
     """Sum of the gains of an array of buckets; an empty one weighs 0."""
-    table = F.expr(f"array({', '.join(map(str, gain))})")
-    return F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.element_at(table, b + 1).cast("long"))
+    table = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")  # folded to a literal
+    return F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.element_at(table, b + 1))
 
 
 def perturbation(key: Column, seed: int) -> Column:
@@ -89,7 +89,7 @@ def ranked(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     for r in sizes:
         begins[r.run], at_ = at_, at_ + r.n
     starts = [begins.get(i, 0) for i in range(max(begins, default=-1) + 1)] or [0]
-    start = F.element_at(F.expr(f"array({', '.join(f'{x}L' for x in starts)})"), F.col("run") + 1)
+    start = F.element_at(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col("run") + 1)
     rank = start + F.col("place") + 1
     return dealt.withColumn("rank", F.when(F.col("able") & (rank <= drawn), rank)).drop("run", "place")
 

@@ -191,7 +191,7 @@ def without_lines(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text
     body = F.col(f"row.`{text}`")
     n = F.size(lines_of(body)).cast("long")
     joined = hit.join(bitmaps.select(*NAME, "n_dropped", "bitmap"), NAME, "left")
-    left = finished(joined, F.when(F.col("bitmap").isNull(), body).otherwise(cut(body, F.col("bitmap"))), n, F.coalesce("n_dropped", F.lit(0)).cast("long"))
+    left = finished(joined, F.when(F.col("bitmap").isNull(), body).otherwise(cut(F.coalesce(body, F.lit("")), F.col("bitmap"))), n, F.coalesce("n_dropped", F.lit(0)).cast("long"))
     return finished(untouched, body, n, F.lit(0).cast("long")).unionByName(left)
 
 
