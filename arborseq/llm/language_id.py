@@ -96,6 +96,11 @@ def in_share(key: str, salt: int, share: float) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
 
 
+def in_sample(key: Column, rows: Column, most: float) -> Column:
+    """Whether a row is among about ``most`` of ``rows``, any number of them, by a hash of its key."""
+    return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 32)).cast("double") * rows.cast("double") < F.lit(float(1 << 32) * most)
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000, least_count: int = 2, max_letters: int = 64) -> Backoff:
     """Fit on the rows of ``docs`` that have a language.
 
@@ -108,7 +113,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     known = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
     sizes = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
     langs = max(1, sizes.count())
-    drawn = known.join(sizes, "lang").where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 32)) * F.col("rows") < F.lit((1 << 32) * max_docs / langs))
+    drawn = known.join(sizes, "lang").where(in_sample(F.col("key"), F.col("rows"), max_docs / langs))
     spelled = F.filter(F.split("body", r"[^\p{L}]+"), lambda w: (F.length(w) > 0) & (F.length(w) <= max_letters))
     words = stored(drawn.select("lang", F.explode(spelled).alias("text")).groupBy("text", "lang").agg(F.count(F.lit(1)).alias("n")), "words")
     marked = F.concat(F.lit("^"), F.col("text"), F.lit("$"))

@@ -5,18 +5,20 @@ archive files, pushes predicates on record type and headers into the scan, reads
 a record's headers before anything else and leaves its payload undecoded unless
 the record passed the predicates and the payload column is asked for
 (``option("payload", "false")`` leaves it out).  ``df.write.format("warc")``
-writes one archive per task, each record a gzip member of its own; an archive
-counts only once it stands in the manifest that the commit writes, so attempts
-of lost or doubled tasks are never read.
+writes archives of bounded size, each record a gzip member of its own whose
+header tells its length, so a reader passes over unwanted records without
+decompressing them.  An archive counts only once it stands in a manifest; every
+write commits one of its own, so attempts of lost or doubled tasks are never
+read, and what is appended to a folder later adds to what is there.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,8 +45,11 @@ HEADERS = {
     "full_bytes": "WARC-Full-Payload-Length",
 }
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in HEADERS] + [T.StructField("payload_bytes", T.LongType()), T.StructField("payload", T.BinaryType())])
-MANIFEST = "_manifest.json"
+#: Manifests, one for each write: their names begin with this.
+MANIFEST = "_manifest"
 BATCH_BYTES = 8 << 20
+#: A gzip header with one extra field, "RL": the member's length in bytes, 64 bits.
+MEMBER = struct.Struct("<4sIBBHccHQ")
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -69,7 +74,11 @@ def record(headers: dict[str, object], payload: bytes) -> bytes:
     if headers.get("WARC-Type") == "response":
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     lines = ["WARC/1.1"] + [f"{k}: {clean(v)}" for k, v in headers.items() if v is not None] + [f"Content-Length: {len(block)}"]
-    return gzip.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+    data = "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    engine = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = engine.compress(data) + engine.flush()
+    head = MEMBER.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"R", b"L", 8, MEMBER.size + len(body) + 8)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 class Member:
@@ -80,9 +89,11 @@ class Member:
         self.engine: zlib._Decompress | None = None
 
     def start(self) -> bool:
-        if not self.rest:
-            self.rest = self.stream.read(1 << 16)
-        self.engine, self.buffer = zlib.decompressobj(31), b""
+        while len(self.rest) < MEMBER.size and (new := self.stream.read(1 << 16)):
+            self.rest += new
+        self.engine, self.buffer, self.end = zlib.decompressobj(31), b"", None
+        if self.rest[:4] == b"\x1f\x8b\x08\x04" and self.rest[10:16] == b"\x0c\x00RL\x08\x00" and len(self.rest) >= MEMBER.size:
+            self.end = self.stream.tell() - len(self.rest) + MEMBER.unpack_from(self.rest)[-1]
         return bool(self.rest)
 
     def more(self) -> bool:
@@ -118,9 +129,19 @@ class Member:
         return data[:n]
 
     def skip(self) -> None:
-        """To the next member; what is passed over is decompressed piecewise and never kept or decoded."""
-        while self.more():
-            self.buffer = b""
+        """To the next member: by its length where the header tells it, else by decompressing piecewise and keeping nothing."""
+        at = self.stream.tell() - len(self.rest)
+        if self.end is None or self.engine.eof:
+            while self.more():
+                self.buffer = b""
+        elif self.end <= at + len(self.rest):
+            self.rest = self.rest[self.end - at :]
+        else:
+            self.stream.seek(self.end - 1)
+            if not self.stream.read(1):
+                raise EOFError("an archive ends within a record")
+            self.rest = b""
+        self.buffer = b""
 
 
 @dataclass
@@ -151,8 +172,13 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         system, root = open_path(self.path)
         root = root.rstrip("/")
-        with system.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            files = json.loads(f.read())
+        manifests = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.startswith(MANIFEST))
+        if not manifests:
+            raise FileNotFoundError(f"no write to {self.path} was committed")
+        files = []
+        for path in manifests:
+            with system.open_input_stream(path, compression=None) as f:
+                files += json.loads(f.read())
         groups, size = [[]], 0
         for name, n in files:
             if groups[-1] and size + n > self.target:
@@ -213,29 +239,37 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
+        self.target = int(options.get("fileBytes", str(1 << 30)))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = open_path(self.path)
         system.create_dir(root, recursive=True)
-        name, out, size = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
+        files: list[tuple[str, int]] = []
+        out = None
         for batch in iterator:
             names = batch.schema.names
             heads = [(h, batch.column(names.index(c)).to_pylist()) for c, h in HEADERS.items() if c in names]
             payloads = batch.column(names.index("payload"))
             for i in range(batch.num_rows):
-                out = out or system.open_output_stream(f"{root}/{name}", compression=None)
-                payload = payloads[i].as_py() or b""
-                data = record({h: v[i] for h, v in heads}, payload)
+                if out is None:
+                    name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
+                data = record({h: v[i] for h, v in heads}, payloads[i].as_py() or b"")
                 out.write(data)
                 size += len(data)
+                if size >= self.target:
+                    out.close()
+                    files.append((name, size))
+                    out = None
         if out:
             out.close()
-        return Written([(name, size)] if out else [])
+            files.append((name, size))
+        return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = open_path(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        with system.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -269,13 +303,14 @@ def base32(hex_digest):
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> None:
-    """Write a record per row: ``response``, or ``revisit`` of the row with the smallest key among equal payloads.
+def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 30) -> None:
+    """Add a record per row to the archives at ``path``: ``response``, or ``revisit`` of the row with the smallest key among equal payloads.
 
     Payloads smaller than ``least_bytes`` are all responses.  Null html is an empty payload.  Equality is that of SHA-1
     and length.  Rows that repeat the smallest key of a group are all responses; rows with a null key are responses if
     their group has no other key, else revisits.  The smallest key for each payload that occurs more than once is
-    stored first, so Spark knows its size when it chooses how to join it; payloads themselves are never grouped.
+    stored first, so Spark knows its size when it chooses how to join it; payloads themselves are never grouped.  Pages
+    that are written later don't refer to earlier ones.  Archives end at about ``file_bytes``.
     """
     register(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit(""))
@@ -297,7 +332,7 @@ def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.col("_n").cast("string").alias("full_bytes"),
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
-    out.write.format("warc").mode("append").save(path)
+    out.write.format("warc").option("fileBytes", str(file_bytes)).mode("append").save(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -60,6 +60,58 @@ def test_warc_reads_committed_archives_only(spark, tmp_path):
         m.skip()
 
 
+def test_warc_appends_to_a_folder(spark, tmp_path):
+    path = f"file://{tmp_path}/more"
+    rows = pages(spark)
+    warc.archive_pages(rows, path)
+    n = warc.read_archives(spark, path).count()
+    warc.archive_pages(rows.limit(1), path)
+    warc.archive_pages(rows.where("1 = 0"), path)
+    assert n == rows.count() and warc.read_archives(spark, path).count() == n + 1
+
+
+def test_warc_files_are_bounded_and_skipped_by_length(spark, tmp_path):
+    import gzip
+    import os
+
+    rng = np.random.default_rng(1)
+    noise = [bytes(rng.integers(97, 123, 300_000, dtype=np.uint8)).decode() for _ in range(6)]
+    rows = spark.createDataFrame([(i, "u", noise[i]) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    warc.archive_pages(rows, str(tmp_path / "a"), file_bytes=400_000)
+    files = [f for f in os.listdir(tmp_path / "a") if f.endswith(".gz")]
+    assert len(files) == 2
+    assert sum(gzip.open(tmp_path / "a" / f).read().count(b"WARC/1.1") for f in files) == 6
+
+    class Counted(__import__("io").BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            Counted.taken += len(out)
+            return out
+
+    data = b"".join(warc.record({"WARC-Type": "response", "WARC-Source-Id": str(i)}, x.encode()) for i, x in enumerate(noise))
+    member, seen = warc.Member(Counted(data)), []
+    while member.start():
+        head = member.until(b"\r\n\r\n")
+        if b"Source-Id: 3" in head:
+            member.until(b"\r\n\r\n")
+            seen.append(member.take(300_000).decode())
+        member.skip()
+    assert seen == [noise[3]] and Counted.taken < len(data) / 2
+    foreign = gzip.compress(data[:0] + b"WARC/1.1\r\nWARC-Type: metadata\r\n\r\nx") * 2
+    member, n = warc.Member(__import__("io").BytesIO(foreign)), 0
+    while member.start():
+        n += member.until(b"\r\n\r\n").count(b"metadata")
+        member.skip()
+    assert n == 2
+    with pytest.raises(EOFError):
+        member = warc.Member(__import__("io").BytesIO(data[:-10]))
+        while member.start():
+            member.until(b"\r\n\r\n")
+            member.skip()
+
+
 def test_warc_of_an_empty_table(spark):
     assert warc.round_trip(pages(spark).where("1 = 0")).count() == 0
 
@@ -83,6 +135,13 @@ def test_language_on_odd_documents(spark):
     assert nothing.where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_at_any_size(spark):
+    """Three billion rows of a language: about the wanted number of them is drawn, and nothing overflows."""
+    drawn = spark.range(200_000).where(language_id.in_sample(F.col("id"), F.lit(3_000_000_000), 30_000_000.0)).count()
+    assert 1700 < drawn < 2300
+    assert spark.range(100).where(language_id.in_sample(F.col("id"), F.lit(100), 100.0)).count() == 100
+
+
 def test_rare_languages_are_learned(spark):
     """However small a language's share, and whatever the bounds."""
     rows = [(i, "the quick brown fox jumps over it", "en") for i in range(3000)] + [(5000 + i, "nopea kettu hyppii sen yli", "fi") for i in range(3)]
