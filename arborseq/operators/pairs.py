@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import discard, stored
 from .sequences import BRANCH
 
 PAIR = ["cell_a", "branch_a", "cell_b", "branch_b"]
+#: A list of branches is extended by one more element if its pairs outnumber this many times the rows that makes.
+PATIENCE = 4
 
 
 def cell_sets(rows: DataFrame) -> DataFrame:
@@ -15,15 +20,69 @@ def cell_sets(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*BRANCH).agg(F.sort_array(F.collect_set("pre_cell")).alias("s"))
 
 
-def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None) -> DataFrame:
+def by_rarity(sets: DataFrame) -> DataFrame:
+    """The same sets, each in the order in which its elements become more frequent over all branches; ties by element."""
+    each = sets.select(*BRANCH, F.explode("s").alias("e"))
+    often = each.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    return each.join(often, "e").groupBy(*BRANCH).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("s"))
+
+
+def _marks(s, first) -> Column:
+    """64 bits, one for the hash of each element of ``s`` from place ``first`` on; all set where there are more elements than bits."""
+    left = F.slice(s, first + 1, F.greatest(F.size(s) - first, F.lit(0)))
+    bits = F.aggregate(left, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(e), F.lit(64)).cast("int"))))
+    return F.when(F.size(s) - first > 64, F.lit(-1).cast("long")).otherwise(bits)
+
+
+def candidates(sets: DataFrame, k: int, patience: float = PATIENCE) -> DataFrame:
+    """PAIR of the branches that may share ``k`` elements, each once; ``sets`` hold theirs in one common order.
+
+    Sets that share k elements share the first l of them within the first ``size - k + l``, for every l.  So an inverted
+    index lists branches by single elements of their prefixes; where a list is so long that its pairs cost more than
+    listing its branches anew under one further element each, that is done instead, up to k elements, where a meeting is
+    a result.  Whether a list is extended is a property of its key, so two branches that share k elements follow their
+    first ones in common through the same extensions and meet.  Lists hold keys, sizes, places and ``_marks`` of what
+    comes after, no sets: two branches that need more elements in common than the key has a mark in common, too.
+    """
+    met: list[DataFrame] = []
+    keys = ["e1"]
+    size = F.size("s")
+    level = sets.select(*BRANCH, size.alias("size"), "s", F.posexplode(F.slice("s", F.lit(1), size - (k - 1))).alias("at", "e1"))
+    made: list[DataFrame] = []
+    for n in range(1, k + 1):
+        # what one further element makes of a list's branches, against its pairs
+        more = F.sum(F.col("size") - (k - n) - F.col("at")) if n < k else F.lit(None).cast("long")
+        lists = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), more.alias("more")).where("n > 1")
+        long_ = F.coalesce(F.col("n").cast("double") * (F.col("n") - 1) / 2 > patience * F.col("more"), F.lit(False))
+        level = level.withColumn("marks", _marks(F.col("s"), F.col("at") + 1)).drop("s")
+        level = stored(level.join(lists.select(*keys, long_.alias("long")), keys), f"pairs-{n}")
+        made.append(level)
+        short = level.where(~F.col("long"))
+        a, b = short.alias("a"), short.alias("b")
+        same = reduce(lambda c, e: c & (F.col(f"a.{e}") == F.col(f"b.{e}")), keys, F.col("a.post_cell") < F.col("b.post_cell"))
+        if n < k:
+            same = same & (F.col("a.marks").bitwiseAND(F.col("b.marks")) != 0)
+        met.append(a.join(b, same).select(*[F.col(f"{x}.{c}").alias(name) for (x, c), name in zip([(x, c) for x in "ab" for c in BRANCH], PAIR, strict=True)]))
+        if n == k:
+            break
+        # extended lists: elements after the last one, within the longer prefix
+        grown = level.where("long").select(*BRANCH, "size", "at", *keys)
+        if grown.isEmpty():
+            break
+        rest = F.slice("s", F.col("at") + 2, F.greatest(F.col("size") - (k - n - 1) - F.col("at") - 1, F.lit(0)))
+        grown = grown.join(sets, BRANCH).select(*BRANCH, "size", "s", *keys, "at", F.posexplode(rest).alias("step", f"e{n + 1}"))
+        level = grown.withColumn("at", F.col("at") + 1 + F.col("step")).drop("step")
+        keys = [*keys, f"e{n + 1}"]
+    out = stored(reduce(DataFrame.union, met).distinct(), "pairs-met")
+    discard(*made)
+    return out
+
+
+def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None, patience: float = PATIENCE) -> DataFrame:
     """PAIR and n_shared: branches of different cells (cell_a < cell_b) with at least ``k`` input cells in common.
 
-    Two sets that share k elements share two of the first ``size - k + 2`` in any fixed order (for k = 1, one of the
-    first ``size``).  So branches meet on pairs of elements of that prefix, not on single cells: posting lists are far
-    shorter, and a cell that is everywhere no longer makes a list that grows with the square of its branches.  Sets
-    come along sorted, so a meeting is verified where it happens and counts only on the first two elements in common:
-    one join, each pair once, nothing to make distinct.  ``between`` (cell_a, cell_b) keeps listed cells only, in
-    either order.
+    ``candidates`` meet on their rarest elements, and sets are fetched for those only.  ``between`` (cell_a, cell_b) keeps
+    listed cells only, in either order.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -32,20 +91,12 @@ def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None) -> Da
         wanted = between.select(F.least("cell_a", "cell_b").alias("cell_a"), F.greatest("cell_a", "cell_b").alias("cell_b")).where("cell_a <> cell_b").distinct()
         either = wanted.select(F.col("cell_a").alias("post_cell")).union(wanted.select(F.col("cell_b").alias("post_cell"))).distinct()
         sets = sets.join(either, "post_cell", "left_semi")
-    if k == 1:
-        keys = F.transform("s", lambda e: F.struct(e.alias("e"), e.alias("f")))
-    else:
-        m = F.size("s") - (k - 2)
-        keys = F.flatten(F.transform(F.sequence(F.lit(1), m - 1), lambda i: F.transform(F.sequence(i + 1, m), lambda j: F.struct(F.element_at("s", i).alias("e"), F.element_at("s", j).alias("f")))))
-    posted = sets.select(*BRANCH, "s", F.explode(keys).alias("key")).select(*BRANCH, "s", "key.e", "key.f")
-    a, b = posted.alias("a"), posted.alias("b")
-    met = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.f") == F.col("b.f")) & (F.col("a.post_cell") < F.col("b.post_cell")))
-    common = F.array_intersect("a.s", "b.s")
-    first = (F.element_at(common, 1) == F.col("a.e")) & (F.lit(True) if k == 1 else F.element_at(common, 2) == F.col("a.f"))
-    pairs = met.where((F.size(common) >= k) & first).select(
-        F.col("a.post_cell").alias("cell_a"), F.col("a.branch_id").alias("branch_a"), F.col("b.post_cell").alias("cell_b"), F.col("b.branch_id").alias("branch_b"), F.size(common).cast("long").alias("n_shared")
-    )
-    return pairs if between is None else pairs.join(wanted, ["cell_a", "cell_b"], "left_semi")
+    sets = stored(by_rarity(sets), "pairs-sets")
+    found = candidates(sets, k, patience)
+    if between is not None:
+        found = found.join(wanted, ["cell_a", "cell_b"], "left_semi")
+    common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+    return fetch(found, sets, "s").select(*PAIR, common.alias("n_shared")).where(F.col("n_shared") >= k)
 
 
 def fetch(pairs: DataFrame, branches: DataFrame, *columns: str) -> DataFrame:
