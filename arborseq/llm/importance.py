@@ -2,7 +2,8 @@
 
 Features are hashed runs of one to three words.  A document's features become an array of buckets by higher-order
 functions; its weight is the sum over that array of a literal array of gains, with nothing exploded.  What is shuffled
-on the way is a total for each bucket and, for ranking, one narrow row for each document.
+on the way is a total for each bucket and, for ranking, one narrow row for each document.  The arrays are needed twice,
+for the totals and then for the weights: they are stored, 14 bits a feature, as making them takes most of the time.
 """
 
 from __future__ import annotations
@@ -22,23 +23,26 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z in lower case; null has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a lambda variable that stands for ``value``, which so is evaluated once however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def buckets_of(words: Column, n_buckets: int = BUCKETS) -> Column:
     """The bucket of every run of one to three words."""
-    n = F.size(words)
 
-    def rest(a: Column, from_: int) -> Column:
-        return F.slice(a, F.lit(from_), F.greatest(n - (from_ - 1), F.lit(0)))
+    def runs(shorter: Column, words: Column, n: int) -> Column:
+        """Runs of ``n`` words from those of one word less and the words that follow them."""
+        m = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        return F.zip_with(F.slice(shorter, F.lit(1), m), F.slice(words, F.lit(n), m), lambda x, y: F.concat(x, F.lit(b" "), y))
 
-    def pairs(a: Column, b: Column) -> Column:
-        """Strings of ``a`` joined with those of the shorter ``b`` at their side."""
-        return F.filter(F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), lambda s: s.isNotNull())
+    def all_runs(one: Column) -> Column:
+        return _bound(runs(one, one, 2), lambda two: F.transform(F.concat(one, two, runs(two, one, 3)), lambda s: (F.crc32(s) % n_buckets).cast("int")))
 
-    two = pairs(words, rest(words, 2))
-    three = pairs(two, rest(words, 3))
-    return F.flatten(F.transform(F.array(words, two, three), lambda a: F.transform(a, lambda s: (F.crc32(s) % n_buckets).cast("int"))))
+    return _bound(words.cast("array<binary>"), all_runs)
 
 
 def bucketed(rows: DataFrame, key: str, text: str, n_buckets: int = BUCKETS) -> DataFrame:
@@ -48,8 +52,11 @@ def bucketed(rows: DataFrame, key: str, text: str, n_buckets: int = BUCKETS) ->
 
 
 def totals(rows: DataFrame, n_buckets: int = BUCKETS) -> list[int]:
-    """How many features of ``bucketed`` rows fall in each bucket: tasks add up theirs before anything is shuffled."""
-    counted = rows.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    """How many features of ``bucketed`` rows fall in each bucket: tasks add up theirs before anything is shuffled.
+
+    Empty arrays leave a null: Spark would tell them apart by making every array a second time.
+    """
+    counted = rows.select(F.explode_outer("buckets").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("b is not null")
     out = [0] * n_buckets
     for r in counted.collect():  # a row for each bucket
         out[r.b] = r.n
@@ -103,10 +110,11 @@ def resampled(
     equal scores; repeated rows are rows of their own, next to each other in the order.  Without a target every gain comes
     from the smoothing.  Columns other than key and text play no part.
     """
-    given = totals(bucketed(docs, key, text, n_buckets), n_buckets)
-    wanted = totals(bucketed(target.withColumn("_none", F.lit(None)), "_none", text, n_buckets), n_buckets)
-    rows = bucketed(docs, key, text, n_buckets).select("id", (F.col("n_words") >= least_words).alias("able"), F.size("buckets").cast("long").alias("n_features"), weight(F.col("buckets"), gains(wanted, given)).alias("weight"))
-    scored = stored(rows.withColumn("score", F.col("weight") + perturbation(F.col("id"), seed)), "scored")
+    rows = stored(bucketed(docs, key, text, n_buckets), "buckets")
+    wanted = totals(bucketed(target.select(F.lit(None).alias("none"), F.col(text).alias("text")), "none", "text", n_buckets), n_buckets)
+    weighed = weight(F.col("buckets"), gains(wanted, totals(rows, n_buckets))).alias("weight")
+    scores = rows.select("id", (F.col("n_words") >= least_words).alias("able"), F.size("buckets").cast("long").alias("n_features"), weighed)
+    scored = stored(scores.withColumn("score", F.col("weight") + perturbation(F.col("id"), seed)), "scored")
     out = ranked(scored, share).select(F.col("id").alias(key), "n_features", "weight", "score", "rank")
-    discard(scored)
+    discard(rows, scored)
     return out
