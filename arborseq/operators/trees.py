@@ -7,12 +7,16 @@ of the depth, for all trees of a batch at once.
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ROOT, UNKNOWN
 from .by_cell import Columns, by_cell, cells_of
+from .spatial import k_nearest
 
 KEY = ["cell_id", "node_id"]
 
@@ -275,141 +279,189 @@ def moved(nodes: DataFrame, places: DataFrame) -> DataFrame:
 # ---- building and smoothing ----
 
 
-def minimum_tree(points: np.ndarray, root: np.ndarray, k: int, root_k: int) -> np.ndarray:
-    """Parents (-1: the root) of points joined to a tree.
+def forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chosen, component) of the minimum spanning forest of edges given in rising order, by rounds of least edges.
 
-    Edges join a point with its k nearest, itself counted, and the root with its own; root edges are shortened by the
-    distance of the nearest point.  The minimum spanning forest breaks ties by the lower places; what isn't connected
-    with the root hangs on it by its leaf nearest to it.
+    In a round every component takes the first edge that leaves it; components at least halve, so rounds are few.
     """
-    n = len(points)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    every = np.vstack([points, root])
-    best: dict[tuple[int, int], float] = {}
-    k, root_k = min(k, n), min(root_k, n)
-    for lo in range(0, n, 512):
-        d = np.sqrt(((every[lo : lo + 512, None] - every[None]) ** 2).sum(-1))
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        for r in range(min(512, n - lo)):
-            for j in near[r].tolist():
-                if j != lo + r and lo + r < n:
-                    best[min(lo + r, j), max(lo + r, j)] = float(d[r, j])
-    d = np.sqrt(((every - root) ** 2).sum(-1))
-    near = np.argsort(d, kind="stable")
-    near = np.concatenate([[n], near[near != n]])[:root_k]
-    radius = float(d[near[1]]) if len(near) > 1 else 3.0
-    for j in near[1:].tolist():
-        best[j, n] = float(d[j]) - radius
-    group = list(range(n + 1))
-
-    def find(x: int) -> int:
-        while group[x] != x:
-            group[x] = x = group[group[x]]
-        return x
-
-    linked: list[list[int]] = [[] for _ in range(n + 1)]
-    for (u, v), _ in sorted(best.items(), key=lambda e: (e[1], e[0])):
-        a, b = find(u), find(v)
-        if a != b:
-            group[max(a, b)] = min(a, b)
-            linked[u].append(v)
-            linked[v].append(u)
-    home = find(n)
-    loose: dict[int, list[int]] = {}
-    for i in range(n):
-        if find(i) != home:
-            loose.setdefault(find(i), []).append(i)
-    for members in loose.values():
-        ends = [i for i in members if len(linked[i]) <= 1]
-        i = min(ends, key=lambda i: (d[i], i))
-        linked[n].append(i)
-        linked[i].append(n)
-    parent = np.full(n + 1, -1, dtype=np.int64)
-    queue, seen = [n], {n}
-    for at in queue:
-        for j in sorted(linked[at]):
-            if j not in seen:
-                seen.add(j)
-                parent[j] = -1 if at == n else at
-                queue.append(j)
-    return parent[:n]
+    component = np.arange(n)
+    chosen = np.zeros(len(u), dtype=bool)
+    live = np.arange(len(u))
+    while True:
+        a, b = component[u[live]], component[v[live]]
+        live, a, b = live[a != b], a[a != b], b[a != b]
+        if not len(live):
+            return chosen, component
+        first = np.full((2, n), len(u))
+        for one, end in zip(first, (a, b), strict=True):
+            one[end[::-1]] = live[::-1]  # the last assignment is the least edge
+        least = first.min(axis=0)
+        c = np.flatnonzero(least < len(u))
+        chosen[least[c]] = True
+        x, y = component[u[least[c]]], component[v[least[c]]]
+        pointer = np.arange(n)
+        pointer[c] = np.where(x == c, y, x)
+        pair = (pointer[pointer] == np.arange(n)) & (np.arange(n) < pointer)
+        pointer[pair] = np.flatnonzero(pair)
+        component = jump(pointer)[component]
+
+
+def rooted(n: int, u: np.ndarray, v: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Each node's neighbour on the way to its tree's root, -1 for roots."""
+    ends, others = np.concatenate([u, v]), np.concatenate([v, u])
+    order = np.argsort(ends, kind="stable")
+    others = others[order]
+    begin = np.searchsorted(ends[order], np.arange(n + 1))
+    up = np.full(n, -1, dtype=np.int64)
+    seen = np.zeros(n, dtype=bool)
+    seen[roots] = True
+    front = roots
+    while len(front):
+        size = begin[front + 1] - begin[front]
+        at = np.repeat(begin[front] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        to, by = others[at], np.repeat(front, size)
+        new = ~seen[to]
+        front = to[new]
+        up[front], seen[front] = by[new], True
+    return up
+
+
+def spanning_trees(c: Columns, root_k: int, k: int) -> dict:
+    """Trees of whole cells from their rows: roots (kind 0), nodes (1) and edges to neighbours (2), sorted by node."""
+    kind = c["kind"]
+    cells, number = np.unique(c["cell_id"].astype(np.int64), return_inverse=True)
+    is_node = kind == 1
+    ids, cell = c["node_id"][is_node].astype(np.int64), number[is_node]
+    n, m = len(ids), len(cells)
+    size = np.bincount(cell, minlength=m)
+    root = np.full((m, 3), np.nan)
+    xyz = np.stack([c[x] for x in "xyz"], axis=1).astype(float)
+    root[number[kind == 0]] = xyz[kind == 0]
+    if (np.bincount(number[kind == 0], minlength=m)[size > 0] == 0).any():
+        raise ValueError("a cell has no root")
+    order = np.lexsort((ids, cell))
+    ids, cell, at = ids[order], cell[order], xyz[is_node][order]
+    names = np.unique(ids)
+    key = cell * (len(names) + 1) + np.searchsorted(names, ids)
+    far = np.sqrt(((at - root[cell]) ** 2).sum(-1))
+
+    def place(which: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Of a cell's node; the root comes after all nodes."""
+        found = np.searchsorted(key, which * (len(names) + 1) + np.searchsorted(names, node))
+        return np.where(node == ROOT_PLACE, n + which, found)
+
+    e = (kind == 2) & (c["rank"] <= np.minimum(k, size)[number])
+    a, b = place(number[e], c["node_id"][e].astype(np.int64)), place(number[e], c["neighbour"][e].astype(np.int64))
+    u, v, w = np.minimum(a, b), np.maximum(a, b), c["distance"][e].astype(float)
+    # the root's own neighbours: nearer by the distance of the nearest
+    by_far = np.lexsort((np.arange(n), far, cell))
+    begin = np.searchsorted(cell[by_far], np.arange(m))
+    turn = np.arange(n) - begin[cell[by_far]]
+    near = by_far[turn < np.minimum(root_k, size)[cell[by_far]] - 1]
+    radius = np.full(m, 3.0)
+    radius[size > 0] = far[by_far[begin[size > 0]]]
+    taken = np.zeros(n, dtype=bool)
+    taken[near] = True
+    keep = ~((v >= n) & taken[np.minimum(u, n - 1)]) if n else np.zeros(0, bool)
+    u, v = np.concatenate([u[keep], near]), np.concatenate([v[keep], n + cell[near]])
+    w = np.concatenate([w[keep], far[near] - radius[cell[near]]])
+    rising = np.lexsort((v, u, w))
+    u, v = u[rising], v[rising]
+    chosen, component = forest(n + m, u, v)
+    u, v = u[chosen], v[chosen]
+    # what isn't connected with the root hangs on it by its leaf nearest to it
+    degree = np.bincount(np.concatenate([u, v]), minlength=n + m)[:n]
+    loose = np.flatnonzero((component[:n] != component[n + cell]) & (degree <= 1)) if n else np.zeros(0, int)
+    loose = loose[np.lexsort((loose, far[loose], component[loose]))]
+    first = np.concatenate([[True], component[loose][1:] != component[loose][:-1]])[: len(loose)]
+    hung = loose[first]
+    up = rooted(n + m, np.concatenate([u, hung]), np.concatenate([v, n + cell[hung]]), n + np.arange(m))[:n]
+    return {"cell_id": cells[cell], "node_id": ids, "parent_id": np.where(up < n, ids[np.minimum(up, n - 1)], ROOT) if n else ids}
+
+
+#: The root's identifier while a tree is built: after all others.
+ROOT_PLACE = (1 << 63) - 1
 
 
 def build(points: DataFrame, roots: DataFrame, k: int = 6, root_k: int = 12, cell: str = "cell_id") -> DataFrame:
     """A tree per cell over its points (cell_id, node_id, x, y, z) and its root (cell_id, x, y, z).
 
-    Returns cell_id, node_id, parent_id.  Equal distances go to the lower node ids.
+    Edges join a point with its ``k`` nearest, itself and the root counted, and the root with its ``root_k`` nearest,
+    itself counted; root edges are shortened by the distance of the nearest point.  The minimum spanning forest breaks
+    ties by the lower node ids; what isn't connected with the root hangs on it by its leaf nearest to it.  Returns
+    cell_id, node_id, parent_id.  Neighbours are searched in cubes over all tasks; a task then has a cell's few edges
+    per node.
     """
-    rows = points.select(cell, "node_id", "x", "y", "z").unionByName(roots.select(cell, F.lit(None).cast("long").alias("node_id"), "x", "y", "z"))
-
-    def fn(c: Columns) -> dict:
-        out: dict[str, list] = {"cell_id": [], "node_id": [], "parent_id": []}
-        for a, b in cells_of(c):
-            ids = c["node_id"][a:b].astype(float)
-            xyz = np.stack([c[x][a:b] for x in "xyz"], axis=1)
-            is_root = np.isnan(ids)
-            if not is_root.any():
-                raise ValueError("a cell has no root")
-            order = np.argsort(ids[~is_root], kind="stable")
-            names = ids[~is_root][order].astype(np.int64)
-            p = minimum_tree(xyz[~is_root][order], xyz[is_root][0], k, root_k)
-            out["cell_id"] += c["cell_id"][a:b][~is_root].tolist()
-            out["node_id"] += names.tolist()
-            out["parent_id"] += np.where(p >= 0, names[p], ROOT).tolist()
-        return out
-
-    return by_cell(rows.withColumnRenamed(cell, "cell_id"), ["node_id"], fn, "cell_id long, node_id long, parent_id long")
+    given = points.select(F.col(cell).alias("cell_id"), "node_id", *"xyz")
+    at = roots.select(F.col(cell).alias("cell_id"), F.lit(ROOT_PLACE).cast("long").alias("node_id"), *"xyz")
+    near = k_nearest(given.unionByName(at), k, "cell_id", "node_id").where((F.col("node_id") != ROOT_PLACE) & (F.col("node_id") != F.col("neighbour")))
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+    rows = [r.select("cell_id", "node_id", *"xyz", F.lit(kind).alias("kind"), zero.alias("rank"), zero.alias("neighbour"), F.lit(0.0).alias("distance")) for kind, r in enumerate((at, given))]
+    edges = near.select("cell_id", "node_id", *[none.alias(x) for x in "xyz"], F.lit(2).alias("kind"), F.col("rank").cast("long").alias("rank"), "neighbour", "distance")
+    every = rows[0].unionByName(rows[1]).unionByName(edges)
+    return by_cell(every, ["kind", "node_id", "rank"], lambda c: spanning_trees(c, root_k, k), "cell_id long, node_id long, parent_id long")
 
 
 class Twigs:
-    """A tree whose short side twigs are merged into their neighbours, one at a time, nodes taken by id."""
+    """A tree whose short side twigs are merged into their neighbours, one at a time, nodes taken by id.
+
+    Two queues hold the nodes that may begin a short twig, and the leaves that may have siblings.  A merge enters only
+    the nodes whose state it can have made fit; those that are no longer fit are passed over when their turn comes.
+    """
 
     def __init__(self, ids: list[int], parents: list[int], xyz: np.ndarray):
         self.parent = dict(zip(ids, parents, strict=True))
         self.children: dict[int, list[int]] = {ROOT: [], **{i: [] for i in ids}}
         for i, p in zip(ids, parents, strict=True):
             self.children[p].append(i)
-        self.xyz = dict(zip(ids, xyz, strict=True))
+        self.xyz = dict(zip(ids, xyz.tolist(), strict=True))
         self.ids = ids
 
     def begins(self, node: int) -> bool:
         return node != ROOT and len(self.children[self.parent[node]]) > 1
 
-    def walk(self, node: int) -> list[int] | None:
-        """The twig from ``node`` to a leaf or the first branching node; None if ``node`` branches itself."""
+    def walk(self, node: int, most: int | None = None) -> list[int] | None:
+        """The twig from ``node`` to a leaf or the first branching node, or a little more than ``most`` of it; None if ``node`` branches itself."""
         if len(self.children[node]) > 1:
             return None
         out = [node]
-        while len(self.children[out[-1]]) == 1:
+        while len(self.children[out[-1]]) == 1 and (most is None or len(out) <= most):
             out.append(self.children[out[-1]][0])
         return out
 
-    def apart(self, a: int, b: int) -> float:
-        return float(np.linalg.norm(self.xyz[a] - self.xyz[b]))
+    def short(self, node: int, k: int) -> list[int] | None:
+        """The twig that ``node`` begins, if it has siblings, at least two nodes and at most ``k``."""
+        if not self.begins(node) or not self.children[node]:
+            return None
+        twig = self.walk(node, k)
+        return twig if twig is not None and len(twig) <= k else None
+
+    def enter(self, node: int, k: int) -> None:
+        if self.short(node, k):
+            heapq.heappush(self.twigs, (self.turn[node], node))
+        elif self.begins(node) and not self.children[node]:
+            heapq.heappush(self.lone, (-self.turn[node], node))
 
     def candidate(self, k: int) -> tuple[list[int], int] | None:
-        """A short twig with siblings decides at once; otherwise the last leaf with siblings."""
-        found = None
-        for node in self.ids:
-            if not self.begins(node):
-                continue
-            siblings = [s for s in self.children[self.parent[node]] if s != node]
-            nearest = min(siblings, key=lambda s: (self.apart(node, s), s))
-            if not self.children[node]:
-                found = [node], nearest
-                continue
-            twig = self.walk(node)
-            if twig is not None and len(twig) <= k:
-                return twig, nearest
-        return found
-
-    def merge(self, twig: list[int], sibling: int) -> None:
-        """One chain of both twigs, by distance from their parent."""
+        """The first short twig with siblings; without any, the last leaf with siblings."""
+        twig = None
+        while twig is None and self.twigs:
+            twig = self.short(heapq.heappop(self.twigs)[1], k)
+        while twig is None and self.lone:
+            node = heapq.heappop(self.lone)[1]
+            if self.begins(node) and not self.children[node]:
+                twig = [node]
+        if twig is None:
+            return None
+        siblings = [s for s in self.children[self.parent[twig[0]]] if s != twig[0]]
+        return twig, min(siblings, key=lambda s: (math.dist(self.xyz[twig[0]], self.xyz[s]), s))
+
+    def merge(self, twig: list[int], sibling: int) -> list[int]:
+        """One chain of both twigs, by distance from their parent; returns the nodes that it may have made fit."""
         top = self.parent[twig[0]]
         other = self.walk(sibling) or [sibling]
-        base = self.xyz.get(top, np.zeros(3))
-        chain = sorted(twig + other, key=lambda i: (float(np.linalg.norm(self.xyz[i] - base)), i))
+        base = self.xyz.get(top, [0.0, 0.0, 0.0])
+        chain = sorted(twig + other, key=lambda i: (math.dist(self.xyz[i], base), i))
         for part in (twig, other):  # what hangs on a twig's last node stays with that node
             for up in part[:-1]:
                 self.children[up] = []
@@ -417,8 +469,25 @@ class Twigs:
         for up, down in zip([top, *chain], chain, strict=False):
             self.parent[down] = up
             self.children[up] = [*self.children[up], down]
+        return [top, *chain]
 
     def smooth(self, k: int) -> None:
+        self.turn = {i: n for n, i in enumerate(self.ids)}
+        self.twigs: list[tuple[int, int]] = []
+        self.lone: list[tuple[int, int]] = []
+        for node in self.ids:
+            self.enter(node, k)
+        for _ in range(4 * (len(self.ids) + 1) ** 2):
+            found = self.candidate(k)
+            if found is None:
+                return
+            for node in self.merge(*found):
+                if node != ROOT:
+                    self.enter(node, k)
+        raise RuntimeError("twigs keep merging without an end")
+
+
+def smooth(self, k: int) -> None:
         for _ in range(4 * (len(self.ids) + 1) ** 2):
             found = self.candidate(k)
             if found is None:

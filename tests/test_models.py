@@ -128,16 +128,6 @@ def test_deep_trees_and_missing_parents(spark):
         trees.measured(tree(spark, {2: 1})).collect()
 
 
-def test_minimum_tree():
-    line = np.array([[1.0, 0, 0], [2.0, 0, 0], [3.0, 0, 0], [100.0, 0, 0], [101.0, 0, 0]])
-    p = trees.minimum_tree(line, np.zeros(3), 3, 3)
-    assert p.tolist()[:3] == [-1, 0, 1]
-    assert (p >= -1).all() and len(p) == 5
-    lone = trees.minimum_tree(np.array([[1.0, 0, 0]]), np.zeros(3), 6, 12)
-    assert lone.tolist() == [-1]
-    assert trees.minimum_tree(np.zeros((0, 3)), np.zeros(3), 6, 12).tolist() == []
-
-
 def test_smoothing_keeps_nodes_and_ends_without_short_twigs(spark):
     nodes = tree(spark, {1: -1, 2: 1, 3: 1, 4: 3, 5: 4, 6: 5, 7: 6}, at={2: (1.5, 1.0, 0.0)})
     out = trees.smooth(nodes, 2).collect()
