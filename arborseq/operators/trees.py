@@ -596,16 +596,129 @@ def edit_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     return by_cell(rows, ["node_id", "side"], fn, "cell_id long, n_a long, n_b long, distance long")
 
 
+class Paths:
+    """Root paths of many cells' trees as tries: nodes by cell and depth, a virtual root before each cell's."""
+
+    def __init__(self, cell: np.ndarray, node: np.ndarray, parent: np.ndarray, m: int):
+        """``cell`` numbers 0 to m - 1, sorted by (cell, node)."""
+        p = parent_places({"cell_id": cell, "node_id": node, "parent_id": parent})
+        d = depths(p)
+        cell = np.concatenate([np.arange(m), cell])
+        self.depth = np.concatenate([np.zeros(m, dtype=np.int64), d])
+        up = np.concatenate([np.full(m, -1), np.where(p >= 0, p + m, cell[m:])])
+        order = np.lexsort((self.depth, cell))
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.arange(len(order))
+        self.cell, self.depth = cell[order], self.depth[order]
+        self.label = np.concatenate([np.full(m, ROOT), node])[order]
+        self.up = np.where(up[order] >= 0, at[up[order]], -1)
+        self.is_leaf = (child_counts(self.up) == 0) & (self.depth > 0)
+        self.key = self.cell * (int(self.depth.max(initial=0)) + 2) + self.depth
+        self.scale = int(self.depth.max(initial=0)) + 2
+
+    def begin(self, cell: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The first node of a cell at this depth or deeper."""
+        return np.searchsorted(self.key, cell * self.scale + np.clip(depth, 0, self.scale - 1))
+
+
+FAR = np.int32(1 << 29)
+#: Entries of a table that are worked on at once.
+ENTRIES = 4_000_000
+
+
+def path_minima(a: Paths, b: Paths, width: np.ndarray, best_a: np.ndarray, best_b: np.ndarray) -> None:
+    """For each leaf the least edit distance of its root path to the other tree's, of those at most ``width`` (by cell).
+
+    Row x of the table holds the distances of x's path to the paths of all of b's nodes.  It follows from the row of x's
+    parent, so paths share the rows of their common beginnings, and within a row a node's entry from its parent's.  Paths
+    whose lengths differ by more than the width are at least that far apart: only entries within it are made.
+    """
+    order = np.argsort(a.up, kind="stable")
+    kids = np.searchsorted(a.up[order], np.arange(len(a.up) + 1))
+
+    def columns(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell, depth = a.cell[rows], a.depth[rows]
+        low = b.begin(cell, depth - width[cell])
+        return low, b.begin(cell, depth + width[cell] + 1) - low
+
+    def table(rows: np.ndarray, above: tuple | None, by: np.ndarray) -> tuple:
+        low, size = columns(rows)
+        off = np.cumsum(size) - size
+        r = np.repeat(np.arange(len(rows)), size)
+        y = np.repeat(low - off, size) + np.arange(len(r))
+        if above is None:
+            return low, size, off, b.depth[y].astype(np.int32)
+        low0, size0, off0, before = above
+
+        def old(y: np.ndarray) -> np.ndarray:
+            at = y - low0[by][r]
+            ok = (y >= 0) & (at >= 0) & (at < size0[by][r])
+            return np.where(ok, before[np.where(ok, off0[by][r] + at, 0)], FAR)
+
+        up = b.up[y]
+        d = np.minimum(old(y) + 1, old(up) + (a.label[rows][r] != b.label[y]))
+        back = up - low[r]
+        deep = b.depth[y]
+        turn = np.argsort(deep, kind="stable")
+        for level in np.split(turn, np.flatnonzero(np.diff(deep[turn])) + 1):
+            level = level[back[level] >= 0]
+            d[level] = np.minimum(d[level], d[off[r[level]] + back[level]] + 1)
+        leaf = a.is_leaf[rows][r] & b.is_leaf[y]
+        np.minimum.at(best_a, rows[r[leaf]], d[leaf])
+        np.minimum.at(best_b, y[leaf], d[leaf])
+        return low, size, off, d.astype(np.int32)
+
+    start = np.flatnonzero((a.depth == 0) & (width[a.cell] >= 0))
+    stack = [(start, table(start, None, start))] if len(start) else []
+    while stack:
+        rows, above = stack.pop()
+        size = kids[rows + 1] - kids[rows]
+        by = np.repeat(np.arange(len(rows)), size)
+        below = order[np.repeat(kids[rows] - np.cumsum(size) + size, size) + np.arange(len(by))]
+        if not len(below):
+            continue
+        load = np.cumsum(columns(below)[1])
+        for part in np.split(np.arange(len(below)), np.flatnonzero(np.diff(load // ENTRIES)) + 1):
+            stack.append((below[part], table(below[part], above, by[part])))
+
+
 def path_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(cell_id, a_to_b, b_to_a, mean): for each root path the least edit distance to the other tree's paths over its steps, on average."""
-    from .compare import edit_distance
-
-    pa_, pb = root_paths(a).alias("a"), root_paths(b).alias("b")
-    met = pa_.join(pb, F.col("a.cell_id") == F.col("b.cell_id")).select(F.col("a.cell_id").alias("cell_id"), F.col("a.leaf_id").alias("leaf_a"), F.col("b.leaf_id").alias("leaf_b"), F.col("a.path").alias("p"), F.col("b.path").alias("q"))
-    met = met.withColumn("d", edit_distance(a.sparkSession, F.col("p"), F.col("q"))).select("cell_id", "leaf_a", "leaf_b", (F.col("d") / (F.size("p") - 1)).alias("da"), (F.col("d") / (F.size("q") - 1)).alias("db"))
-    one = met.groupBy("cell_id", "leaf_a").agg(F.min("da").alias("m")).groupBy("cell_id").agg(F.avg("m").alias("a_to_b"))
-    two = met.groupBy("cell_id", "leaf_b").agg(F.min("db").alias("m")).groupBy("cell_id").agg(F.avg("m").alias("b_to_a"))
-    return one.join(two, "cell_id").select("cell_id", "a_to_b", "b_to_a", ((F.col("a_to_b") + F.col("b_to_a")) / 2).alias("mean"))
+    """(cell_id, a_to_b, b_to_a, mean): for each root path the least edit distance to the other tree's paths over its steps, on average.
+
+    A cell's paths are compared as two tries (``path_minima``), within a width that grows until it proves every least
+    distance.  Cells that only one side has are left out.
+    """
+    rows = a.select(*KEY, "parent_id", F.lit(0).alias("side")).union(b.select(*KEY, "parent_id", F.lit(1).alias("side")))
+
+    def fn(c: Columns) -> dict:
+        cells, number = np.unique(c["cell_id"].astype(np.int64), return_inverse=True)
+        sides = []
+        for s in (0, 1):
+            here = np.flatnonzero(c["side"] == s)
+            sides.append(Paths(number[here], c["node_id"][here].astype(np.int64), c["parent_id"][here].astype(np.int64), len(cells)))
+        one, two = sides
+        top = [np.zeros(len(cells), dtype=np.int64) for _ in sides]
+        for t, side in zip(top, sides, strict=True):
+            np.maximum.at(t, side.cell, side.depth)
+        both = (top[0] > 0) & (top[1] > 0)
+        most = np.maximum(top[0], top[1])
+        width = np.where(both, np.abs(top[0] - top[1]) + 4, -1)
+        best = [np.full(len(side.cell), FAR) for side in sides]
+        while (width >= 0).any():
+            path_minima(one, two, width, *best)
+            worst = np.zeros(len(cells), dtype=np.int64)
+            for v, side in zip(best, sides, strict=True):
+                np.maximum.at(worst, side.cell[side.is_leaf], v[side.is_leaf])
+            # what was found bounds what is left to look at
+            width = np.where((width >= 0) & (worst > width) & (width < most), np.minimum(worst, most), -1)
+        means = []
+        for v, side in zip(best, sides, strict=True):
+            leaf = np.flatnonzero(side.is_leaf & both[side.cell])
+            n = np.bincount(side.cell[leaf], minlength=len(cells))
+            means.append(np.bincount(side.cell[leaf], v[leaf] / side.depth[leaf], minlength=len(cells)) / np.maximum(n, 1))
+        return {"cell_id": cells[both], "a_to_b": means[0][both], "b_to_a": means[1][both], "mean": ((means[0] + means[1]) / 2)[both]}
+
+    return by_cell(rows, ["node_id", "side"], fn, "cell_id long, a_to_b double, b_to_a double, mean double")
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
