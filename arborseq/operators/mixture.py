@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .by_cell import Columns, by_cell, cells_of
-from .sequences import BRANCH
+from .sequences import BRANCH, ids
 from .shuffles import clean_probs
 from .spatial import cells_within
 
@@ -95,33 +97,88 @@ def predict(points: DataFrame, mixture: DataFrame, key: list[str], cell: str = "
     return weighted(points, mixture, key, cell).groupBy(*key).agg(F.max_by("comp", F.struct("p", -F.col("comp"))).alias("comp"))
 
 
+_NUMBERS = ["weight", "mx", "my", "mz", *[f"p_{k}" for k in SIX], "det"]
+
+
+def _block_scores(places: pa.StructArray, blocks: pa.ListArray, cells: pa.ListArray) -> pa.Array:
+    """For each row an array for each of its ``cells`` of its density at each of the row's places."""
+    n_places, n_comps, n_cells = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (places, blocks, cells))
+    comps, xyz = blocks.flatten(), places.flatten()
+    at = np.stack([xyz.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1) if len(xyz) else np.zeros((0, 3))
+    c = {n: comps.field(n).to_numpy(zero_copy_only=False) for n in _NUMBERS}
+    slot = comps.field("slot").to_numpy(zero_copy_only=False).astype(np.int64)
+    first_place, first_cell = np.cumsum(n_places) - n_places, np.cumsum(n_cells) - n_cells
+    # components against places, row by row of the batch
+    row = np.repeat(np.arange(len(n_comps)), n_comps)
+    comp = np.repeat(np.arange(len(slot)), n_places[row])
+    place = np.arange(len(comp)) - np.repeat(np.cumsum(n_places[row]) - n_places[row], n_places[row])
+    d = at[first_place[row[comp]] + place] - np.stack([c["mx"], c["my"], c["mz"]], 1)[comp]
+    p = {k: c[f"p_{k}"][comp] for k in SIX}
+    x, y, z = d.T
+    form = x * (p["xx"] * x + p["xy"] * y + p["xz"] * z) + y * (p["xy"] * x + p["yy"] * y + p["yz"] * z) + z * (p["xz"] * x + p["yz"] * y + p["zz"] * z)
+    value = (c["weight"] * np.sqrt(c["det"]))[comp] * np.exp(-0.5 * form) * (2 * math.pi) ** -1.5
+    begin = np.cumsum(n_cells * n_places) - n_cells * n_places  # of each row's block
+    where = begin[row[comp]] + slot[comp] * n_places[row[comp]] + place
+    table = np.bincount(where, value, minlength=int((n_cells * n_places).sum()))
+    inner = np.concatenate([[0], np.cumsum(np.repeat(n_places, n_cells))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([first_cell, [n_cells.sum()]]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(inner), pa.array(table)))
+
+
+def score_blocks(places: DataFrame, wanted: DataFrame, mixture: DataFrame) -> DataFrame:
+    """BRANCH, cells, block: densities of each wanted cell (BRANCH, cell_id; each once) at the branch's places (BRANCH, seq).
+
+    Row r of ``block`` belongs to the r-th of ``cells``.  A branch meets the components of its cells once; what is
+    evaluated is one block of numbers for each branch, so no row per pair of places is ever joined.  Cells without a
+    mixture have a row of zeros.
+    """
+    ship(places.sparkSession)
+    listed = wanted.groupBy(*BRANCH).agg(F.sort_array(F.collect_list("cell_id")).alias("cells"))
+    known = wanted.join(mixture.select("cell_id", "comp", *_NUMBERS), "cell_id").groupBy(*BRANCH).agg(F.array_sort(F.collect_list(F.struct("cell_id", "comp", *_NUMBERS))).alias("comps"))
+    rows = places.select(*BRANCH, F.transform("seq", lambda e: F.struct(*[e[c].cast("double").alias(c) for c in "xyz"])).alias("at")).join(listed, BRANCH).join(known, BRANCH, "left")
+    slotted = F.transform(F.coalesce("comps", F.array().cast(dict(known.dtypes)["comps"])), lambda e: F.struct((F.array_position(F.col("cells"), e["cell_id"]) - 1).alias("slot"), *[e[n].alias(n) for n in _NUMBERS]))
+    rows = rows.select(*BRANCH, "at", "cells", slotted.alias("comps"))
+
+    @F.arrow_udf("array<array<double>>")
+    def evaluated(at: pa.Array, comps: pa.Array, cells: pa.Array) -> pa.Array:
+        return _block_scores(at, comps, cells)
+
+    return rows.select(*BRANCH, "cells", evaluated("at", "comps", "cells").alias("block"))
+
+
+def _logged(score: Column, log: bool) -> Column:
+    """Natural logarithm, null where the density underflows or there is none."""
+    return F.when(score > 0, F.log(score)) if log else score
+
+
+def with_scores(branches: DataFrame, mixture: DataFrame) -> DataFrame:
+    """Nested branches with ``scores``: for each element the densities of its cell at all places, as the axon shuffle takes them."""
+    cells = branches.select(*BRANCH, F.explode(F.array_distinct(ids("seq"))).alias("cell_id"))
+    blocks = score_blocks(branches, cells, mixture)
+    row = F.transform(ids("seq"), lambda c: F.element_at("block", F.array_position(F.col("cells"), c).cast("int")))
+    return branches.join(blocks, BRANCH).withColumn("scores", row).drop("cells", "block")
+
+
 def score_matrix(rows: DataFrame, mixture: DataFrame, log: bool = False) -> DataFrame:
-    """(branch, i, j, score): density of element i's cell at the position of element j."""
-    a = rows.select(*BRANCH, F.col("seq_pos").alias("i"), F.col("pre_cell").alias("cell_id"))
-    b = rows.select(*BRANCH, F.col("seq_pos").alias("j"), "x", "y", "z")
-    pairs = a.join(b, BRANCH)
-    out = density(pairs, mixture, [*BRANCH, "i", "j"])
-    every = pairs.select(*BRANCH, "i", "j").join(out, [*BRANCH, "i", "j"], "left")
-    score = F.col("log_density") if log else F.coalesce("density", F.lit(0.0))
-    return every.select(*BRANCH, "i", "j", score.alias("score"))
+    """(branch, i, j, score): density of element i's cell at the position of element j.
+
+    Arrays of evaluated blocks are exploded as outer ones: else Spark would evaluate each a second time to tell empty ones.
+    """
+    element = F.struct("seq_pos", "pre_cell", *"xyz")
+    branches = rows.groupBy(*BRANCH).agg(F.array_sort(F.collect_list(element)).alias("seq"))
+    scored = with_scores(branches, mixture).select(*BRANCH, F.transform("seq", lambda e: e["seq_pos"]).alias("at"), F.posexplode_outer("scores").alias("r", "row"))
+    pairs = scored.select(*BRANCH, F.element_at("at", F.col("r") + 1).alias("i"), F.explode_outer(F.arrays_zip(F.col("at").alias("j"), F.col("row").alias("score"))).alias("e"))
+    return pairs.select(*BRANCH, "i", F.col("e.j").alias("j"), _logged(F.col("e.score"), log).alias("score"))
 
 
 def extended_scores(rows: DataFrame, synapses: DataFrame, mixture: DataFrame, radius: float, log: bool = True) -> DataFrame:
     """(branch, pre_cell, j, score): as ``score_matrix``, for every cell with a synapse within ``radius`` of the branch that isn't on it."""
     near = cells_within(rows, synapses, radius, BRANCH)
-    other = near.join(rows.select(*BRANCH, "pre_cell").distinct(), [*BRANCH, "pre_cell"], "left_anti")
-    pairs = other.join(rows.select(*BRANCH, F.col("seq_pos").alias("j"), "x", "y", "z"), BRANCH).withColumnRenamed("pre_cell", "cell_id")
-    key = [*BRANCH, "cell_id", "j"]
-    every = pairs.select(*key).join(density(pairs, mixture, key), key, "left")
-    score = F.col("log_density") if log else F.coalesce("density", F.lit(0.0))
-    return every.select(*BRANCH, F.col("cell_id").alias("pre_cell"), "j", score.alias("score"))
-
-
-def with_scores(branches: DataFrame, scores: DataFrame) -> DataFrame:
-    """Nested branches with ``scores``, an array of rows of the matrix, as the axon shuffle takes them."""
-    row = scores.groupBy(*BRANCH, "i").agg(F.array_sort(F.collect_list(F.struct("j", "score"))).alias("r"))
-    m = row.groupBy(*BRANCH).agg(F.array_sort(F.collect_list(F.struct("i", F.transform("r", lambda e: e["score"]).alias("r")))).alias("m"))
-    return branches.join(m, BRANCH).withColumn("scores", F.transform("m", lambda e: e["r"])).drop("m")
+    other = near.join(rows.select(*BRANCH, "pre_cell").distinct(), [*BRANCH, "pre_cell"], "left_anti").withColumnRenamed("pre_cell", "cell_id")
+    branches = rows.groupBy(*BRANCH).agg(F.array_sort(F.collect_list(F.struct("seq_pos", *"xyz"))).alias("seq"))
+    blocks = score_blocks(branches, other, mixture).join(branches.select(*BRANCH, F.transform("seq", lambda e: e["seq_pos"]).alias("at")), BRANCH)
+    each = blocks.select(*BRANCH, "at", F.explode_outer(F.arrays_zip("cells", "block")).alias("c"))
+    pairs = each.select(*BRANCH, F.col("c.cells").alias("pre_cell"), F.explode_outer(F.arrays_zip(F.col("at").alias("j"), F.col("c.block").alias("score"))).alias("e"))
+    return pairs.select(*BRANCH, "pre_cell", F.col("e.j").alias("j"), _logged(F.col("e.score"), log).alias("score"))
 
 
 def segment_probs(rows: DataFrame, mixture: DataFrame) -> DataFrame:
@@ -160,7 +217,7 @@ def with_segments(branches: DataFrame, probs: DataFrame) -> DataFrame:
     return branches.join(m, BRANCH, "left").withColumn("segs", segs).drop("m")
 
 
-__all__ = ["clean_probs", "density", "extended_scores", "fit", "path_moments", "predict", "score_matrix", "segment_probs", "weighted", "with_scores", "with_segments"]
+__all__ = ["clean_probs", "density", "extended_scores", "fit", "path_moments", "predict", "score_blocks", "score_matrix", "segment_probs", "weighted", "with_scores", "with_segments"]
 
 
 def expectation_maximisation(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, precision: np.ndarray, steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6):

@@ -63,16 +63,24 @@ def clean_probs(p: Column) -> Column:
 
 
 def draw_without_replacement(scores: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Row by row the first column whose cumulated weight exceeds the draw, used columns out; a row without weight is uniform over what is left."""
-    n = len(scores)
-    free = np.ones(n, dtype=bool)
-    out = np.zeros(n, dtype=np.int32)
+    """For each trial (row of ``u``) the columns drawn, row by row of the scores, used columns out.
+
+    A row draws the first column whose cumulated weight exceeds its number; a row without weight left is uniform over
+    what is left.  All trials take a row's draw together.
+    """
+    trials, n = u.shape
+    weights = np.where(np.isfinite(scores) & (scores > 0), scores, 0.0)
+    free = np.ones((trials, n), dtype=bool)
+    out = np.zeros((trials, n), dtype=np.int32)
+    every = np.arange(trials)
     for i in range(n):
-        p = np.where(free & np.isfinite(scores[i]) & (scores[i] > 0), scores[i], 0.0)
-        if not p.sum():
-            p = free.astype(float)
-        out[i] = min(int(np.searchsorted(np.cumsum(p / p.sum()), u[i], side="right")), np.flatnonzero(p)[-1])
-        free[out[i]] = False
+        p = np.where(free, weights[i], 0.0)
+        total = p.sum(axis=1, keepdims=True)
+        p = np.where(total > 0, p, free)
+        reached = np.cumsum(p / p.sum(axis=1, keepdims=True), axis=1) > u[:, i : i + 1]
+        last = n - 1 - (p[:, ::-1] > 0).argmax(axis=1)
+        out[:, i] = np.where(reached.any(axis=1), np.minimum(reached.argmax(axis=1), last), last)
+        free[every, out[:, i]] = False
     return out
 
 
@@ -80,26 +88,29 @@ def axon(branches: DataFrame, trials: int = 1, seed: int = 0, invert: bool = Fal
     """Inputs drawn by their score at each place; ``branches`` has ``scores``, a row of the matrix for each element.
 
     Slot i takes the element that row i drew; ``invert`` puts element i at the place that row i drew.  A branch whose
-    matrix doesn't fit its length is an error.
+    matrix doesn't fit its length is an error.  A branch's matrix goes to its task once, for all trials.
     """
     ship(branches.sparkSession)
 
-    @F.arrow_udf("array<int>")
-    def permutation(scores: pa.Array, u: pa.Array) -> pa.Array:
-        out = []
-        for s, d in zip(scores.to_pylist(), u.to_pylist(), strict=True):
-            m = np.array(s, dtype=float).reshape(len(s), -1)
-            if m.shape != (len(d), len(d)):
-                raise ValueError("a score matrix doesn't fit its branch")
-            p = draw_without_replacement(m, np.array(d))
-            out.append((np.argsort(p, kind="stable") if invert else p).tolist())
-        return pa.array(out, pa.list_(pa.int32()))
-
-    rows = with_trials(branches, trials)
-    draws = F.transform("seq", lambda e, i: uniform(seed, F.col("trial"), F.col("post_cell"), F.col("branch_id"), i, "axon"))
-    rows = rows.withColumn("_perm", permutation(F.col("scores"), draws))
+    def permutations(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s, d in zip(batch.column("scores").to_pylist(), batch.column("_draws").to_pylist(), strict=True):
+                m, draws = np.array(s, dtype=float).reshape(len(s), -1), np.array(d, dtype=float).reshape(len(d), -1)
+                if m.shape[0] != draws.shape[1] or m.size and m.shape[0] != m.shape[1]:
+                    raise ValueError("a score matrix doesn't fit its branch")
+                p = draw_without_replacement(m, draws)
+                out.append((np.argsort(p, axis=1, kind="stable") if invert else p).tolist())
+            yield batch.drop_columns(["scores", "_draws"]).append_column("_perms", pa.array(out, pa.list_(pa.list_(pa.int32()))))
+
+    every = F.sequence(F.lit(0), F.lit(trials - 1))
+    draws = F.transform(every, lambda t: F.transform("seq", lambda e, i: uniform(seed, t, F.col("post_cell"), F.col("branch_id"), i, "axon")))
+    rows = branches.withColumn("_draws", draws)
+    kept = [f for f in rows.schema.fields if f.name not in ("scores", "_draws")]
+    rows = rows.mapInArrow(permutations, T.StructType([*kept, T.StructField("_perms", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+    rows = with_trials(rows, trials).withColumn("_perm", F.element_at("_perms", F.col("trial") + 1)).drop("_perms")
     moved = F.transform("_perm", lambda p, slot: F.struct(slot.alias("slot"), p.alias("element")))
-    return rows.withColumn("seq", F.when(F.size("seq") >= 2, _place(F.col("seq"), moved)).otherwise(F.col("seq"))).drop("_perm", "scores").withColumn("shuffle", F.lit("axon"))
+    return rows.withColumn("seq", F.when(F.size("seq") >= 2, _place(F.col("seq"), moved)).otherwise(F.col("seq"))).drop("_perm").withColumn("shuffle", F.lit("axon"))
 
 
 def truncated_normal(mu: float, sigma: float, u: float) -> float:

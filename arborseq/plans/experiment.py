@@ -7,34 +7,58 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare, pairs, sequences, shuffles, stats
+from ..operators import compare, mixture, pairs, sequences, shuffles, stats
 
 
 def score_pairs(pair_table: DataFrame, branches: DataFrame, least: int = 3, method: str = "lcs", backwards: bool = False) -> DataFrame:
-    """Pairs with score, sub_a, sub_b; ``branches`` are nested and may carry (shuffle, trial), whose rows stay apart."""
+    """Pairs with score, sub_a, sub_b; ``branches`` are nested and may carry (shuffle, trial), whose rows stay apart.
+
+    If they carry ``apical``, whether a branch belongs to the apical part, so do the pairs: apical_a, apical_b.
+    """
     by = [c for c in ("shuffle", "trial") if c in branches.columns]
+    more = ["apical"] if "apical" in branches.columns else []
     out = pair_table
     for n, side in enumerate("ab"):
-        one = branches.select(F.col("post_cell").alias(f"cell_{side}"), F.col("branch_id").alias(f"branch_{side}"), F.col("seq").alias(f"seq_{side}"), *by)
+        one = branches.select(F.col("post_cell").alias(f"cell_{side}"), F.col("branch_id").alias(f"branch_{side}"), F.col("seq").alias(f"seq_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in more], *by)
         out = out.join(one, [f"cell_{side}", f"branch_{side}", *(by if n else [])])
     run = {"lcs": lambda d: compare.lcs_scores(d, least, backwards), "substring": lambda d: compare.substring_scores(d, least), "cluster": lambda d: compare.cluster_scores(d, least)}[method]
-    return run(out).select(*by, *pairs.PAIR, "score", "sub_a", "sub_b")
+    return run(out).select(*by, *pairs.PAIR, *[f"{c}_{side}" for c in more for side in "ab"], "score", "sub_a", "sub_b")
 
 
-def null_counts(rows: DataFrame, models: Sequence[str] = ("original", "random", "type"), trials: int = 5, seed: int = 0, k: int = 3, unique: bool = False) -> DataFrame:
-    """(shuffle, trial, n): distinct sequences that pairs repeat, in the data and in each trial of each null model.
+def null_branches(branches: DataFrame, models: Sequence[str], trials: int, seed: int, mixtures: DataFrame | None = None) -> DataFrame:
+    """(shuffle, trial, branch, seq, apical if there): every trial of every model, from nested branches.
 
-    Pairs are found once: a shuffle within a branch doesn't change which cells it holds.
+    The axon and the continuous model draw by the cells' ``mixtures``: their scores at the branch's places, and their
+    probabilities on its segments.
     """
-    collapsed = sequences.collapse(rows)
-    found = pairs.similar(collapsed, k)
-    branches = sequences.nested(collapsed)
+    keep = [*sequences.BRANCH, "seq", *[c for c in ("apical",) if c in branches.columns]]
     every = None
     for m in models:
-        one = shuffles.shuffle(branches, m, trials, seed).select("shuffle", "trial", *sequences.BRANCH, "seq")
+        given = branches
+        if m in ("axon", "continuous"):
+            if mixtures is None:
+                raise ValueError(f"{m} needs the cells' mixtures")
+            given = mixture.with_scores(branches, mixtures) if m == "axon" else mixture.with_segments(branches, mixture.segment_probs(sequences.flat(branches), mixtures))
+        one = shuffles.shuffle(given, m, trials, seed).select("shuffle", "trial", *keep)
         every = one if every is None else every.unionByName(one)
-    scored = score_pairs(found, every)
-    return stats.repeated(scored, ["shuffle", "trial"], unique=unique).groupBy("shuffle", "trial").agg(F.count(F.lit(1)).alias("n"))
+    return every
+
+
+def null_counts(
+    rows: DataFrame, models: Sequence[str] = ("original", "random", "type"), trials: int = 5, seed: int = 0, k: int = 3, unique: bool = False,
+    mixtures: DataFrame | None = None, backwards: bool = False, basal: bool = False,
+) -> DataFrame:
+    """(shuffle, trial, n): distinct sequences that pairs repeat, in the data and in each trial of each null model.
+
+    Pairs are found once: a shuffle within a branch doesn't change which cells it holds.  ``mixtures`` are for the axon
+    and continuous models; ``backwards`` reads the second branch of a pair from its end; ``basal`` leaves out pairs with
+    an apical branch, which ``rows`` mark in a column ``apical``.
+    """
+    collapsed = sequences.collapse(rows)
+    found = pairs.similar(collapsed, k)
+    branches = sequences.nested(collapsed, [*sequences.BRANCH, "apical"] if basal else sequences.BRANCH)
+    scored = score_pairs(found, null_branches(branches, models, trials, seed, mixtures), backwards=backwards)
+    return stats.repeated(scored, ["shuffle", "trial"], unique=unique, basal=basal).groupBy("shuffle", "trial").agg(F.count(F.lit(1)).alias("n"))
 
 
 def z_scores(counts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import rescaled
-from ..functions.rng import sql_key
+from ..functions.rng import sql_key, sql_uniform
 from ..operators import compare, mixture, pairs, sequences, shuffles, spatial, stats, trees
 from ..schemas import UNKNOWN
 from ..sources import fixtures, tables
@@ -559,12 +559,6 @@ def tree_compare(spark, d):
     return out.withColumn("mean", r6("mean"))
 
 
-@query()
-def extended_scores(spark, d):
-    c = _collapsed(spark, d)
-    return mixture.extended_scores(c, c, _mixture(spark, d), 0.5).withColumn("score", r6("score"))
-
-
 def _rows_as_points(spark, d) -> DataFrame:
     return fixtures.tree_chain(spark, d).select("cell_id", "node_id", "x", "y", "z")
 
@@ -707,13 +701,76 @@ def _flat(out: DataFrame) -> DataFrame:
     return sequences.flat(out, [*BRANCH, "trial"]).select("trial", *BRANCH, "seq_pos", "syn_id", "pre_cell", *[r6(c).alias(c) for c in "xyz"])
 
 
-@query()
-def shuffle_axon(spark, d):
+# places of the fixture are whole numbers, so within half a unit means at the same place
+@query(f"""WITH {MIX_SQL}, {collapsed_sql("seq_orders")}, el AS (SELECT DISTINCT post_cell, branch_id, x, y, z FROM collapsed), sy AS (SELECT DISTINCT pre_cell, x, y, z FROM collapsed),
+    near AS (SELECT DISTINCT post_cell, branch_id, pre_cell FROM el JOIN sy ON el.x = sy.x AND el.y = sy.y AND el.z = sy.z),
+    other AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM collapsed c WHERE c.post_cell = n.post_cell AND c.branch_id = n.branch_id AND c.pre_cell = n.pre_cell))
+    SELECT o.post_cell, o.branch_id, o.pre_cell, b.seq_pos AS j, round(ln(sum(weight * {_pdf_sql("b.x", "b.y", "b.z")})), 6) AS score
+    FROM other o JOIN collapsed b ON o.post_cell = b.post_cell AND o.branch_id = b.branch_id JOIN mix ON mix.cell_id = o.pre_cell GROUP BY ALL""")
+def extended_scores(spark, d):
     c = _collapsed(spark, d)
-    branches = mixture.with_scores(sequences.nested(c), mixture.score_matrix(c, _mixture(spark, d)))
+    return mixture.extended_scores(c, c, _mixture(spark, d), 0.5).withColumn("score", r6("score"))
+
+
+def axon_sql(trials: int) -> str:
+    """Slots' elements drawn without replacement, a place at a time: the first whose cumulated score exceeds the draw."""
+    return f"""score AS (SELECT a.post_cell, a.branch_id, a.seq_pos AS i, b.seq_pos AS j, sum(weight * {_pdf_sql("b.x", "b.y", "b.z")}) AS s
+        FROM collapsed a JOIN collapsed b ON a.post_cell = b.post_cell AND a.branch_id = b.branch_id JOIN mix ON mix.cell_id = a.pre_cell GROUP BY ALL),
+    line AS (SELECT post_cell, branch_id, i, list(s ORDER BY j) AS w FROM score GROUP BY ALL),
+    given AS (SELECT post_cell, branch_id, i, w, trial, {sql_uniform(f"'{SEED}'", "trial", "post_cell", "branch_id", "i", "'axon'")} AS u FROM line, (SELECT unnest(range({trials})) AS trial)),
+    draw AS (SELECT trial, post_cell, branch_id, -1::BIGINT AS i, []::BIGINT[] AS taken, 0 AS n FROM given WHERE i = 0
+        UNION ALL SELECT trial, post_cell, branch_id, i, list_append(taken, coalesce(list_position(list_transform(c, lambda v: v / c[len(c)] > u), true), len(c)) - 1), n + 1 FROM (
+            SELECT trial, post_cell, branch_id, i, taken, n, u, list_transform(range(1, len(p) + 1), lambda x: list_sum(p[:x])) AS c FROM (
+                SELECT trial, post_cell, branch_id, i, taken, n, u, CASE WHEN list_sum(q) > 0 THEN q ELSE list_transform(range(len(w)), lambda x: CASE WHEN list_contains(taken, x) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) END AS p FROM (
+                    SELECT g.trial, g.post_cell, g.branch_id, g.i, taken, n, u, w, list_transform(range(len(w)), lambda x: CASE WHEN list_contains(taken, x) OR NOT w[x + 1] > 0 THEN 0.0::DOUBLE ELSE w[x + 1] END) AS q
+                    FROM draw d JOIN given g ON g.trial = d.trial AND g.post_cell = d.post_cell AND g.branch_id = d.branch_id AND g.i = d.i + 1)))),
+    axon_ AS (SELECT d.trial, d.post_cell, d.branch_id, d.i AS seq_pos, e.syn_id, e.pre_cell, e.cell_type FROM draw d JOIN collapsed e ON e.post_cell = d.post_cell AND e.branch_id = d.branch_id AND e.seq_pos = d.taken[len(d.taken)] WHERE d.i >= 0)"""
+
+
+@query(f"""WITH RECURSIVE {MIX_SQL}, {collapsed_sql("seq_orders")}, {axon_sql(1)} SELECT CAST(trial AS INTEGER) AS trial, post_cell, branch_id, seq_pos, a.syn_id, a.pre_cell, p.x, p.y, p.z FROM axon_ a {PLACES_SQL}""")
+def shuffle_axon(spark, d):
+    branches = mixture.with_scores(sequences.nested(_collapsed(spark, d)), _mixture(spark, d))
     return _flat(shuffles.shuffle(branches, "axon", 1, SEED))
 
 
+def _model_counts_sql(source: str, every: str, extra: str = "", match: str | None = None) -> str:
+    """Counts of distinct repeated sequences of the trials in ``every``; ``extra`` picks from the best chains."""
+    return f"""{source}, every AS ({every}), {match or matches_sql("every", "shuffle, trial")}, {lengths_sql("shuffle, trial")}, {chains_sql("shuffle, trial")}
+    SELECT shuffle, CAST(trial AS INTEGER) AS trial, count(DISTINCT key) AS n FROM best {extra} GROUP BY ALL"""
+
+
+_ORIGINAL = "SELECT 'original' AS shuffle, 0 AS trial, post_cell, branch_id, seq_pos, pre_cell FROM collapsed"
+_RANDOM = f"{_ORIGINAL} UNION ALL SELECT 'random', trial, post_cell, branch_id, seq_pos, pre_cell FROM random_"
+
+
+@query("WITH RECURSIVE " + _model_counts_sql(f"{PAIRS_SQL}, {_moments_sql()}, {axon_sql(2)}", f"{_ORIGINAL} UNION ALL SELECT 'axon', trial, post_cell, branch_id, seq_pos, pre_cell FROM axon_"))
+def trial_counts_axon(spark, d):
+    return experiment.null_counts(fixtures.seq_orders(spark, d), ("original", "axon"), 2, SEED, mixtures=_mixture(spark, d))
+
+
+_BACKWARDS = """turned AS (SELECT * REPLACE (max(seq_pos) OVER (PARTITION BY shuffle, trial, post_cell, branch_id) - seq_pos AS seq_pos) FROM every),
+    m AS (SELECT a.shuffle, a.trial, cell_a, branch_a, cell_b, branch_b, a.seq_pos AS i, b.seq_pos AS j, a.pre_cell AS pre FROM pairs JOIN every a ON a.post_cell = cell_a AND a.branch_id = branch_a
+        JOIN turned b ON b.post_cell = cell_b AND b.branch_id = branch_b AND b.pre_cell = a.pre_cell AND b.shuffle = a.shuffle AND b.trial = a.trial)"""
+
+
+@query("WITH RECURSIVE " + _model_counts_sql(f"{PAIRS_SQL}, {SHUFFLED_SQL}", _RANDOM, match=_BACKWARDS))
+def trial_counts_reversed(spark, d):
+    return experiment.null_counts(fixtures.seq_orders(spark, d), ("original", "random"), TRIALS, SEED, backwards=True)
+
+
+@query("WITH RECURSIVE " + _model_counts_sql(
+    f"{PAIRS_SQL}, {SHUFFLED_SQL}", _RANDOM, "JOIN orders oa ON oa.o_orderkey = branch_a AND oa.o_orderstatus <> 'P' JOIN orders ob ON ob.o_orderkey = branch_b AND ob.o_orderstatus <> 'P'"
+))
+def trial_counts_basal(spark, d):
+    part = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("branch_id"), (F.col("o_orderstatus") == "P").alias("apical"))
+    return experiment.null_counts(fixtures.seq_orders(spark, d).join(part, "branch_id"), ("original", "random"), TRIALS, SEED, basal=True)
+
+
+@query()
+def trial_counts_continuous(spark, d):
+    return experiment.null_counts(fixtures.seq_orders(spark, d), ("original", "continuous"), 2, SEED, mixtures=_mixture(spark, d))
+
+
 def _segmented(spark, d) -> DataFrame:
     c = _collapsed(spark, d)
     return mixture.with_segments(sequences.nested(c), mixture.segment_probs(c, _mixture(spark, d)))

@@ -45,9 +45,13 @@ def test_original_and_unknown_models(spark):
 
 
 def test_draw_without_replacement():
-    assert shuffles.draw_without_replacement(np.array([[0.0, 1.0], [1.0, 0.0]]), np.array([0.5, 0.5])).tolist() == [1, 0]
-    assert sorted(shuffles.draw_without_replacement(np.zeros((4, 4)), np.array([0.9, 0.1, 0.5, 0.7])).tolist()) == [0, 1, 2, 3]
-    assert sorted(shuffles.draw_without_replacement(np.full((3, 3), np.nan), np.array([0.999, 0.999, 0.999])).tolist()) == [0, 1, 2]
+    def draw(scores, *u):
+        return shuffles.draw_without_replacement(np.array(scores, dtype=float), np.array(u, dtype=float)).tolist()
+
+    assert draw([[0.0, 1.0], [1.0, 0.0]], [0.5, 0.5], [0.0, 0.9]) == [[1, 0], [1, 0]]
+    assert sorted(draw(np.zeros((4, 4)), [0.9, 0.1, 0.5, 0.7])[0]) == [0, 1, 2, 3]
+    assert sorted(draw(np.full((3, 3), np.nan), [0.999, 0.999, 0.999])[0]) == [0, 1, 2]
+    assert draw([[1.0, 3.0], [1.0, 1.0]], [0.24, 0.5], [0.26, 0.5]) == [[0, 1], [1, 0]]
 
 
 def test_truncated_normal():
