@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.geometry import rescaled
 from ..functions.rng import sql_key, sql_uniform
 from ..operators import compare, mixture, pairs, sequences, shuffles, spatial, stats, trees
-from ..schemas import UNKNOWN
-from ..sources import fixtures, tables
+from ..schemas import EXCITATORY, INHIBITORY, UNKNOWN
+from ..sources import chunks, fixtures, tables
 from ..sources.fixtures import POINTS, SEQ_EVENTS, SEQ_ORDERS, TREES, VALID_TYPES
+from ..sources.storage import shared_dir
 from . import experiment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,9 +169,64 @@ def count_lookup(spark, d):
     return tables.with_counts(tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_suppkey")
 
 
-@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
+TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def list_tables(spark, d):
-    return spark.createDataFrame([(n,) for n in tables.names(spark, d)], "name string")
+    return tables.sizes(spark, d)
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey < 20")
+def csv_round_trip(spark, d):
+    path = shared_dir(spark, "csv")
+    tables.write_csv(tables.table(spark, d, "supplier").where("s_nationkey < 20").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path)
+    return tables.csv(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query("SELECT o_custkey AS post_cell, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def cached_table(spark, d):
+    path = shared_dir(spark, "cache")
+
+    def counted() -> DataFrame:
+        lines = tables.table(spark, d, "lineitem").join(tables.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return lines.groupBy(F.col("o_custkey").alias("post_cell")).agg(F.count(F.lit(1)).alias("n"))
+
+    tables.cached(spark, path, counted)
+    return tables.cached(spark, path, lambda: counted().where("1 = 0"))  # the cache answers, not this
+
+
+@query("SELECT o_custkey AS post_cell, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def chunk_store(spark, d):
+    path, keys = shared_dir(spark, "chunks"), tables.table(spark, d, "customer").select(F.col("c_custkey").alias("post_cell"))
+    lines = tables.table(spark, d, "lineitem").join(tables.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def counted(some: DataFrame) -> DataFrame:
+        met = lines.join(some, F.col("o_custkey") == F.col("post_cell"), "left_semi")
+        return met.groupBy(F.col("o_custkey").alias("post_cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+    chunks.fill(keys, path, "post_cell", counted, chunks=8, at_once=4)
+    return chunks.read(spark, path)
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
+def versioned_table(spark, d):
+    root = shared_dir(spark, "versions")
+    for version, least in (("v1", 40), ("v2", 10)):
+        tables.table(spark, d, "part").where(F.col("p_size") > least).select("p_partkey", "p_name", "p_size").write.parquet(f"{root}/{version}/part.parquet")
+    return tables.versioned(spark, root, "v2", "part")
+
+
+KINDS = [*EXCITATORY, *INHIBITORY, "astrocyte"]
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS cell_id, {[*KINDS]}[1 + p_partkey % {len(KINDS)}] AS cell_type, CAST(p_size AS DOUBLE) * 0.004 AS x FROM part)
+    SELECT 'excitatory' AS preset, cell_id, cell_type, round(x, 6) AS x FROM c WHERE cell_type IN {tuple(EXCITATORY)} UNION ALL SELECT 'inhibitory', cell_id, cell_type, round(x, 6) FROM c WHERE cell_type IN {tuple(INHIBITORY)}""")
+def cell_presets(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % len(KINDS) + 1).cast("int"))
+    rows = tables.table(spark, d, "part").select(F.col("p_partkey").alias("pt_root_id"), kind.alias("cell_type"), F.array(F.col("p_size").cast("double"), F.lit(0.0), F.lit(0.0)).alias("pt_position"))
+    parts = [f(rows).select(F.lit(name).alias("preset"), "cell_id", "cell_type", r6("x").alias("x")) for name, f in (("excitatory", tables.excitatory_cells), ("inhibitory", tables.inhibitory_cells))]
+    return parts[0].union(parts[1])
 
 
 @query("""WITH few AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)
@@ -230,6 +286,24 @@ def sequence_text(spark, d):
     return sequences.as_text(rows, sequences.codes(rows))
 
 
+@query(f"WITH {SEQ_ORDERS} SELECT post_cell, branch_id, seq_pos, syn_id, pre_cell, cell_type, x, y, z FROM seq_orders")
+def flat_data(spark, d):
+    e = F.struct("seq_pos", "pre_cell", "syn_id", F.array(*"xyz").alias("pos"), "cell_type")
+    rows = fixtures.seq_orders(spark, d).groupBy(*BRANCH).agg(F.array_sort(F.collect_list(e)).alias("e"))
+    data = rows.select(*BRANCH, *[F.col(f"e.{c}").alias(n) for c, n in (("pre_cell", "cell_seq"), ("syn_id", "syn_seq"), ("pos", "pos_seq"), ("cell_type", "type_seq"))])
+    return sequences.flat(sequences.from_flat_data(data))
+
+
+@query(f"""WITH {SEQ_ORDERS}, k AS (SELECT *, CASE WHEN cell_type IN ({VALID_SQL}) THEN cell_type WHEN seq_pos % 2 = 0 THEN 'Unknown' END AS kind FROM seq_orders)
+    SELECT 'valid' AS part, post_cell, branch_id, seq_pos, kind AS cell_type FROM k WHERE kind IN ('ECONOMY', 'LARGE')
+    UNION ALL SELECT 'with unknown', post_cell, branch_id, seq_pos, kind FROM k WHERE kind IN ('ECONOMY', 'LARGE', 'Unknown') OR kind IS NULL""")
+def types_with_unknown(spark, d):
+    kind = F.when(F.col("cell_type").isin(VALID_TYPES), F.col("cell_type")).when(F.col("seq_pos") % 2 == 0, UNKNOWN)
+    rows = fixtures.seq_orders(spark, d).withColumn("cell_type", kind)
+    parts = [sequences.of_types(rows, ["ECONOMY", "LARGE"], unknown).select(F.lit(name).alias("part"), *BRANCH, "seq_pos", "cell_type") for name, unknown in (("valid", False), ("with unknown", True))]
+    return parts[0].union(parts[1])
+
+
 # ---- pairs and scores ----
 
 
@@ -383,6 +457,15 @@ def shuffle_type(spark, d):
     return _shuffled(spark, d, "type")
 
 
+@query(f"WITH {BASE_SQL}, {SHUFFLED_SQL} SELECT 'random' AS shuffle, CAST(trial AS INTEGER) AS trial, post_cell, branch_id, seq_pos, syn_id, pre_cell FROM random_ WHERE trial = 1")
+def trial_store(spark, d):
+    path = shared_dir(spark, "trials")
+    rows = _shuffled(spark, d, "random").withColumn("shuffle", F.lit("random")).select("shuffle", "trial", *BRANCH, "seq_pos", "syn_id", "pre_cell")
+    tables.write_trials(rows.where("trial <= 2").withColumn("pre_cell", F.when(F.col("trial") != 1, F.col("pre_cell"))), path)
+    tables.write_trials(rows.where("trial = 1"), path)  # takes the place of that trial only
+    return tables.read_trials(spark, path, "random", 1).select("shuffle", "trial", *BRANCH, "seq_pos", "syn_id", "pre_cell")
+
+
 COUNTS_SQL = f"""{PAIRS_SQL}, {SHUFFLED_SQL}, every AS (
         SELECT 'original' AS shuffle, 0 AS trial, post_cell, branch_id, seq_pos, pre_cell FROM collapsed
         UNION ALL SELECT 'random', trial, post_cell, branch_id, seq_pos, pre_cell FROM random_ UNION ALL SELECT 'type', trial, post_cell, branch_id, seq_pos, pre_cell FROM typed_),
@@ -548,6 +631,18 @@ def comparable_synapses(spark, d):
     return trees.comparable(annotated, nodes)
 
 
+@query(f"WITH {tree_sql()} SELECT cell_id, node_id FROM t WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.cell_id = t.cell_id AND c.parent_id = t.node_id)")
+def tree_leaves(spark, d):
+    return trees.leaves(fixtures.tree_chain(spark, d)).select("cell_id", "node_id")
+
+
+@query(f"""WITH {tree_sql()} SELECT cell_id, node_id, parent_id, x, cell_type FROM t
+    UNION ALL SELECT DISTINCT cell_id, -1::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 'Unknown' FROM t""")
+def root_rows(spark, d):
+    nodes = fixtures.tree_chain(spark, d)
+    return tables.with_root(nodes, _roots(nodes)).select("cell_id", "node_id", "parent_id", "x", "cell_type")
+
+
 @query()
 def tree_edit_distance(spark, d):
     return trees.edit_distances(fixtures.tree_chain(spark, d), fixtures.tree_heap(spark, d))
@@ -676,6 +771,13 @@ def score_matrix(spark, d):
     return mixture.score_matrix(_collapsed(spark, d), _mixture(spark, d)).withColumn("score", F.round("score", 9))
 
 
+@query(f"""WITH {MIX_SQL}, {collapsed_sql("seq_orders")}, s AS (SELECT a.post_cell, a.branch_id, a.seq_pos AS i, b.seq_pos AS j, sum(weight * {_pdf_sql("b.x", "b.y", "b.z")}) AS s
+        FROM collapsed a JOIN collapsed b ON a.post_cell = b.post_cell AND a.branch_id = b.branch_id JOIN mix ON mix.cell_id = a.pre_cell GROUP BY ALL)
+    SELECT post_cell, branch_id, i, j, round(CASE WHEN s > 0 THEN ln(s) END, 5) AS score FROM s""")
+def log_score_matrix(spark, d):
+    return mixture.score_matrix(_collapsed(spark, d), _mixture(spark, d), log=True).withColumn("score", F.round("score", 5))
+
+
 _V, _O = ("dx", "dy", "dz"), ("(mx - ox)", "(my - oy)", "(mz - oz)")
 
 

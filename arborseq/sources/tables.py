@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n[: -len(".parquet")] for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
 
 
+def sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, n): the tables in a folder with their numbers of rows."""
+    each = [table(spark, folder, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in names(spark, folder)]
+    return reduce(DataFrame.union, each)
+
+
 def with_counts(df: DataFrame, key: str, count_name: str = "n") -> DataFrame:
     """Rows with how often their key occurs; counted apart and joined, so a frequent key is one row until then."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
