@@ -87,6 +87,18 @@ def _lcs(a: pa.Array, b: pa.Array, least: int) -> pa.Array:
     )
 
 
+def _lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    score = np.zeros(len(a), dtype=np.int32)
+    for rows, equal in blocks(a, b):
+        n, p, q = equal.shape
+        row = np.zeros((n, q + 1), dtype=np.int32)
+        for i in range(p - 1, -1, -1):
+            step = np.where(equal[:, i], row[:, 1:] + 1, row[:, :-1])
+            row[:, :-1] = np.maximum.accumulate(step[:, ::-1], axis=1)[:, ::-1]
+        score[rows] = row[:, 0]
+    return pa.array(score)
+
+
 def _substring(a: pa.Array, b: pa.Array) -> pa.Array:
     best, at_a, at_b = (np.zeros(len(a), dtype=np.int32) for _ in range(3))
     for rows, equal in blocks(a, b):
@@ -132,6 +144,17 @@ def lcs(spark: SparkSession, a: Column, b: Column, least: int = 3) -> Column:
     return run(a, b)
 
 
+def lcs_length(spark: SparkSession, a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of ids, without looking for one."""
+    ship(spark)
+
+    @F.arrow_udf("int")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return _lcs_length(x, y)
+
+    return run(a, b)
+
+
 def substring(spark: SparkSession, a: Column, b: Column) -> Column:
     """struct(score, start_a, start_b) of the longest common substring; ties to the least start in a, then in b."""
     ship(spark)

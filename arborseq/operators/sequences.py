@@ -51,6 +51,12 @@ def nested(rows: DataFrame, keys: Sequence[str] = tuple(BRANCH)) -> DataFrame:
     return rows.groupBy(*keys).agg(seq.alias("seq"))
 
 
+def nested_ids(rows: DataFrame, keys: Sequence[str] = tuple(BRANCH)) -> DataFrame:
+    """keys and ``ids``, the array of pre-cells in order: all that comparisons of length or sequence need."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq_pos", "pre_cell")))
+    return rows.groupBy(*keys).agg(F.transform(ordered, lambda e: e["pre_cell"]).alias("ids"))
+
+
 def flat(branches: DataFrame, keys: Sequence[str] = tuple(BRANCH)) -> DataFrame:
     """The inverse of ``nested``."""
     return branches.select(*keys, F.posexplode("seq").alias("seq_pos", "_e")).select(*keys, "seq_pos", *[F.col(f"_e.{c}").alias(c) for c in ELEMENT])

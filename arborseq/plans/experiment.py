@@ -52,13 +52,34 @@ def null_counts(
 
     Pairs are found once: a shuffle within a branch doesn't change which cells it holds.  ``mixtures`` are for the axon
     and continuous models; ``backwards`` reads the second branch of a pair from its end; ``basal`` leaves out pairs with
-    an apical branch, which ``rows`` mark in a column ``apical``.
+    an apical branch, whose ``rows`` are marked in a column ``apical``.
     """
     collapsed = sequences.collapse(rows)
     found = pairs.similar(collapsed, k)
-    branches = sequences.nested(collapsed, [*sequences.BRANCH, "apical"] if basal else sequences.BRANCH)
-    scored = score_pairs(found, null_branches(branches, models, trials, seed, mixtures), backwards=backwards)
-    return stats.repeated(scored, ["shuffle", "trial"], unique=unique, basal=basal).groupBy("shuffle", "trial").agg(F.count(F.lit(1)).alias("n"))
+    if basal:
+        apical = rows.where("apical").select(*sequences.BRANCH).distinct()
+        for side in "ab":
+            found = found.join(apical.withColumnsRenamed({"post_cell": f"cell_{side}", "branch_id": f"branch_{side}"}), [f"cell_{side}", f"branch_{side}"], "left_anti")
+    every = null_branches(sequences.nested(collapsed), models, trials, seed, mixtures).select("shuffle", "trial", *sequences.BRANCH, sequences.ids("seq").alias("ids"))
+    keys = repeated_ids(found, every, backwards=backwards)
+    if unique:
+        keys = keys.where(sequences.unique_only(F.col("key")))
+    return keys.select("shuffle", "trial", "key").distinct().groupBy("shuffle", "trial").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated_ids(pair_table: DataFrame, branches: DataFrame, least: int = 3, backwards: bool = False) -> DataFrame:
+    """(shuffle and trial if there, PAIR, key): the common subsequence of each pair, as ids, where it has ``least`` of them.
+
+    ``branches`` (``sequences.nested_ids``) carry ids only, so that is all the joins move.
+    """
+    by = [c for c in ("shuffle", "trial") if c in branches.columns]
+    out = pair_table
+    for n, side in enumerate("ab"):
+        one = branches.select(F.col("post_cell").alias(f"cell_{side}"), F.col("branch_id").alias(f"branch_{side}"), F.col("ids").alias(f"ids_{side}"), *by)
+        out = out.join(one, [f"cell_{side}", f"branch_{side}", *(by if n else [])])
+    second = F.reverse("ids_b") if backwards else F.col("ids_b")
+    scored = out.withColumn("_lcs", compare.lcs(out.sparkSession, F.col("ids_a"), second, least)).where(F.col("_lcs.score") >= least)
+    return scored.select(*by, *pairs.PAIR, sequences.subsequence("ids_a", F.col("_lcs.idx_a")).alias("key"))
 
 
 def z_scores(counts: DataFrame) -> DataFrame:

@@ -332,7 +332,9 @@ def cluster_overlap(spark, d):
 
 @query(f"WITH RECURSIVE {PAIRS_SQL}, {matches_sql('collapsed')}, {lengths_sql()} SELECT cell_a, branch_a, cell_b, branch_b, score FROM lens")
 def lcs_length(spark, d):
-    return _scored(spark, d).select(*PAIR, "score")
+    c = _collapsed(spark, d)
+    rows = pairs.fetch(pairs.similar(c, 3), sequences.nested_ids(c), "ids")
+    return rows.select(*PAIR, compare.lcs_length(spark, F.col("ids_a"), F.col("ids_b")).alias("score"))
 
 
 CHAINS_SQL = f"{PAIRS_SQL}, {matches_sql('collapsed')}, {lengths_sql()}, {chains_sql()}"
@@ -365,7 +367,8 @@ def substring_length(spark, d):
 
 @query(f"WITH RECURSIVE {CHAINS_SQL} SELECT array_to_string(key, ',') AS key, count(*) AS n FROM best GROUP BY key")
 def repeated_seq_counts(spark, d):
-    return stats.repeated(_scored(spark, d)).select(text("key").alias("key"), "n")
+    c = _collapsed(spark, d)
+    return experiment.repeated_ids(pairs.similar(c, 3), sequences.nested_ids(c)).groupBy(text("key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH RECURSIVE {CHAINS_SQL} SELECT array_to_string(key, ',') AS key, count(*) AS n FROM best WHERE len(list_distinct(key)) = len(key) GROUP BY key")

@@ -72,9 +72,9 @@ def levenshtein(a, b):
 def test_comparisons_match_plain_programs(spark, cases):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<long>, b array<long>")
     col = compare.F.col
-    got = df.select("i", compare.lcs(spark, col("a"), col("b"), 1).alias("l"), compare.substring(spark, col("a"), col("b")).alias("s"), compare.edit_distance(spark, col("a"), col("b")).alias("d")).orderBy("i").collect()
+    got = df.select("i", compare.lcs(spark, col("a"), col("b"), 1).alias("l"), compare.substring(spark, col("a"), col("b")).alias("s"), compare.edit_distance(spark, col("a"), col("b")).alias("d"), compare.lcs_length(spark, col("a"), col("b")).alias("n")).orderBy("i").collect()
     for r, (a, b) in zip(got, cases, strict=True):
-        assert r.l.score == lcs_length(a, b) <= min(len(a), len(b))
+        assert r.l.score == r.n == lcs_length(a, b) <= min(len(a), len(b))
         assert r.s.score == substring_length(a, b) <= r.l.score
         assert r.d == levenshtein(a, b)
         if r.l.score:
