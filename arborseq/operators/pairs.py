@@ -91,7 +91,9 @@ def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None, patie
         wanted = between.select(F.least("cell_a", "cell_b").alias("cell_a"), F.greatest("cell_a", "cell_b").alias("cell_b")).where("cell_a <> cell_b").distinct()
         either = wanted.select(F.col("cell_a").alias("post_cell")).union(wanted.select(F.col("cell_b").alias("post_cell"))).distinct()
         sets = sets.join(either, "post_cell", "left_semi")
-    sets = stored(by_rarity(sets), "pairs-sets")
+    given = stored(sets, "pairs-given")  # counted and ordered from what is stored, not made twice
+    sets = stored(by_rarity(given), "pairs-sets")
+    discard(given)
     found = candidates(sets, k, patience)
     if between is not None:
         found = found.join(wanted, ["cell_a", "cell_b"], "left_semi")
