@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborseq.llm import components, exact_dedup, near_copies, simhash, suffix_dedup
+from arborseq.llm import common, components, exact_dedup, near_copies, simhash, suffix_dedup
 
 from .cases import documents, empty, words
 
@@ -46,15 +46,6 @@ def test_every_round_merges_in_sorted_order(spark):
     assert physical.count("Sort [run") >= 4
 
 
-def test_every_round_merges_in_sorted_order(spark):
-    """The optimiser leaves each round its exchange, its sort and the pass over the sorted entries."""
-    rows = exact_dedup.digests(documents(spark), bits=4)
-    plan = exact_dedup.retained(rows, bits=4)._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("Window [") >= 4
-    physical = exact_dedup.retained(rows, bits=4)._jdf.queryExecution().executedPlan().toString()
-    assert physical.count("Sort [run") >= 4
-
-
 def union_find(n, links):
     parent = list(range(n))
 
@@ -218,23 +209,6 @@ def test_shared_keys_of_any_run(monkeypatch):
         assert sorted(map(sorted, got.values())) == [[1, 1, 2, 2], [4, 5]]
 
 
-def test_shared_keys_of_any_run(monkeypatch):
-    """Keys of the same nodes get one number, lone ones go, and a crowded key is handed on however batches cut it."""
-    import pyarrow as pa
-
-    monkeypatch.setattr(near_copies, "CROWDED", 6)
-    held = {5: [1], 6: [1, 2], 7: [1, 2], 8: [3], 9: list(range(20)), 10: [4, 5], 11: list(range(7)), 12: [8]}
-    flat = [(k, 0, n) for k, nodes in held.items() for n in nodes]
-    for size in (1, 2, 3, 5, 8, 100):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat[i : i + size], strict=True)], names=["key", "at", "node"]) for i in range(0, len(flat), size)]
-        out = [tuple(r.values()) for b in near_copies._shared_keys_task(batches) for r in b.to_pylist()]
-        got = {}
-        for k, _, n in out:
-            got.setdefault(k, []).append(n)
-        assert got.pop(9) == held[9] and got.pop(11) == held[11]
-        assert sorted(map(sorted, got.values())) == [[1, 1, 2, 2], [4, 5]]
-
-
 def test_prefixes_share_as_many_shingles_as_are_needed():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -370,3 +344,21 @@ def test_radix_passes_find_exactly_the_repeats():
     got = set(zip(row.tolist(), window.tolist(), strict=True))
     want = {(r, w) for r in range(40) for w in range(19) if any(bodies[p][w : w + 12] == bodies[r][w : w + 12] for p in range(r))}
     assert got == want
+
+
+def test_filtered_rows_keep_columns_of_any_name(spark):
+    """The filter's own columns are kept apart from the caller's, and where it would fill up all rows are others."""
+    names = ["_word", "_bits", "_hit", "_gone_id", "row", "word", "bits", "hit", "at", "bit"]
+    rows = spark.range(200).select("id", *[F.concat(F.lit(n), F.col("id")).alias(n) for n in names])
+    wanted = common.stored(spark.range(50, 60), "wanted")
+    out, hit = common.parted(rows, ["id"], wanted)
+    assert out.columns == hit.columns == rows.columns
+    assert {r.id for r in hit.collect()} >= set(range(50, 60)) and hit.count() < 30
+    every = sorted(map(tuple, out.union(hit).collect()))
+    assert every == sorted(map(tuple, rows.collect()))
+    common.FILTER_WORDS, before = 0, common.FILTER_WORDS
+    try:
+        none, every = common.parted(rows, ["id"], wanted)
+        assert none.count() == 0 and every.count() == 200
+    finally:
+        common.FILTER_WORDS = before

@@ -2,6 +2,7 @@
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 
 from arborseq.llm import near_copies
 from arborseq.llm.queries import ORACLE_SQL, QUERIES
@@ -72,6 +73,18 @@ def test_stages_on_odd_documents(spark, data):
             assert out.columns == COLUMNS
 
 
+def test_stages_keep_columns_with_names_of_their_own_helpers(spark, data):
+    names = ["_word", "_bits", "_hit", "_gone_id", "_n", "row", "hit"]
+    docs = documents(spark, extra=False)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+
+
 def test_run_packs_what_the_stages_keep(spark, data):
     out = cp.run(spark, data)
     tokens = {r.doc_id: r.doc_tokens for r in out.collect()}
