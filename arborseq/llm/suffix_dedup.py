@@ -14,14 +14,17 @@ and a group that shrinks to one suffix leaves the sort at once.
   their windows, grouped by anchor and place, are sorted eight bytes a pass, most
   significant first, through ``depth`` bytes.  Groups left then are exactly the
   repeated windows; all but the first occurrence are removed.
+* Where very many different units share an anchor, as at the edges of a passage that
+  many documents have, they go on as single windows: the whole window is the digit, so
+  what meets is equal, and one pass over the sorted rows tells the first of each.
 
 Anchors and units are compared by 64-bit polynomial hashes of different bases, 128 bits
-together.
+together, and so are single windows.
 
 Texts are shuffled once, into a table bucketed by document; later steps bring only
-positions to it.  Copies within a batch are settled before the shuffle, groups are
-streamed in sorted order rather than held, and units of anchors that very many share
-are dealt out in pieces, by the bytes that equal windows must have in common.
+positions to it.  Equal units and windows of a batch are settled before they are shuffled,
+so a passage costs one task a row for each batch, not for each document.  Groups are
+streamed in sorted order; what a task holds is a batch and at most BUSY strings.
 """
 
 from __future__ import annotations
@@ -35,14 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, salted_partitions, shared_dir, ship, shuffles_cleaned, stored
+from .common import discard, frugal, salted_partitions, shared_dir, ship, shuffles_cleaned, stored
 
 GRAM = 24
 SEGMENT = 1 << 20
-#: Units of anchors that more of them share are cut into pieces of PLACES windows and dealt out by the bytes that all
-#: windows at those places hold.
+#: Different units of one anchor from which on they are dealt out as single windows.
 BUSY = 1_000
-PLACES = 4
 #: Windows sorted at a time.
 SORTED = 2_000_000
 
@@ -137,38 +138,46 @@ def segments(bodies: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
         yield out()
 
 
-UNIT = "route long, a long, u long, did long, row long, start long, n int, off int, sure boolean"
+UNIT = "a long, u long, did long, tie long, row long, start long, n int, off int, sure boolean"
+
+
+def spread(*x: np.ndarray) -> np.ndarray:
+    """A number for each row that sends rows anywhere, for those that only travel along."""
+    out = np.zeros(len(x[0]), np.uint64)
+    for y in x:
+        out = mix(out ^ y.astype(np.int64).view(np.uint64))
+    return out.view(np.int64)
 
 
 def _units_task(depth: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            did, tie, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             found = []
-            for data, bounds, rows, starts in segments(batch.column(2).to_pylist(), depth):
+            for data, bounds, rows, starts in segments(batch.column(3).to_pylist(), depth):
                 a, u, first, n, off = units(data, bounds, depth)
                 part = np.searchsorted(bounds, first, side="right") - 1
                 row = rows[part]
-                found.append((a.view(np.int64), u.view(np.int64), did[row], place[row], first - bounds[part] + starts[part], n, off))
+                found.append((a.view(np.int64), u.view(np.int64), did[row], tie[row], place[row], first - bounds[part] + starts[part], n, off))
             if not found:
                 continue
-            a, u, d, row, start, n, off = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, row, d, u, a))
-            a, u, d, row, start, n, off = (x[order] for x in (a, u, d, row, start, n, off))
+            a, u, d, t, row, start, n, off = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, row, t, d, u, a))
+            a, u, d, t, row, start, n, off = (x[order] for x in (a, u, d, t, row, start, n, off))
             # a unit that this batch has earlier is settled: it goes along only to reach its document
             sure = np.concatenate([[False], (a[1:] == a[:-1]) & (u[1:] == u[:-1])])
-            route = np.where(sure, (d ^ row) * np.int64(-7046029254386353131) + start, a)
-            columns = (route, a, u, d, row, start, n.astype(np.int32), off.astype(np.int32), sure)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["route", "a", "u", "did", "row", "start", "n", "off", "sure"])
+            a = np.where(sure, spread(row, start), a)
+            columns = (a, u, d, t, row, start, n.astype(np.int32), off.astype(np.int32), sure)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "u", "did", "tie", "row", "start", "n", "off", "sure"])
 
     return run
 
 
-UNIT_PLACE = ("did", "row", "start", "n", "off", "a")
+UNIT_PLACE = ("row", "start", "n", "off", "a")
 
 
 def _settle_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From units sorted by (sure, a, u, did, row, start): repeated ones (``whole``), and the first of each unit whose anchor has several.
+    """From units sorted by (sure, a, u, did, tie, row, start): repeated ones (``whole``), and the first of each unit whose anchor has several.
 
     Streams; of the rows before a batch only the last anchor, its first row and its last unit are remembered.
     """
@@ -213,59 +222,75 @@ def _settle_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 pending = None if other[group[-1]] else [c[n][begin] for n in UNIT_PLACE] + [False]
             seen = {"a": a[-1], "u": u[-1], "pending": pending}
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64, bool)
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, bool)
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=k)) for x, k in zip(out, kinds, strict=True)], names=[*UNIT_PLACE, "whole"])
 
 
-PIECE = "a long, off int, did long, row long, start long, n int, body binary, sure boolean"
-
-
-def pieces(w, did: int, row: int, body: bytes, depth: int) -> Iterator[tuple]:
-    """A unit of a busy anchor by groups of PLACES places: route, offset, document, row, start, number of windows, bytes.
-
-    Windows at one place of an anchor are equal only if the bytes are that all windows of the group hold, so those
-    bytes make the route: it brings together what can be equal and hardly anything else.
-    """
-    i, at = 0, w["start"]
-    while i < w["n"]:
-        group = (w["off"] - i) // PLACES
-        end = min(w["n"], w["off"] - group * PLACES + 1)
-        core = at + w["off"] - group * PLACES
-        name = b"%d %d " % (w["a"], group) + body[core : core + depth - PLACES + 1]
-        route = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "big", signed=True)
-        yield route, w["off"] - i, did, row, at + i, end - i, body[at + i : at + end + depth - 1]
-        i = end
+#: Kinds of pieces: a unit's string, a window of a busy anchor (compared by a and u), windows that are already settled.
+STRING, WINDOW, SETTLED = range(3)
+PIECE = "kind int, a long, u long, off int, did long, tie long, row long, start long, n int, body binary"
+
+
+def _pieces(kind: int, did, tie, row, start, n, a=None, u=None, off=None, bodies: list[bytes] | None = None) -> pa.RecordBatch:
+    m = len(row)
+    zero = np.zeros(m, np.int64)
+    numbers = [np.full(m, kind, np.int32), a if a is not None else zero, u if u is not None else zero, off if off is not None else zero, did, tie, row, start, n]
+    kinds = (np.int32, np.int64, np.int64, np.int32, np.int64, np.int64, np.int64, np.int64, np.int32)
+    columns = [pa.array(np.asarray(x, dtype=k)) for x, k in zip(numbers, kinds, strict=True)] + [pa.array(bodies, pa.binary()) if bodies is not None else pa.nulls(m, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "u", "off", "did", "tie", "row", "start", "n", "body"])
+
+
+def single_windows(places: list[tuple], bodies: list[bytes], depth: int) -> Iterator[pa.RecordBatch]:
+    """The windows of units (did, tie, row, start, n), each with its hashes; those that come earlier here are settled, as runs."""
+    did, tie, row, start, n = (np.array(x, dtype=np.int64) for x in zip(*places, strict=True))
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    unit = np.repeat(np.arange(len(n)), n)
+    window = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+    p = (np.cumsum(n + depth - 1) - (n + depth - 1))[unit] + window
+    hashes = []
+    for base in (_M, _N):
+        scan = scanned(data, base)
+        hashes.append(mix((scan[p + depth] - scan[p]) * powers(len(data) + 1, base)[1][p]).view(np.int64))
+    did, tie, row, start = did[unit], tie[unit], row[unit], start[unit] + window
+    order = np.lexsort((start, row, tie, did, hashes[1], hashes[0]))
+    a, u, did, tie, row, start = (x[order] for x in (*hashes, did, tie, row, start))
+    again = np.concatenate([[False], (a[1:] == a[:-1]) & (u[1:] == u[:-1])])
+    new = ~again
+    yield _pieces(WINDOW, did[new], tie[new], row[new], start[new], np.ones(int(new.sum())), a[new], u[new])
+    if again.any():
+        order = np.flatnonzero(again)[np.lexsort((start[again], row[again]))]
+        row, start = row[order], start[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
+        zero = np.zeros(len(first))
+        yield _pieces(SETTLED, zero, zero, row[first], start[first], np.diff(np.concatenate([first, [len(row)]])), spread(row[first], start[first]))
 
 
 def _fetch_task(depth: int):
-    """The strings of a document's partial units; those of busy anchors in pieces, of which equal ones in a batch are settled."""
+    """The strings of a document's partial units; those of busy anchors as single windows, a segment's together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: list[tuple] = []
+        bodies: list[bytes] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
-            busy: list[tuple] = []
-            for did, row, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            quiet: list[tuple] = []
+            for did, tie, row, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 for w in wanted:
-                    if w["busy"]:
-                        busy += pieces(w, did, row, body, depth)
-                    else:
-                        out.append((w["a"], w["off"], did, row, w["start"], w["n"], body[w["start"] : w["start"] + w["n"] + depth - 1], False))
-            busy.sort(key=lambda p: p[2:5])
-            seen: set[tuple] = set()
-            gone: list[list[int]] = []
-            for p in busy:
-                key = (p[0], p[1], p[6])
-                if key not in seen:
-                    seen.add(key)
-                    out.append((*p, False))
-                elif gone and gone[-1][:2] == [p[2], p[3]] and gone[-1][2] + gone[-1][3] == p[4]:
-                    gone[-1][3] += p[5]
-                else:
-                    gone.append([p[2], p[3], p[4], p[5]])
-            out += [((d ^ r) * -7046029254386353131 + s & (1 << 62) - 1, 0, d, r, s, n, b"", True) for d, r, s, n in gone]
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "off", "did", "row", "start", "n", "body", "sure"])
+                    place, string = (did, tie, row, w["start"], w["n"]), body[w["start"] : w["start"] + w["n"] + depth - 1]
+                    if not w["busy"]:
+                        quiet.append((*place, w["a"], 0, w["off"], string))
+                        continue
+                    places.append(place)
+                    bodies.append(string)
+                    size += len(string)
+                    if size >= SEGMENT:
+                        yield from single_windows(places, bodies, depth)
+                        places, bodies, size = [], [], 0
+            if quiet:
+                *numbers, strings = zip(*quiet, strict=True)
+                yield _pieces(STRING, *numbers, bodies=list(strings))
+        if places:
+            yield from single_windows(places, bodies, depth)
 
     return run
 
@@ -308,10 +333,11 @@ def repeated_windows(anchor: np.ndarray, off: np.ndarray, n: np.ndarray, bodies:
 
 
 def _sort_task(depth: int):
-    """Removed windows, as runs (did, row, start, n), from pieces sorted by (a, did, row, start)."""
+    """Removed windows, as runs (row, start, n), from pieces sorted by (kind, a, u, did, tie, row, start)."""
+    names = ["row", "start", "n"]
 
     def settled(rows: list[np.ndarray], bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        a, off, did, place, start, n = rows
+        a, off, place, start, n = rows
         # bound what is sorted at once: windows with other places of the anchor never meet
         low, high = int((off - n).min()) + 1, int(off.max())
         parts = max(1, -(-int(n.sum()) // SORTED))
@@ -331,25 +357,34 @@ def _sort_task(depth: int):
             first = np.flatnonzero(new)
             sizes = np.diff(np.concatenate([first, [len(r)]]))
             at = r[first]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[at], place[at], start[at] + w[first], sizes.astype(np.int32))], names=["did", "row", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place[at], start[at] + w[first], sizes.astype(np.int32))], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[np.ndarray] | None = None  # strings of one anchor, which isn't busy
         held_bodies: list[bytes] = []
+        last = None  # the hashes of the window before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sure = batch.column(7).to_numpy(zero_copy_only=False).astype(bool)
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            if sure.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i][sure]) for i in (2, 3, 4, 5)], names=["did", "row", "start", "n"])
-            bodies = [b for b, s in zip(batch.column(6).to_pylist(), sure.tolist(), strict=True) if not s]
-            rows = [x[~sure] for x in rows]
+            c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names) if n != "body"}
+            kind = c["kind"]
+            done = kind == SETTLED
+            single = np.flatnonzero(kind == WINDOW)
+            if len(single):
+                a, u = c["a"][single], c["u"][single]
+                again = np.concatenate([[last == (a[0], u[0])], (a[1:] == a[:-1]) & (u[1:] == u[:-1])])
+                last = (a[-1], u[-1])
+                done[single[again]] = True
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[n][done]) for n in names], names=names)
+            strings = np.flatnonzero(kind == STRING)
+            if not len(strings):
+                continue
+            rows = [c[n][strings] for n in ("a", "off", "row", "start", "n")]
+            bodies = batch.column(batch.num_columns - 1).take(pa.array(strings)).to_pylist()
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
                 bodies = held_bodies + bodies
-            if not len(rows[0]):
-                continue
             before = np.flatnonzero(rows[0] != rows[0][-1])
             cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
@@ -377,7 +412,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
 
     Every byte is removed that a ``depth``-byte string covers which also starts earlier: in a row that comes before, or
     in the same row further left.  Rows come in the order of their keys, a null key before any other, and rows that
-    share a key, null or not, in the order in which the table lists them; so of equal rows the later is a copy.
+    share a key, null or not, in the order of their texts' hashes; of rows equal in both one counts as the first, no
+    matter which.
     Strings are judged on the input, and never cross rows.  Null text counts as empty.
     """
     spark = docs.sparkSession
@@ -387,7 +423,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         raise ValueError("keys must be integers")
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     none = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("_did"), F.monotonically_increasing_id().alias("_row"), F.col(key).isNull().alias("_null_key"), body.alias("_body"), *[F.col(c).alias(f"_col_{i}") for i, c in enumerate(columns)])
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("_did"), F.monotonically_increasing_id().alias("_row"), F.col(key).isNull().alias("_null_key"), body.alias("_body"), F.xxhash64(body).alias("_tie"), *[F.col(c).alias(f"_col_{i}") for i, c in enumerate(columns)])
     name = f"suffix_texts_{uuid.uuid4().hex}"
     # a row's place makes its bucket, so rows without a key, or that share one, don't gather
     with shuffles_cleaned(spark):
@@ -395,16 +431,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # only its name: the files are where the path says
     # first and second digit: anchors, then units
-    found = table.select("_did", "_row", "_body").mapInArrow(frugal(_units_task(depth)), UNIT)
-    met = found.repartition(n, "route").select("sure", "a", "u", "did", "row", "start", "n", "off").sortWithinPartitions("sure", "a", "u", "did", "row", "start")
-    settled = stored(met.mapInArrow(frugal(_settle_task), "did long, row long, start long, n int, off int, a long, whole boolean"), "units")
+    order = ["a", "u", "did", "tie", "row", "start"]
+    found = table.select("_did", "_tie", "_row", "_body").mapInArrow(frugal(_units_task(depth)), UNIT)
+    met = found.repartition(n, "a").select("sure", *order, "n", "off").sortWithinPartitions("sure", *order)
+    settled = stored(met.mapInArrow(frugal(_settle_task), "row long, start long, n int, off int, a long, whole boolean"), "units")
     # further digits: the windows of units that share an anchor and differ
     partial = settled.where(~F.col("whole"))
     busy = stored(partial.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUSY).select("a", F.lit(True).alias("busy")), "busy")
     wanted = partial.join(busy, "a", "left").groupBy("row").agg(F.collect_list(F.struct("a", "off", "start", "n", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("wanted"))
-    fetched = table.select("_did", "_row", "_body").join(wanted, table._row == wanted.row).select("_did", "_row", "_body", "wanted").mapInArrow(frugal(_fetch_task(depth)), PIECE)
-    sorted_ = stored(fetched.repartition(n, "a").sortWithinPartitions("a", "did", "row", "start").mapInArrow(frugal(_sort_task(depth)), "did long, row long, start long, n int"), "windows")
-    removed = settled.where("whole").select("row", "start", "n").union(sorted_.select("row", "start", "n"))
+    fetched = table.join(wanted, table._row == wanted.row).select("_did", "_tie", "_row", "_body", "wanted").mapInArrow(frugal(_fetch_task(depth)), PIECE)
+    sorted_ = stored(fetched.repartition(n, "a").sortWithinPartitions("kind", *order).mapInArrow(frugal(_sort_task(depth)), "row long, start long, n int"), "windows")
+    discard(busy)
+    removed = settled.where("whole").select("row", "start", "n").union(sorted_)
     spans = removed.groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + depth - 1).alias("end"))).alias("_spans"))
     return table.join(spans, table._row == spans.row, "left").drop("row")
 

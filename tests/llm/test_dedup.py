@@ -282,11 +282,17 @@ def test_near_copies_in_crowded_keys(spark, monkeypatch, crowded, small, large):
     test_near_copies_within_templates(spark)
 
 
+def signed_hash(b):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(b, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_removed(rows, depth):
-    """By a set of all strings seen; rows in the order of keys (null first)."""
+    """By a set of all strings seen; rows in the order of keys (null first), those of one key by their texts' hashes."""
     seen, out = set(), []
-    for d, t in rows:
-        b = (t or "").encode()
+    for d, b in sorted(((d, (t or "").encode()) for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1]))):
         gone = bytearray(len(b))
         for i in range(len(b) - depth + 1):
             w = b[i : i + depth]
@@ -304,17 +310,71 @@ def test_removed_digest(spark, monkeypatch, busy, segment):
     monkeypatch.setattr(suffix_dedup, "BUSY", busy)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     docs = documents(spark)
-    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted(map(tuple, suffix_dedup.removed_digest(docs).collect()), key=repr)
     assert got == sorted(brute_removed(rows, 100), key=repr)
 
 
+def sorted_batch(batches, order):
+    import pyarrow as pa
+
+    t = pa.Table.from_batches(list(batches))
+    return t.sort_by([(c, "ascending") for c in order]).combine_chunks()
+
+
+@pytest.mark.parametrize("docs, batch", [(2_000, 500), (8_000, 500), (8_000, 2_000)])
+def test_windows_at_the_edges_of_a_shared_passage_spread(docs, batch):
+    """No window travels more often than segments are filled, however many documents have the passage; and all repeats are found."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    passage = words(rng, 200)[:400]
+    texts = [f"{words(rng, 8)}{i} {passage} {words(rng, 8)}".encode() for i in range(docs)]
+
+    def batches(rows, kinds, names):
+        for i in range(0, len(rows), batch):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + batch], strict=True), kinds, strict=True)], names=names)
+
+    given = [(i, 0, i, t) for i, t in enumerate(texts)]
+    long = pa.int64()
+    order = ["a", "u", "did", "tie", "row", "start"]
+    met = sorted_batch(suffix_dedup._units_task(100)(batches(given, (long, long, long, pa.binary()), ["did", "tie", "row", "body"])), ["sure", *order])
+    settled = pa.Table.from_batches(list(suffix_dedup._settle_task(met.to_batches(max_chunksize=700)))).to_pylist()
+    number = {}
+    for r in settled:
+        if not r["whole"]:
+            number[r["a"]] = number.get(r["a"], 0) + 1
+    assert max(number.values()) > suffix_dedup.BUSY
+    wanted = {}
+    for r in settled:
+        if not r["whole"]:
+            wanted.setdefault(r["row"], []).append({**{k: r[k] for k in ("a", "off", "start", "n")}, "busy": number[r["a"]] > suffix_dedup.BUSY})
+    asked = [(i, 0, i, t, wanted[i]) for i, _, _, t in given if i in wanted]
+    struct = pa.list_(pa.struct([("a", long), ("off", pa.int32()), ("start", long), ("n", pa.int32()), ("busy", pa.bool_())]))
+    fetched = sorted_batch(suffix_dedup._fetch_task(100)(batches(asked, (long, long, long, pa.binary(), struct), ["did", "tie", "row", "body", "wanted"])), ["kind", *order])
+    kinds = np.array(fetched["kind"])
+    _, sizes = np.unique(np.array(fetched["a"])[kinds == suffix_dedup.WINDOW], return_counts=True)
+    segments = 1 + sum(len(t) - len(passage) + 2 * 176 for t in texts) // suffix_dedup.SEGMENT
+    assert sizes.max() <= segments
+    removed = [(r["row"], r["start"], r["n"]) for r in settled if r["whole"]]
+    for b in suffix_dedup._sort_task(100)(fetched.to_batches(max_chunksize=700)):
+        removed += [(r["row"], r["start"], r["n"]) for r in b.to_pylist()]
+    gone = {(row, start + i) for row, start, n in removed for i in range(n)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 99):
+            if t[j : j + 100] in seen:
+                want.add((i, j))
+            seen.add(t[j : j + 100])
+    assert gone == want
+
+
 def test_many_rows_without_a_key_or_of_one(spark):
     rng = random.Random(13)
     passages = [words(rng, 40) for _ in range(6)]
     rows = [(rng.choice([None, None, 7, i]), " ".join([words(rng, rng.randrange(6)), rng.choice(passages), words(rng, rng.randrange(6))])) for i in range(900)]
     got = sorted(map(tuple, suffix_dedup.removed_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
-    assert got == sorted(brute_removed(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), 100), key=repr)
+    assert got == sorted(brute_removed(rows, 100), key=repr)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_texts")]
 
 
