@@ -82,6 +82,22 @@ def repeated_ids(pair_table: DataFrame, branches: DataFrame, least: int = 3, bac
     return scored.select(*by, *pairs.PAIR, sequences.subsequence("ids_a", F.col("_lcs.idx_a")).alias("key"))
 
 
+def sequence_distances(
+    rows: DataFrame, models: Sequence[str] = ("original", "random", "type"), trials: int = 5, seed: int = 0, k: int = 3, mixtures: DataFrame | None = None, basal: bool = False
+) -> DataFrame:
+    """(shuffle, trial, key, n, mean_distance, per_synapse): how far apart the elements of each repeated sequence lie, in the data and in each trial.
+
+    Elements lie where a shuffle puts them.  ``basal`` as in ``null_counts``.
+    """
+    collapsed = sequences.collapse(rows)
+    branches = sequences.nested(collapsed)
+    if basal:
+        apical = rows.groupBy(*sequences.BRANCH).agg(F.max("apical").alias("apical"))
+        branches = branches.join(apical, sequences.BRANCH)
+    every = null_branches(branches, models, trials, seed, mixtures)
+    return stats.distances(score_pairs(pairs.similar(collapsed, k), every), ["shuffle", "trial"], k, basal)
+
+
 def z_scores(counts: DataFrame) -> DataFrame:
     """(shuffle, real, mean, std, z) of each null model against 'original'; z is null without spread.
 

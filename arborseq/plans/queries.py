@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import rescaled
 from ..functions.rng import sql_key, sql_uniform
-from ..operators import compare, mixture, pairs, sequences, shuffles, spatial, stats, trees
+from ..operators import compare, distributions, mixture, pairs, sequences, shuffles, spatial, stats, trees
 from ..schemas import EXCITATORY, INHIBITORY, UNKNOWN
 from ..sources import chunks, fixtures, tables
 from ..sources.fixtures import POINTS, SEQ_EVENTS, SEQ_ORDERS, TREES, VALID_TYPES
@@ -488,6 +489,90 @@ def null_zscore(spark, d):
     return z.select("shuffle", "real", *[r6(c).alias(c) for c in ("mean", "std", "z")])
 
 
+# ---- real values beside null models ----
+
+DISTANCES_SQL = f"""{PAIRS_SQL}, {SHUFFLED_SQL}, every AS (
+        SELECT 'original' AS shuffle, 0 AS trial, post_cell, branch_id, seq_pos, pre_cell, x, y, z FROM collapsed
+        UNION ALL SELECT 'random', trial, post_cell, branch_id, seq_pos, r.pre_cell, p.x, p.y, p.z FROM random_ r {PLACES_SQL}),
+    {matches_sql("every", "shuffle, trial")}, {lengths_sql("shuffle, trial")}, {chains_sql("shuffle, trial")},
+    places AS (SELECT shuffle, trial, cell_a, branch_a, cell_b, branch_b, key, 0 AS side, cell_a AS c, branch_a AS b, unnest(ia) AS p FROM best
+        UNION ALL SELECT shuffle, trial, cell_a, branch_a, cell_b, branch_b, key, 1, cell_b, branch_b, unnest(ib) FROM best),
+    pl AS (SELECT places.*, x, y, z, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM places JOIN every e ON e.shuffle = places.shuffle AND e.trial = places.trial AND post_cell = c AND branch_id = b AND seq_pos = p
+        WINDOW w AS (PARTITION BY places.shuffle, places.trial, cell_a, branch_a, cell_b, branch_b, side ORDER BY p)),
+    ds AS (SELECT shuffle, trial, key, sum(sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz))) AS d FROM pl GROUP BY shuffle, trial, cell_a, branch_a, cell_b, branch_b, side, key),
+    val AS (SELECT shuffle, trial, round(avg(d) / len(key), 4) AS v FROM ds GROUP BY shuffle, trial, key)"""
+LENGTHS_SQL = f"""{TREES}, val AS (SELECT kind AS shuffle, 0 AS trial, round(sum(sqrt(pow(t.x - p.x, 2) + pow(t.y - p.y, 2) + pow(t.z - p.z, 2))), 4) AS v
+        FROM (SELECT 'original' AS kind, * FROM tree_chain UNION ALL SELECT 'heap', * FROM tree_heap) t JOIN (SELECT 'original' AS kind, * FROM tree_chain UNION ALL SELECT 'heap', * FROM tree_heap) p
+        USING (kind) WHERE p.cell_id = t.cell_id AND p.node_id = t.parent_id GROUP BY kind, t.cell_id)"""
+WIDE_EDGES = stats.log_edges(0.1, 1000, 20)
+
+
+def _pdf_table_sql(edges: list[float]) -> str:
+    return f"""e AS (SELECT {_edge_list(edges)} AS e), k AS (SELECT unnest(range(1, {len(edges)})) AS k), mo AS (SELECT shuffle, count(DISTINCT trial) AS trials FROM val GROUP BY 1)
+    SELECT mo.shuffle, CAST(k - 1 AS INTEGER) AS bin, round(e[k], 6) AS low, round(e[k + 1], 6) AS high, count(v) AS n, round(count(v) / max(trials)::DOUBLE, 6) AS per_trial
+    FROM mo CROSS JOIN k CROSS JOIN e LEFT JOIN val ON val.shuffle = mo.shuffle AND v >= e[k] AND (v < e[k + 1] OR (k = {len(edges) - 1} AND v = e[k + 1])) GROUP BY ALL"""
+
+
+_CDF_TABLE_SQL = """tied AS (SELECT shuffle, CAST(trial AS INTEGER) AS trial, v FROM val WHERE shuffle <> 'original' UNION ALL SELECT shuffle, NULL, v FROM val),
+    run AS (SELECT shuffle, trial, v, count(*) AS n FROM tied GROUP BY ALL)
+    SELECT shuffle, trial, v AS value, n, round(sum(n) OVER (PARTITION BY shuffle, trial ORDER BY v) * 100.0::DOUBLE / sum(n) OVER (PARTITION BY shuffle, trial), 6) AS percent FROM run"""
+_STATS_TABLE_SQL = "SELECT shuffle, count(*) AS n, count(DISTINCT trial) AS trials, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std FROM val GROUP BY 1"
+
+
+def _distances(spark, d) -> DataFrame:
+    out = experiment.sequence_distances(fixtures.seq_orders(spark, d), ("original", "random"), TRIALS, SEED)
+    return out.select("shuffle", "trial", F.round("per_synapse", 4).alias("v"))
+
+
+def _tree_lengths(spark, d) -> DataFrame:
+    kinds = {"original": fixtures.tree_chain(spark, d), "heap": fixtures.tree_heap(spark, d)}
+    return reduce(DataFrame.unionByName, [trees.total_length(t).select(F.lit(k).alias("shuffle"), F.lit(0).alias("trial"), F.round("length", 4).alias("v")) for k, t in kinds.items()])
+
+
+def _pdf_rows(t: DataFrame) -> DataFrame:
+    return t.select("shuffle", "bin", *[r6(c).alias(c) for c in ("low", "high")], "n", r6("per_trial").alias("per_trial"))
+
+
+def _cdf_rows(t: DataFrame) -> DataFrame:
+    return t.select("shuffle", F.col("trial").cast("int").alias("trial"), "value", "n", r6("percent").alias("percent"))
+
+
+@query(f"WITH RECURSIVE {DISTANCES_SQL}, {_pdf_table_sql(LOG_EDGES)}")
+def sequence_distance_pdf(spark, d):
+    return _pdf_rows(distributions.pdf(distributions.counted(_distances(spark, d), "v"), LOG_EDGES))
+
+
+@query(f"WITH RECURSIVE {DISTANCES_SQL}, {_CDF_TABLE_SQL}")
+def sequence_distance_cdf(spark, d):
+    return _cdf_rows(distributions.cdf(distributions.counted(_distances(spark, d), "v")))
+
+
+@query(f"WITH RECURSIVE {DISTANCES_SQL} {_STATS_TABLE_SQL}")
+def sequence_distance_stats(spark, d):
+    return distributions.distribution(_distances(spark, d), "v", LOG_EDGES).stats.select("shuffle", "n", "trials", *[r6(c).alias(c) for c in ("mean", "median", "std")])
+
+
+@query(f"WITH {LENGTHS_SQL}, {_pdf_table_sql(WIDE_EDGES)}")
+def tree_length_pdf(spark, d):
+    return _pdf_rows(distributions.pdf(distributions.counted(_tree_lengths(spark, d), "v"), WIDE_EDGES))
+
+
+@query(f"WITH {LENGTHS_SQL}, {_CDF_TABLE_SQL}")
+def tree_length_cdf(spark, d):
+    return _cdf_rows(distributions.cdf(distributions.counted(_tree_lengths(spark, d), "v")))
+
+
+@query(f"""WITH RECURSIVE {COUNTS_SQL}, sp AS (SELECT shuffle, min(n) - CASE WHEN min(n) = max(n) THEN 0.5 ELSE 0 END::DOUBLE AS lo, max(n) + CASE WHEN min(n) = max(n) THEN 0.5 ELSE 0 END::DOUBLE AS hi FROM counts WHERE shuffle <> 'original' GROUP BY 1),
+    fu AS (SELECT shuffle, least(floor((n - lo) / ((hi - lo) / 5)), 4) AS bin, count(*) AS n FROM counts JOIN sp USING (shuffle) GROUP BY ALL),
+    sc AS (SELECT max(n) FILTER (shuffle = 'original') AS real, avg(n) FILTER (shuffle = 'random') AS me, stddev_pop(n) FILTER (shuffle = 'random') AS st FROM counts),
+    bi AS (SELECT sp.shuffle, k AS bin, lo + k * ((hi - lo) / 5) AS low, lo + (k + 1) * ((hi - lo) / 5) AS high FROM sp, (SELECT unnest(range(5)) AS k))
+    SELECT bi.shuffle, CAST(bi.bin AS INTEGER) AS bin, round(low, 6) AS low, round(high, 6) AS high, coalesce(n, 0) AS n, real,
+        CASE WHEN st > 0 THEN round((low - me) / st, 6) END AS z_low, CASE WHEN st > 0 THEN round((high - me) / st, 6) END AS z_high FROM bi LEFT JOIN fu ON fu.shuffle = bi.shuffle AND fu.bin = bi.bin, sc""")
+def count_histogram(spark, d):
+    out = distributions.count_histogram(experiment.null_counts(fixtures.seq_orders(spark, d), trials=TRIALS, seed=SEED), 5, "random")
+    return out.select("shuffle", "bin", *[r6(c).alias(c) for c in ("low", "high")], "n", "real", *[r6(c).alias(c) for c in ("z_low", "z_high")])
+
+
 # ---- trees ----
 
 DEPTH_SQL = """d AS (SELECT cell_id, node_id, 1 AS depth FROM t WHERE parent_id = -1 UNION ALL
