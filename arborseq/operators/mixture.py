@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..sources.storage import discard, stored
 from .by_cell import Columns, by_cell, cells_of
 from .sequences import BRANCH, ids
 from .shuffles import clean_probs
@@ -68,9 +69,9 @@ def determinant() -> Column:
     return a * (d * f - e * e) + b * (c * e - b * f) + c * (b * e - c * d)
 
 
-def quadratic(v: tuple[Column, Column, Column], w: tuple[Column, Column, Column]) -> Column:
-    """v' P w."""
-    p = {k: F.col(f"p_{k}") for k in SIX}
+def quadratic(v: tuple[Column, Column, Column], w: tuple[Column, Column, Column], p: dict[str, Column] | None = None) -> Column:
+    """v' P w, with the precision in columns p_xx ... p_zz if it isn't given."""
+    p = p or {k: F.col(f"p_{k}") for k in SIX}
     return v[0] * (p["xx"] * w[0] + p["xy"] * w[1] + p["xz"] * w[2]) + v[1] * (p["xy"] * w[0] + p["yy"] * w[1] + p["yz"] * w[2]) + v[2] * (p["xz"] * w[0] + p["yz"] * w[1] + p["zz"] * w[2])
 
 
@@ -217,7 +218,7 @@ def with_segments(branches: DataFrame, probs: DataFrame) -> DataFrame:
     return branches.join(m, BRANCH, "left").withColumn("segs", segs).drop("m")
 
 
-__all__ = ["clean_probs", "density", "extended_scores", "fit", "path_moments", "predict", "score_blocks", "score_matrix", "segment_probs", "weighted", "with_scores", "with_segments"]
+__all__ = ["clean_probs", "density", "extended_scores", "fit", "fit_in_rounds", "path_moments", "predict", "score_blocks", "score_matrix", "segment_probs", "weighted", "with_scores", "with_segments"]
 
 
 def expectation_maximisation(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, precision: np.ndarray, steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6):
@@ -243,11 +244,61 @@ def expectation_maximisation(x: np.ndarray, weight: np.ndarray, mean: np.ndarray
     return weight, mean, precision, log_likelihood
 
 
-def fit(rows: DataFrame, start: DataFrame) -> DataFrame:
+def fit(rows: DataFrame, start: DataFrame, in_task: int = 100_000, steps: int = 100, tol: float = 1e-3) -> DataFrame:
     """Fit each cell's mixture to its points (cell_id, x, y, z) by expectation maximisation from ``start``.
 
-    Returns a mixture with ``log_likelihood``, the mean over the cell's points.  A single point counts twice.
+    Returns a mixture with ``log_likelihood``, the mean over the cell's points.  A single point counts twice.  Cells of
+    more than ``in_task`` points are fitted by ``fit_in_rounds``, to the same result but for rounding.
     """
+    large = stored(rows.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > in_task).select("cell_id"), "large_cells")
+    if large.isEmpty():
+        return _fit_in_tasks(rows, start, steps, tol)
+    big = fit_in_rounds(*(t.join(large, "cell_id", "left_semi") for t in (rows, start)), steps, tol)
+    return _fit_in_tasks(*(t.join(large, "cell_id", "left_anti") for t in (rows, start)), steps, tol).unionByName(big)
+
+
+def _maximised(points: DataFrame, state: DataFrame, tol: float, ridge: float) -> DataFrame:
+    """One round for the cells of ``state`` that aren't done; their statistics are sums, so a cell's points may lie anywhere."""
+    packed = state.where("not done").groupBy("cell_id", F.col("log_likelihood").alias("_before")).agg(F.array_sort(F.collect_list(F.struct("comp", *_NUMBERS))).alias("comps"))
+    from_mean = lambda c: tuple(F.col(k) - c[f"m{k}"] for k in "xyz")
+    logp = lambda c: F.log(F.greatest(c["weight"], F.lit(1e-300))) + 0.5 * F.log(c["det"]) - 0.5 * quadratic(from_mean(c), from_mean(c), {k: c[f"p_{k}"] for k in SIX}) - 1.5 * math.log(2 * math.pi)
+    met = points.join(packed, "cell_id").withColumn("_logp", F.transform("comps", logp))
+    total = F.array_max("_logp") + F.log(F.aggregate(F.transform("_logp", lambda v: F.exp(v - F.array_max("_logp"))), F.lit(0.0), lambda a, b: a + b))
+    each = met.withColumn("_total", total).select("cell_id", "_before", *"xyz", "_total", F.explode_outer(F.arrays_zip("comps", "_logp")).alias("_e"))
+    each = each.select("cell_id", "_before", "_total", F.col("_e.comps.*"), *"xyz", F.exp(F.col("_e._logp") - F.col("_total")).alias("_share"))
+    d = {k: F.col(k) - F.col(f"m{k}") for k in "xyz"}
+    sums = each.groupBy("cell_id", "comp", "_before", *_NUMBERS).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_total").alias("_ll"), F.sum("_share").alias("_mass"), *[F.sum(F.col("_share") * d[k]).alias(f"_s{k}") for k in "xyz"],
+        *[F.sum(F.col("_share") * d[k[0]] * d[k[1]]).alias(f"_s{k}") for k in SIX],
+    )
+    mass = F.col("_mass") + 10 * float(np.finfo(float).eps)
+    moved = sums.select("*", mass.alias("_m"), *[((F.col(f"m{k}") * F.col("_mass") + F.col(f"_s{k}")) / mass).alias(f"_new_{k}") for k in "xyz"])
+    by = {k: F.col(f"_new_{k}") - F.col(f"m{k}") for k in "xyz"}  # sums were about the old mean
+    cov = {k: (F.col(f"_s{k}") - F.col(f"_s{k[0]}") * by[k[1]] - by[k[0]] * F.col(f"_s{k[1]}") + F.col("_mass") * by[k[0]] * by[k[1]]) / F.col("_m") + (ridge if k[0] == k[1] else 0.0) for k in SIX}
+    moved = moved.select("*", *[cov[k].alias(f"_c_{k}") for k in SIX])
+    precision, det = inverse({k: F.col(f"_c_{k}") for k in SIX})
+    done = F.coalesce(F.abs(F.col("_ll") - F.col("_before")) < tol, F.lit(False))
+    new = {"weight": F.col("_m") / F.col("_n"), **{f"m{k}": F.col(f"_new_{k}") for k in "xyz"}, **{f"p_{k}": v for k, v in precision.items()}, "det": 1 / det}
+    return moved.select("cell_id", "comp", *[F.when(done, F.col(n)).otherwise(new[n]).alias(n) for n in _NUMBERS], F.col("_ll").alias("log_likelihood"), done.alias("done"))
+
+
+def fit_in_rounds(rows: DataFrame, start: DataFrame, steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6) -> DataFrame:
+    """``fit`` for cells of any size: a round is one pass over the points with grouped sums, its mixtures a stored table.
+
+    A cell leaves the rounds as it converges.  What a task holds is a point and its cell's components.
+    """
+    points = stored(rows.select("cell_id", *[F.col(k).cast("double").alias(k) for k in "xyz"]), "points")
+    state = stored(start.select("cell_id", F.col("comp").cast("long").alias("comp"), *_NUMBERS, F.lit(None).cast("double").alias("log_likelihood"), F.lit(False).alias("done")), "mixtures")
+    for _ in range(steps):
+        before, state = state, stored(state.where("done").unionByName(_maximised(points, state, tol, ridge)), "mixtures")
+        discard(before)
+        if state.where("not done").isEmpty():
+            break
+    discard(points)
+    return state.drop("done")
+
+
+def _fit_in_tasks(rows: DataFrame, start: DataFrame, steps: int, tol: float) -> DataFrame:
     points = rows.select("cell_id", F.lit(-1).cast("long").alias("comp"), "x", "y", "z", *[F.lit(0.0).alias(c) for c in ("weight", *[f"p_{k}" for k in SIX])])
     comps = start.select("cell_id", F.col("comp").cast("long"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"), "weight", *[f"p_{k}" for k in SIX])
     names = ["cell_id", "comp", "weight", "mx", "my", "mz", *[f"p_{k}" for k in SIX], "det", "log_likelihood"]
@@ -265,7 +316,7 @@ def fit(rows: DataFrame, start: DataFrame) -> DataFrame:
                 x = np.concatenate([x, x])
             six = {k: part[f"p_{k}"][~is_point] for k in SIX}
             p = np.stack([np.stack([six["xx"], six["xy"], six["xz"]], 1), np.stack([six["xy"], six["yy"], six["yz"]], 1), np.stack([six["xz"], six["yz"], six["zz"]], 1)], 1)
-            w, m, p, ll = expectation_maximisation(x, part["weight"][~is_point].astype(float), m, p)
+            w, m, p, ll = expectation_maximisation(x, part["weight"][~is_point].astype(float), m, p, steps, tol)
             k = len(w)
             for name, v in zip(names, ([int(part["cell_id"][0])] * k, part["comp"][~is_point].tolist(), w.tolist(), *m.T.tolist(), p[:, 0, 0].tolist(), p[:, 0, 1].tolist(), p[:, 0, 2].tolist(), p[:, 1, 1].tolist(), p[:, 1, 2].tolist(), p[:, 2, 2].tolist(), np.linalg.det(p).tolist(), [ll] * k), strict=True):
                 out[name] += v

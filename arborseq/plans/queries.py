@@ -887,6 +887,14 @@ def gmm_fit(spark, d):
     return mixture.fit(rows, _mixture(spark, d)).select("cell_id", "comp", *[F.round(c, 3).alias(c) for c in ("weight", "mx", "my", "mz", "log_likelihood")])
 
 
+@query()
+def gmm_fit_large(spark, d):
+    """All elements as one cell, which is nobody's single task: its mixture has a component for each type."""
+    rows = fixtures.seq_orders(spark, d).where("x is not null and y is not null and z is not null").select(F.lit(0).cast("long").alias("cell_id"), F.crc32(F.coalesce("cell_type", F.lit(""))).alias("path_id"), "x", "y", "z")
+    out = mixture.fit(rows, mixture.path_moments(rows), in_task=0, steps=5)
+    return out.select("cell_id", "comp", *[F.round(c, 3).alias(c) for c in ("weight", "mx", "my", "mz", "log_likelihood")])
+
+
 def _flat(out: DataFrame) -> DataFrame:
     return sequences.flat(out, [*BRANCH, "trial"]).select("trial", *BRANCH, "seq_pos", "syn_id", "pre_cell", *[r6(c).alias(c) for c in "xyz"])
 

@@ -225,3 +225,25 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.scan(df, limit=1)
     assert tables.last_wins(df.withColumn("o", df.k).union(df.withColumn("o", df.k + 5)), ["k"], ["o"]).where("o < 5").count() == 0
+
+
+def test_fit_in_rounds_equals_fit_in_tasks(spark):
+    """Cells that converge soon and late, one with a single point, one without points, one without a mixture."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for cell, spread in ((1, 0.4), (2, 2.0), (3, 0.01)):
+        for path, at in enumerate(([0, 0, 0], [4, 4, 1], [0, 5, 9])):
+            rows += [(cell, path, *map(float, rng.normal(at, spread, 3))) for _ in range(25 * cell)]
+    rows += [(4, 0, 1.0, 2.0, 3.0), (5, 0, 1.0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "cell_id long, path_id long, x double, y double, z double")
+    start = mixture.path_moments(points).where("cell_id <> 5").unionByName(mixture.path_moments(points.where("cell_id = 4")).withColumn("cell_id", mixture.F.lit(6).cast("long")))
+    start = start.withColumn("mx", mixture.F.col("mx") + 0.7).withColumn("mz", mixture.F.col("mz") - 0.5)
+    key = ["cell_id", "comp"]
+    want = {(r.cell_id, r.comp): r for r in mixture.fit(points, start).collect()}
+    for got in (mixture.fit_in_rounds(points, start), mixture.fit(points, start, in_task=60)):
+        got = {(r.cell_id, r.comp): r for r in got.collect()}
+        assert set(got) == set(want) and {c for c, _ in got} == {1, 2, 3, 4}
+        for k, r in got.items():
+            for n in ("weight", "mx", "my", "mz", "log_likelihood", *[f"p_{e}" for e in mixture.SIX], "det"):
+                assert np.isclose(r[n], want[k][n], rtol=1e-4, atol=1e-4), (k, n)
+    assert [f.name for f in mixture.fit(points, start).schema] == [*key, "weight", "mx", "my", "mz", *[f"p_{e}" for e in mixture.SIX], "det", "log_likelihood"]
