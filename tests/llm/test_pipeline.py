@@ -63,6 +63,14 @@ def test_suffix_stage(spark, docs, data):
             assert left < 300
 
 
+def test_suffix_stage_on_white_space_nulls_and_repeats(spark, data):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "\n\t \r"), (2, None), (3, ""), (4, text), (4, text), (5, "a"), (None, "b"), (6, "\u00a0"), (7, "\x0b\x0c")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], documents(spark, extra=False).schema)
+    out = sorted(((r.doc_id or 0, r.text, r.n_chars) for r in cp.suffix_array_dedup(spark, docs, data).collect()))
+    assert out == [(0, "b", 1), (4, text, len(text)), (5, "a", 1), (6, "\u00a0", 1)]
+
+
 def test_stages_on_odd_documents(spark, data):
     docs = documents(spark, extra=False)
     for _, stage in cp.STAGES:
