@@ -8,7 +8,6 @@ the branches, without a shuffle, and repeat exactly.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.normal import truncated
 from ..functions.rng import draw_key, uniform
 from ..functions.shipping import ship
 
@@ -113,20 +113,6 @@ def axon(branches: DataFrame, trials: int = 1, seed: int = 0, invert: bool = Fal
     return rows.withColumn("seq", F.when(F.size("seq") >= 2, _place(F.col("seq"), moved)).otherwise(F.col("seq"))).drop("_perm").withColumn("shuffle", F.lit("axon"))
 
 
-def truncated_normal(mu: float, sigma: float, u: float) -> float:
-    """Inverse-CDF draw of a normal truncated to [0, 1]; without spread the clamped mean."""
-    if mu is None or mu != mu:
-        return u
-    if sigma is None or not sigma > 0:
-        return min(1.0, max(0.0, mu))
-    d = NormalDist(mu, sigma)
-    low, high = d.cdf(0.0), d.cdf(1.0)
-    p = low + u * (high - low)
-    if not 0 < p < 1 or high - low < 1e-12:
-        return min(1.0, max(0.0, mu))
-    return min(1.0, max(0.0, d.inv_cdf(p)))
-
-
 def continuous(branches: DataFrame, trials: int = 1, seed: int = 0, move: bool = False, literal_positions: bool = False) -> DataFrame:
     """Each input falls on a segment by its probabilities and within it by a truncated normal; slots fill in that order.
 
@@ -134,21 +120,13 @@ def continuous(branches: DataFrame, trials: int = 1, seed: int = 0, move: bool =
     branches of fewer than three elements, which stay.  With ``move`` an input takes its own new position on the
     segment; ``literal_positions`` leaves the new positions in the old order of elements instead.
     """
-    ship(branches.sparkSession)
-
-    def fall(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("_mu", "_sigma", "_u")), strict=True)
-            t = [None if m is None else [truncated_normal(a, b, c) for a, b, c in zip(m, s, u, strict=True)] for m, s, u in rows]
-            yield batch.append_column("_t", pa.array(t, pa.list_(pa.float64())))
-
     rows = with_trials(branches, trials)
     parts = [F.col("trial"), F.col("post_cell"), F.col("branch_id")]
     rows = rows.withColumn("_seg", segment_choice(F.col("segs"), seed, parts))
     chosen = F.zip_with("segs", "_seg", lambda s, k: F.element_at(s, (k + 1).cast("int")))
-    rows = rows.withColumn("_mu", F.transform(chosen, lambda c: c["mu"])).withColumn("_sigma", F.transform(chosen, lambda c: c["sigma"]))
-    rows = rows.withColumn("_u", F.transform("segs", lambda e, i: uniform(seed, *parts, i, "within")))
-    rows = rows.mapInArrow(fall, T.StructType([*rows.schema.fields, T.StructField("_t", T.ArrayType(T.DoubleType()))]))
+    within = F.transform("segs", lambda e, i: uniform(seed, *parts, i, "within"))
+    draws = F.zip_with(chosen, within, lambda c, u: F.struct(c["mu"].alias("mu"), c["sigma"].alias("sigma"), u.alias("u")))
+    rows = rows.withColumn("_t", truncated(draws))
     # the draws go along with their elements, so no lambda reaches back for them
     fallen = F.zip_with("_seg", "_t", lambda s, t: F.struct((s + t).alias("value"), s.alias("s"), t.alias("t")))
     rows = rows.withColumn("_fallen", F.transform(fallen, lambda f, i: F.struct(f["value"].alias("value"), i.alias("element"), f["s"].alias("s"), f["t"].alias("t"))))
@@ -163,7 +141,7 @@ def continuous(branches: DataFrame, trials: int = 1, seed: int = 0, move: bool =
             return F.struct(e["syn_id"].alias("syn_id"), e["pre_cell"].alias("pre_cell"), e["cell_type"].alias("cell_type"), *[(a[c] + q["t"] * (b[c] - a[c])).alias(c) for c in "xyz"])
 
         new = F.zip_with("_order", "_fallen" if literal_positions else "_order", build)
-    return rows.withColumn("seq", F.when(F.col("segs").isNotNull(), new).otherwise(seq)).drop("segs", "_seg", "_mu", "_sigma", "_u", "_t", "_fallen", "_order").withColumn("shuffle", F.lit("continuous"))
+    return rows.withColumn("seq", F.when(F.col("segs").isNotNull(), new).otherwise(seq)).drop("segs", "_seg", "_t", "_fallen", "_order").withColumn("shuffle", F.lit("continuous"))
 
 
 def segment_choice(segs: Column, seed: int, parts: list[Column]) -> Column:

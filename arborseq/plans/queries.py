@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..functions.geometry import rescaled
 from ..functions.rng import sql_key, sql_uniform
 from ..operators import compare, distributions, mixture, pairs, sequences, shuffles, spatial, stats, trees
@@ -794,11 +795,15 @@ CODE_SQL = "list_position(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STAN
 _PAIRS6 = mixture.SIX
 
 
-def _moments_sql(std: float = 5.0) -> str:
-    s = {k: f"s_{k}" for k in _PAIRS6}
+def _inverse_sql(s: dict[str, str]) -> tuple[dict[str, str], str]:
+    """Adjugate and determinant of a symmetric matrix."""
     a, b, c, e, f, g = (s[k] for k in _PAIRS6)
     adj = {"xx": f"({e} * {g} - {f} * {f})", "xy": f"({c} * {f} - {b} * {g})", "xz": f"({b} * {f} - {c} * {e})", "yy": f"({a} * {g} - {c} * {c})", "yz": f"({b} * {c} - {a} * {f})", "zz": f"({a} * {e} - {b} * {b})"}
-    det = f"({a} * {adj['xx']} + {b} * {adj['xy']} + {c} * {adj['xz']})"
+    return adj, f"({a} * {adj['xx']} + {b} * {adj['xy']} + {c} * {adj['xz']})"
+
+
+def _moments_sql(std: float = 5.0, cell: str = "pre_cell") -> str:
+    adj, det = _inverse_sql({k: f"s_{k}" for k in _PAIRS6})
     out = []
     for k in _PAIRS6:
         few = f"1 / (CASE WHEN n < 4 AND v{k[0]} > 0 THEN v{k[0]} ELSE {std * std} END)" if k[0] == k[1] else "0.0"
@@ -806,7 +811,7 @@ def _moments_sql(std: float = 5.0) -> str:
     p = {k: f"p_{k}" for k in _PAIRS6}
     pa, pb, pc, pe, pf, pg = (p[k] for k in _PAIRS6)
     pdet = f"{pa} * ({pe} * {pg} - {pf} * {pf}) + {pb} * ({pc} * {pf} - {pb} * {pg}) + {pc} * ({pb} * {pf} - {pc} * {pe})"
-    return f"""mo AS (SELECT pre_cell AS cell_id, {CODE_SQL} AS comp, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"avg({c}) AS m{c}, var_pop({c}) AS v{c}" for c in "xyz")},
+    return f"""mo AS (SELECT {cell} AS cell_id, {CODE_SQL} AS comp, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"avg({c}) AS m{c}, var_pop({c}) AS v{c}" for c in "xyz")},
         {", ".join(f"covar_samp({k[0]}, {k[1]}) AS s_{k}" for k in _PAIRS6)} FROM seq_orders GROUP BY ALL),
     mo2 AS (SELECT *, {det} AS dt FROM mo), mo3 AS (SELECT cell_id, comp, n, mx, my, mz, {", ".join(out)} FROM mo2),
     mix AS (SELECT *, n / sum(n) OVER (PARTITION BY cell_id) AS weight, {pdet} AS det FROM mo3)"""
@@ -824,10 +829,13 @@ def _pdf_sql(x: str, y: str, z: str) -> str:
 MIX_SQL = f"{SEQ_ORDERS}, {_moments_sql()}"
 
 
+def _code() -> Column:
+    return F.array_position(F.array(*[F.lit(t) for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")]), F.col("cell_type"))
+
+
 def _mixture(spark, d) -> DataFrame:
-    code = F.array_position(F.array(*[F.lit(t) for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")]), F.col("cell_type"))
     rows = fixtures.seq_orders(spark, d)
-    return mixture.path_moments(rows.select(F.col("pre_cell").alias("cell_id"), code.alias("path_id"), "x", "y", "z"))
+    return mixture.path_moments(rows.select(F.col("pre_cell").alias("cell_id"), _code().alias("path_id"), "x", "y", "z"))
 
 
 @query(f"WITH {MIX_SQL} SELECT cell_id, comp, round(weight, 6) AS weight, round(mx, 6) AS mx, {', '.join(f'round(p_{k}, 6) AS p_{k}' for k in _PAIRS6)} FROM mix")
@@ -869,12 +877,15 @@ def log_score_matrix(spark, d):
 _V, _O = ("dx", "dy", "dz"), ("(mx - ox)", "(my - oy)", "(mz - oz)")
 
 
-@query(f"""WITH {MIX_SQL}, {collapsed_sql("seq_orders")}, l AS (SELECT *, count(*) OVER (PARTITION BY post_cell, branch_id) AS n FROM collapsed),
+SEGMENTS_SQL = f"""l AS (SELECT *, count(*) OVER (PARTITION BY post_cell, branch_id) AS n FROM collapsed),
     el AS (SELECT * FROM l WHERE n >= 3), la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_cell, branch_id, pre_cell ORDER BY seq_pos DESC) AS r FROM el) WHERE r = 1),
-    ch AS (SELECT post_cell, branch_id, pre_cell, comp FROM (SELECT post_cell, branch_id, pre_cell, comp, row_number() OVER (PARTITION BY post_cell, branch_id, pre_cell ORDER BY weight * {_pdf_sql("x", "y", "z")} DESC, comp) AS r FROM la JOIN mix ON mix.cell_id = pre_cell) WHERE r = 1),
+    picked AS (SELECT post_cell, branch_id, pre_cell, comp FROM (SELECT post_cell, branch_id, pre_cell, comp, row_number() OVER (PARTITION BY post_cell, branch_id, pre_cell ORDER BY weight * {_pdf_sql("x", "y", "z")} DESC, comp) AS r FROM la JOIN mix ON mix.cell_id = pre_cell) WHERE r = 1),
     sg AS (SELECT * FROM (SELECT post_cell, branch_id, seq_pos AS seg, x AS ox, y AS oy, z AS oz, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(z) OVER w - z AS dz FROM el WINDOW w AS (PARTITION BY post_cell, branch_id ORDER BY seq_pos)) WHERE dx IS NOT NULL),
     j AS (SELECT el.post_cell, el.branch_id, el.seq_pos AS i, seg, {_pdf_sql("ox", "oy", "oz")} AS p, {_quad_sql(_V, _V)} AS vpv, {_quad_sql(_V, _O)} AS vpm
-        FROM el JOIN ch ON ch.post_cell = el.post_cell AND ch.branch_id = el.branch_id AND ch.pre_cell = el.pre_cell JOIN mix ON mix.cell_id = el.pre_cell AND mix.comp = ch.comp JOIN sg ON sg.post_cell = el.post_cell AND sg.branch_id = el.branch_id)
+        FROM el JOIN picked ON picked.post_cell = el.post_cell AND picked.branch_id = el.branch_id AND picked.pre_cell = el.pre_cell JOIN mix ON mix.cell_id = el.pre_cell AND mix.comp = picked.comp JOIN sg ON sg.post_cell = el.post_cell AND sg.branch_id = el.branch_id)"""
+
+
+@query(f"""WITH {MIX_SQL}, {collapsed_sql("seq_orders")}, {SEGMENTS_SQL}
     SELECT post_cell, branch_id, i, seg, CASE WHEN vpv > 0 THEN round(vpm / vpv, 6) END AS mu, CASE WHEN vpv > 0 THEN round(1 / sqrt(vpv), 6) END AS sigma, round(p / sum(p) OVER (PARTITION BY post_cell, branch_id, i), 6) AS prob FROM j""")
 def segment_probs(spark, d):
     out = mixture.segment_probs(_collapsed(spark, d), _mixture(spark, d))
@@ -887,12 +898,31 @@ def gmm_fit(spark, d):
     return mixture.fit(rows, _mixture(spark, d)).select("cell_id", "comp", *[F.round(c, 3).alias(c) for c in ("weight", "mx", "my", "mz", "log_likelihood")])
 
 
-@query()
+def _em_sql(steps: int, tol: float = 1e-3, ridge: float = 1e-6) -> str:
+    """Rounds of expectation maximisation from ``mix``, a mixture of one cell, on the points ``pt``."""
+    d = {k: f"({k} - m{k})" for k in "xyz"}
+    cov = {k: f"((s_{k} - s{k[0]} * h{k[1]} - h{k[0]} * s{k[1]} + m * h{k[0]} * h{k[1]}) / mass{f' + {ridge:.6f}' if k[0] == k[1] else ''})" for k in _PAIRS6}
+    adj, det = _inverse_sql({k: f"c_{k}" for k in _PAIRS6})
+    names = ["weight", "mx", "my", "mz", *[f"p_{k}" for k in _PAIRS6], "det"]
+    new = {"weight": "mass / n", **{f"m{k}": f"m{k} + h{k}" for k in "xyz"}, **{f"p_{k}": f"{adj[k]} / dc" for k in _PAIRS6}, "det": "1 / dc"}
+    out = [f"st0 AS (SELECT comp, {', '.join(names)}, CAST(NULL AS DOUBLE) AS ll, false AS done FROM mix)"]
+    for r in range(1, steps + 1):
+        out.append(f"""lp{r} AS (SELECT s.*, id, x, y, z, ln(greatest(weight, 1e-300)) + 0.5 * ln(det) - 0.5 * {_quad_sql(tuple(d.values()), tuple(d.values()))} - 1.5 * ln(2 * pi()) AS l FROM pt, st{r - 1} s),
+    tp{r} AS (SELECT *, max(l) OVER (PARTITION BY id) AS top FROM lp{r}), to{r} AS (SELECT *, top + ln(sum(exp(l - top)) OVER (PARTITION BY id)) AS total FROM tp{r}), sh{r} AS (SELECT *, exp(l - total) AS s FROM to{r}),
+    su{r} AS (SELECT comp, {', '.join(names)}, ll, done, count(*) AS n, avg(total) AS now, sum(s) AS m, sum(s) + 10 * pow(2, -52) AS mass, {', '.join(f'sum(s * {d[k]}) AS s{k}' for k in 'xyz')}, {', '.join(f'sum(s * {d[k[0]]} * {d[k[1]]}) AS s_{k}' for k in _PAIRS6)} FROM sh{r} GROUP BY ALL),
+    mv{r} AS (SELECT *, {', '.join(f'(m{k} * m + s{k}) / mass - m{k} AS h{k}' for k in 'xyz')} FROM su{r}), co{r} AS (SELECT *, {', '.join(f'{cov[k]} AS c_{k}' for k in _PAIRS6)} FROM mv{r}),
+    fi{r} AS (SELECT *, {det} AS dc, done OR coalesce(abs(now - ll) < {tol}, false) AS fin FROM co{r}),
+    st{r} AS (SELECT comp, {', '.join(f'CASE WHEN fin THEN {n} ELSE {new[n]} END AS {n}' for n in names)}, CASE WHEN done THEN ll ELSE now END AS ll, fin AS done FROM fi{r})""")
+    return ",\n    ".join(out)
+
+
+@query(f"""WITH {SEQ_ORDERS}, {_moments_sql(cell="0")}, pt AS (SELECT row_number() OVER (ORDER BY post_cell, branch_id, seq_pos) AS id, x, y, z FROM seq_orders), {_em_sql(4)}
+    SELECT CAST(0 AS BIGINT) AS cell_id, CAST(comp AS BIGINT) AS comp, {", ".join(f"round({c}, 4) AS {c}" for c in ("weight", "mx", "my", "mz"))}, round(ll, 4) AS log_likelihood FROM st4""")
 def gmm_fit_large(spark, d):
     """All elements as one cell, which is nobody's single task: its mixture has a component for each type."""
-    rows = fixtures.seq_orders(spark, d).where("x is not null and y is not null and z is not null").select(F.lit(0).cast("long").alias("cell_id"), F.crc32(F.coalesce("cell_type", F.lit(""))).alias("path_id"), "x", "y", "z")
-    out = mixture.fit(rows, mixture.path_moments(rows), in_task=0, steps=5)
-    return out.select("cell_id", "comp", *[F.round(c, 3).alias(c) for c in ("weight", "mx", "my", "mz", "log_likelihood")])
+    rows = fixtures.seq_orders(spark, d).select(F.lit(0).cast("long").alias("cell_id"), _code().alias("path_id"), "x", "y", "z")
+    out = mixture.fit(rows, mixture.path_moments(rows), in_task=0, steps=4)
+    return out.select("cell_id", "comp", *[F.round(c, 4).alias(c) for c in ("weight", "mx", "my", "mz", "log_likelihood")])
 
 
 def _flat(out: DataFrame) -> DataFrame:
@@ -964,7 +994,49 @@ def trial_counts_basal(spark, d):
     return experiment.null_counts(fixtures.seq_orders(spark, d).join(part, "branch_id"), ("original", "random"), TRIALS, SEED, basal=True)
 
 
-@query()
+def _polynomial_sql(c: list[float], x: str) -> str:
+    return reduce(lambda s, v: f"({s} * {x} + {v!r}::DOUBLE)", c[1:], f"{c[0]!r}::DOUBLE")
+
+
+def _cdf_sql(z: str) -> str:
+    a = f"abs({z})"
+    chain = reduce(lambda s, k: f"({a} + {k} / {s})", (4, 3, 2, 1), f"({a} + 0.65::DOUBLE)")
+    tail = f"""CASE WHEN {a} < {normal.FAR} THEN exp(-{a} * {a} / 2) * {_polynomial_sql(normal.TAIL_OVER, a)} / {_polynomial_sql(normal.TAIL_UNDER, a)}
+        WHEN {a} <= {normal.FARTHEST} THEN exp(-{a} * {a} / 2) / {chain} / sqrt(2 * pi()) ELSE 0.0::DOUBLE END"""
+    return f"(CASE WHEN {z} > 0 THEN 1 - ({tail}) ELSE {tail} END)"
+
+
+def continuous_sql(trials: int) -> str:
+    """``cont`` (trial, branch, i, seg, t, slot): where each input of a branch of three or more falls, and its place in that order."""
+    out = normal.OUTER
+    return f"""{SEGMENTS_SQL}, sp AS (SELECT post_cell, branch_id, i, seg, CASE WHEN vpv > 0 THEN vpm / vpv END AS mu, CASE WHEN vpv > 0 THEN 1 / sqrt(vpv) END AS sigma, CASE WHEN p > 0 THEN p ELSE 0 END AS ok FROM j),
+    sp2 AS (SELECT *, CASE WHEN sum(ok) OVER w > 0 THEN ok / sum(ok) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END AS pr, count(*) OVER w AS segs FROM sp WINDOW w AS (PARTITION BY post_cell, branch_id, i)),
+    cum AS (SELECT *, sum(pr) OVER (PARTITION BY post_cell, branch_id, i ORDER BY seg ROWS UNBOUNDED PRECEDING) AS upto FROM sp2),
+    us AS (SELECT DISTINCT trial, post_cell, branch_id, i, segs, {sql_uniform(f"'{SEED}'", "trial", "post_cell", "branch_id", "i", "'segment'")} AS us, {sql_uniform(f"'{SEED}'", "trial", "post_cell", "branch_id", "i", "'within'")} AS u FROM cum, (SELECT unnest(range({trials})) AS trial)),
+    pick AS (SELECT us.trial, us.post_cell, us.branch_id, us.i, u, least(count(*) FILTER (upto <= us.us), max(us.segs) - 1) AS seg FROM us JOIN cum ON cum.post_cell = us.post_cell AND cum.branch_id = us.branch_id AND cum.i = us.i GROUP BY ALL),
+    n1 AS (SELECT pick.*, mu, sigma FROM pick JOIN sp ON sp.post_cell = pick.post_cell AND sp.branch_id = pick.branch_id AND sp.i = pick.i AND sp.seg = pick.seg),
+    n2 AS (SELECT *, -mu / sigma AS za, (1 - mu) / sigma AS zb FROM n1), n3 AS (SELECT *, {_cdf_sql("za")} AS lo, {_cdf_sql("zb")} AS hi FROM n2),
+    n4 AS (SELECT *, CASE WHEN hi - lo >= 1e-12 AND lo + u * (hi - lo) > 0 AND lo + u * (hi - lo) < 1 THEN lo + u * (hi - lo) END AS p FROM n3),
+    n5 AS (SELECT *, CASE WHEN p < {out} THEN sqrt(-2 * ln(p)) WHEN p > 1 - {out} THEN sqrt(-2 * ln(1 - p)) ELSE p - 0.5 END AS r FROM n4),
+    n6 AS (SELECT *, CASE WHEN p < {out} THEN {_polynomial_sql(normal.OUTER_OVER, "r")} / {_polynomial_sql(normal.OUTER_UNDER, "r")} WHEN p > 1 - {out} THEN -{_polynomial_sql(normal.OUTER_OVER, "r")} / {_polynomial_sql(normal.OUTER_UNDER, "r")}
+        ELSE r * {_polynomial_sql(normal.MIDDLE_OVER, "(r * r)")} / {_polynomial_sql(normal.MIDDLE_UNDER, "(r * r)")} END AS x0 FROM n5),
+    n7 AS (SELECT *, ({_cdf_sql("x0")} - p) * sqrt(2 * pi()) * exp(x0 * x0 / 2) AS e FROM n6),
+    n8 AS (SELECT trial, post_cell, branch_id, i, seg, CASE WHEN mu IS NULL THEN u WHEN p IS NULL THEN least(1.0, greatest(0.0, mu)) ELSE least(1.0, greatest(0.0, mu + sigma * (x0 - e / (1 + x0 * e / 2)))) END AS t FROM n7),
+    cont AS (SELECT *, row_number() OVER (PARTITION BY trial, post_cell, branch_id ORDER BY seg + t, i) - 1 AS slot FROM n8)"""
+
+
+def _continuous_rows_sql(place: str, more: str = "") -> str:
+    """Rows of the shuffle; ``place`` gives the coordinate {{c}} of an input, and branches of fewer than three elements stay."""
+    xyz = ", ".join(f"round({place.format(c=c)}, 6) AS {c}" for c in "xyz")
+    same = " AND ".join(f"{{t}}.{k} = cont.{k}" for k in BRANCH)
+    return f"""WITH {MIX_SQL}, {collapsed_sql("seq_orders")}, {continuous_sql(1)}
+    SELECT CAST(trial AS INTEGER) AS trial, cont.post_cell, cont.branch_id, slot AS seq_pos, e.syn_id, e.pre_cell, {xyz} FROM cont JOIN collapsed e ON {same.format(t="e")} AND e.seq_pos = cont.i JOIN collapsed s ON {same.format(t="s")} AND s.seq_pos = slot {more.format(same=same.format(t="a"), same2=same.format(t="b"))}
+    UNION ALL SELECT 0, post_cell, branch_id, seq_pos, syn_id, pre_cell, round(x, 6), round(y, 6), round(z, 6) FROM l WHERE n < 3"""
+
+
+@query("WITH RECURSIVE " + _model_counts_sql(f"{PAIRS_SQL}, {_moments_sql()}, {continuous_sql(2)}", f"""{_ORIGINAL}
+    UNION ALL SELECT 'continuous', trial, cont.post_cell, cont.branch_id, slot, e.pre_cell FROM cont JOIN collapsed e ON e.post_cell = cont.post_cell AND e.branch_id = cont.branch_id AND e.seq_pos = i
+    UNION ALL SELECT 'continuous', trial, post_cell, branch_id, seq_pos, pre_cell FROM l, (SELECT unnest(range(2)) AS trial) WHERE n < 3"""))
 def trial_counts_continuous(spark, d):
     return experiment.null_counts(fixtures.seq_orders(spark, d), ("original", "continuous"), 2, SEED, mixtures=_mixture(spark, d))
 
@@ -974,11 +1046,11 @@ def _segmented(spark, d) -> DataFrame:
     return mixture.with_segments(sequences.nested(c), mixture.segment_probs(c, _mixture(spark, d)))
 
 
-@query()
+@query(_continuous_rows_sql("s.{c}"))
 def shuffle_continuous(spark, d):
     return _flat(shuffles.shuffle(_segmented(spark, d), "continuous", 1, SEED))
 
 
-@query()
+@query(_continuous_rows_sql("(a.{c} + t * (b.{c} - a.{c}))", "JOIN collapsed a ON {same} AND a.seq_pos = seg JOIN collapsed b ON {same2} AND b.seq_pos = seg + 1"))
 def shuffle_continuous_move(spark, d):
     return _flat(shuffles.shuffle(_segmented(spark, d), "continuous", 1, SEED, move=True))

@@ -1,9 +1,12 @@
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from arborseq.functions import normal
 from arborseq.operators import mixture, sequences, shuffles, spatial, stats, trees
 from arborseq.plans import experiment
 from arborseq.sources import tables
@@ -54,12 +57,30 @@ def test_draw_without_replacement():
     assert draw([[1.0, 3.0], [1.0, 1.0]], [0.24, 0.5], [0.26, 0.5]) == [[0, 1], [1, 0]]
 
 
-def test_truncated_normal():
-    assert shuffles.truncated_normal(2.0, 0.0, 0.3) == 1.0
-    assert shuffles.truncated_normal(-3.0, 0.0, 0.3) == 0.0
-    draws = [shuffles.truncated_normal(0.5, 0.2, (i + 0.5) / 1000) for i in range(1000)]
-    assert abs(np.mean(draws) - 0.5) < 0.01 and min(draws) >= 0 and max(draws) <= 1
-    assert shuffles.truncated_normal(None, None, 0.25) == 0.25
+def plain_truncated(mu, sigma, u):
+    if mu is None or mu != mu:
+        return u
+    clamped = min(1.0, max(0.0, mu))
+    if sigma is None or not sigma > 0:
+        return clamped
+    low, high = (0.5 * math.erfc((mu - x) / sigma / math.sqrt(2)) for x in (0.0, 1.0))
+    p = low + u * (high - low)
+    if not 0 < p < 1 or high - low < 1e-12:
+        return clamped
+    return min(1.0, max(0.0, NormalDist(mu, sigma).inv_cdf(p)))
+
+
+def test_truncated_normal(spark):
+    draws = [(m, s, u) for m in (-3.0, -0.2, 0.0, 0.5, 0.9, 1.4, 40.0) for s in (0.0, 1e-3, 0.05, 0.2, 1.0, 7.0, 1e4) for u in (0.0, 1e-6, 0.01, 0.3, 0.5, 0.77, 0.999999)]
+    draws += [(None, None, 0.25), (float("nan"), 1.0, 0.5), (0.4, None, 0.1), (2.0, float("nan"), 0.1)]
+    df = spark.createDataFrame([(draws,), (None,)], "d array<struct<mu double, sigma double, u double>>")
+    got = [r[0] for r in df.select(normal.truncated(df.d)).collect()]
+    assert got[1] is None
+    for d, v in zip(draws, got[0], strict=True):
+        assert math.isclose(v, plain_truncated(*d), abs_tol=1e-6), d
+    even = spark.createDataFrame([([(0.5, 0.2, (i + 0.5) / 1000) for i in range(1000)],)], df.schema)
+    values = even.select(normal.truncated(F.col("d"))).first()[0]
+    assert abs(np.mean(values) - 0.5) < 0.01 and min(values) >= 0 and max(values) <= 1
 
 
 def test_clean_probs(spark):
