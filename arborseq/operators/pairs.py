@@ -78,11 +78,12 @@ def candidates(sets: DataFrame, k: int, patience: float = PATIENCE) -> DataFrame
     return out
 
 
-def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None, patience: float = PATIENCE) -> DataFrame:
+def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None, patience: float = PATIENCE, groups: DataFrame | None = None) -> DataFrame:
     """PAIR and n_shared: branches of different cells (cell_a < cell_b) with at least ``k`` input cells in common.
 
     ``candidates`` meet on their rarest elements, and sets are fetched for those only.  ``between`` (cell_a, cell_b) keeps
-    listed cells only, in either order.
+    listed cells only, in either order.  ``groups`` (cell, grp) keeps pairs of cells that are in a group together, without
+    a list of all such pairs, whose number grows with the square of a group.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -91,12 +92,18 @@ def similar(rows: DataFrame, k: int = 3, between: DataFrame | None = None, patie
         wanted = between.select(F.least("cell_a", "cell_b").alias("cell_a"), F.greatest("cell_a", "cell_b").alias("cell_b")).where("cell_a <> cell_b").distinct()
         either = wanted.select(F.col("cell_a").alias("post_cell")).union(wanted.select(F.col("cell_b").alias("post_cell"))).distinct()
         sets = sets.join(either, "post_cell", "left_semi")
+    if groups is not None:
+        member = groups.select("cell", "grp").where("grp is not null").distinct()
+        sets = sets.join(member.select(F.col("cell").alias("post_cell")), "post_cell", "left_semi")
     given = stored(sets, "pairs-given")  # counted and ordered from what is stored, not made twice
     sets = stored(by_rarity(given), "pairs-sets")
     discard(given)
     found = candidates(sets, k, patience)
     if between is not None:
         found = found.join(wanted, ["cell_a", "cell_b"], "left_semi")
+    if groups is not None:
+        a, b = (member.select(F.col("cell").alias(f"cell_{side}"), "grp") for side in "ab")
+        found = found.join(a, "cell_a").join(b, ["cell_b", "grp"]).select(*PAIR).distinct()
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return fetch(found, sets, "s").select(*PAIR, common.alias("n_shared")).where(F.col("n_shared") >= k)
 

@@ -104,3 +104,11 @@ def test_from_flat_data_and_reverse(spark):
     df = spark.createDataFrame([(1, 2, [7, 8], [70, 80], [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]], ["A", "B"])], "post_cell long, branch_id long, cell_seq array<long>, syn_seq array<long>, pos_seq array<array<double>>, type_seq array<string>")
     out = sequences.reversed_branches(sequences.from_flat_data(df)).first()
     assert [(e.pre_cell, e.syn_id, e.x, e.cell_type) for e in out.seq] == [(8, 80, 3.0, "B"), (7, 70, 0.0, "A")]
+
+
+def test_pairs_within_groups_need_no_list(spark):
+    seqs = [[1, 2, 3], [1, 2, 4], [1, 2, 3], [2, 3, 1], [3, 2, 1]]
+    groups = spark.createDataFrame([(0, 7), (1, 7), (2, 8), (3, 8), (3, 7), (3, None), (4, None)], "cell long, grp long")
+    listed = spark.createDataFrame([(0, 1), (3, 0), (1, 3), (2, 3)], "cell_a long, cell_b long")
+    got, want = (sorted(map(tuple, pairs.similar(branch(spark, *seqs), 2, **kw).collect())) for kw in ({"groups": groups}, {"between": listed}))
+    assert got == want and len(got) == 4
