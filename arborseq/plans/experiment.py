@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compare, mixture, pairs, sequences, shuffles, stats
+from ..sources.storage import stored
 
 
 def score_pairs(pair_table: DataFrame, branches: DataFrame, least: int = 3, method: str = "lcs", backwards: bool = False) -> DataFrame:
@@ -44,27 +45,35 @@ def null_branches(branches: DataFrame, models: Sequence[str], trials: int, seed:
     return every
 
 
+def paired(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the branches that are in a pair of ``found``: a branch without one repeats nothing, whatever a shuffle does to it."""
+    ends = [found.select(F.col(f"cell_{side}").alias("post_cell"), F.col(f"branch_{side}").alias("branch_id")) for side in "ab"]
+    return rows.join(ends[0].union(ends[1]).distinct(), sequences.BRANCH, "left_semi")
+
+
 def null_counts(
     rows: DataFrame, models: Sequence[str] = ("original", "random", "type"), trials: int = 5, seed: int = 0, k: int = 3, unique: bool = False,
     mixtures: DataFrame | None = None, backwards: bool = False, basal: bool = False,
 ) -> DataFrame:
     """(shuffle, trial, n): distinct sequences that pairs repeat, in the data and in each trial of each null model.
 
-    Pairs are found once: a shuffle within a branch doesn't change which cells it holds.  ``mixtures`` are for the axon
+    Pairs are found once: a shuffle within a branch doesn't change which cells it holds.  Only branches in a pair are
+    shuffled; they, the pairs and the counts are stored, as both sides of a pair and every model read them.  ``mixtures`` are for the axon
     and continuous models; ``backwards`` reads the second branch of a pair from its end; ``basal`` leaves out pairs with
     an apical branch, whose ``rows`` are marked in a column ``apical``.
     """
-    collapsed = sequences.collapse(rows)
-    found = pairs.similar(collapsed, k)
+    found = pairs.similar(sequences.collapse(rows), k)
     if basal:
         apical = rows.where("apical").select(*sequences.BRANCH).distinct()
         for side in "ab":
             found = found.join(apical.withColumnsRenamed({"post_cell": f"cell_{side}", "branch_id": f"branch_{side}"}), [f"cell_{side}", f"branch_{side}"], "left_anti")
-    every = null_branches(sequences.nested(collapsed), models, trials, seed, mixtures).select("shuffle", "trial", *sequences.BRANCH, sequences.ids("seq").alias("ids"))
+    found = stored(found, "pairs-found")
+    branches = stored(sequences.nested(sequences.collapse(paired(rows, found))), "branches")
+    every = null_branches(branches, models, trials, seed, mixtures).select("shuffle", "trial", *sequences.BRANCH, sequences.ids("seq").alias("ids"))
     keys = repeated_ids(found, every, backwards=backwards)
     if unique:
         keys = keys.where(sequences.unique_only(F.col("key")))
-    return keys.select("shuffle", "trial", "key").distinct().groupBy("shuffle", "trial").agg(F.count(F.lit(1)).alias("n"))
+    return stored(keys.select("shuffle", "trial", "key").distinct().groupBy("shuffle", "trial").agg(F.count(F.lit(1)).alias("n")), "trial-counts")
 
 
 def repeated_ids(pair_table: DataFrame, branches: DataFrame, least: int = 3, backwards: bool = False) -> DataFrame:
@@ -87,15 +96,15 @@ def sequence_distances(
 ) -> DataFrame:
     """(shuffle, trial, key, n, mean_distance, per_synapse): how far apart the elements of each repeated sequence lie, in the data and in each trial.
 
-    Elements lie where a shuffle puts them.  ``basal`` as in ``null_counts``.
+    Elements lie where a shuffle puts them.  ``basal`` and what is stored as in ``null_counts``.
     """
-    collapsed = sequences.collapse(rows)
-    branches = sequences.nested(collapsed)
+    found = stored(pairs.similar(sequences.collapse(rows), k), "pairs-found")
+    branches = sequences.nested(sequences.collapse(paired(rows, found)))
     if basal:
         apical = rows.groupBy(*sequences.BRANCH).agg(F.max("apical").alias("apical"))
         branches = branches.join(apical, sequences.BRANCH)
-    every = null_branches(branches, models, trials, seed, mixtures)
-    return stats.distances(score_pairs(pairs.similar(collapsed, k), every), ["shuffle", "trial"], k, basal)
+    every = null_branches(stored(branches, "branches"), models, trials, seed, mixtures)
+    return stats.distances(score_pairs(found, every), ["shuffle", "trial"], k, basal)
 
 
 def z_scores(counts: DataFrame) -> DataFrame:

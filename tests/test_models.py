@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborseq.functions import normal
-from arborseq.operators import mixture, sequences, shuffles, spatial, stats, trees
+from arborseq.operators import mixture, pairs, sequences, shuffles, spatial, stats, trees
 from arborseq.plans import experiment
-from arborseq.sources import tables
+from arborseq.sources import fixtures, tables
 from tests.test_sequences import branch
 
 
@@ -268,3 +268,28 @@ def test_fit_in_rounds_equals_fit_in_tasks(spark):
             for n in ("weight", "mx", "my", "mz", "log_likelihood", *[f"p_{e}" for e in mixture.SIX], "det"):
                 assert np.isclose(r[n], want[k][n], rtol=1e-4, atol=1e-4), (k, n)
     assert [f.name for f in mixture.fit(points, start).schema] == [*key, "weight", "mx", "my", "mz", *[f"p_{e}" for e in mixture.SIX], "det", "log_likelihood"]
+
+
+def test_only_branches_in_a_pair_are_shuffled(spark):
+    rows = branch(spark, [1, 2, 3], [3, 2, 1], [7, 8, 9], [1, 2, 9])
+    found = pairs.similar(rows, 3)
+    assert {r.branch_id for r in experiment.paired(rows, found).collect()} == {0, 1}
+    assert {r.shuffle: r.n for r in experiment.null_counts(branch(spark, [1, 2, 3], [1, 2, 3], [7, 8, 9]), ["original"], 1).collect()} == {"original": 1}
+
+
+def test_tasks_of_the_sequence_view_grow_with_the_rows(spark, data, monkeypatch):
+    monkeypatch.setattr(fixtures, "PER_TASK", 500)
+    n = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    view = fixtures.seq_orders(spark, data)
+    assert view.rdd.getNumPartitions() == sequences.nested(sequences.collapse(view)).rdd.getNumPartitions() == -(-n // 500)
+
+
+def test_score_rows_add_the_components_of_each_cell(spark):
+    points = spark.createDataFrame([(1, p, *(float((p * 7 + i * k) % 5) for k in (1, 2, 3))) for p in (0, 1) for i in range(6)], "cell_id long, path_id long, x double, y double, z double")
+    m = mixture.path_moments(points)
+    places = [(0.0, 1.0, 2.0), (3.0, 1.0, 0.0)]
+    rows = spark.createDataFrame([(1, 10, places), (1, 11, places[:1]), (1, 12, []), (2, 10, places)], "cell_id long, b long, seq array<struct<x:double,y:double,z:double>>")
+    got = {(r.cell_id, r.b): r.row for r in mixture.score_rows(rows, m).collect()}
+    each = spark.createDataFrame([(1, i, *p) for i, p in enumerate(places)], "cell_id long, i long, x double, y double, z double")
+    want = {r.i: r.p for r in mixture.weighted(each, m, ["i"]).groupBy("i").agg(mixture.F.sum("p").alias("p")).collect()}
+    assert all(abs(v - want[i]) < 1e-12 for i, v in enumerate(got[1, 10])) and got[1, 11] == got[1, 10][:1] and got[1, 12] == [] and got[2, 10] == [0.0, 0.0]
