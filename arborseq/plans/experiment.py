@@ -131,7 +131,8 @@ def axon_lengths(rows: DataFrame, roots: DataFrame, trials: DataFrame, k: int =
     for c in "xyz":
         nodes = nodes.withColumn(c, F.coalesce(f"_{c}", c))
     cell = F.xxhash64("shuffle", "trial", "pre_cell")
-    named = nodes.select("shuffle", "trial", "pre_cell", cell.alias("cell_id"), F.col("syn_id").alias("node_id"), "x", "y", "z")
+    # the trees, their edges' ends and the names all read these places
+    named = stored(nodes.select("shuffle", "trial", "pre_cell", cell.alias("cell_id"), F.col("syn_id").alias("node_id"), "x", "y", "z"), "placed")
     at = roots.crossJoin(runs).select(cell.alias("cell_id"), "x", "y", "z")
     built = trees.build(named, at, k, k).join(named.select("cell_id", "node_id", "x", "y", "z"), ["cell_id", "node_id"])
     total = trees.total_length(built, at)
