@@ -1,11 +1,13 @@
-"""The standard normal distribution in column arithmetic, to double precision."""
+"""Draws of truncated normals over whole Arrow batches, to double precision."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,47 +23,51 @@ OUTER = 0.02425
 ROOT = math.sqrt(2 * math.pi)
 
 
-def polynomial(c: Sequence[float], x: Column) -> Column:
-    return reduce(lambda s, v: s * x + v, c[1:], F.lit(c[0]))
+def polynomial(c: Sequence[float], x: np.ndarray) -> np.ndarray:
+    return reduce(lambda s, v: s * x + v, c[1:], c[0])
 
 
-def cdf(z: Column) -> Column:
-    a = F.abs(z)
-    below = F.exp(-a * a / 2)
+def cdf(z: np.ndarray) -> np.ndarray:
+    a = np.abs(z)
+    below = np.exp(-a * a / 2)
     chain = reduce(lambda s, k: a + k / s, (4, 3, 2, 1), a + 0.65)
-    tail = F.when(a < FAR, below * polynomial(TAIL_OVER, a) / polynomial(TAIL_UNDER, a)).when(a <= FARTHEST, below / chain / ROOT).otherwise(0.0)
-    return F.when(z > 0, 1 - tail).otherwise(tail)
+    tail = np.where(a < FAR, below * polynomial(TAIL_OVER, a) / polynomial(TAIL_UNDER, a), np.where(a <= FARTHEST, below / chain / ROOT, 0.0))
+    return np.where(z > 0, 1 - tail, tail)
 
 
-def _rough_quantile(p: Column, r: Column) -> Column:
-    """``r`` is the root of -2 ln of the smaller side where p is outside, else the distance from a half."""
+def _rough_quantile(p: np.ndarray) -> np.ndarray:
+    r = np.sqrt(-2 * np.log(np.where(p < OUTER, p, 1 - p)))
     outer = polynomial(OUTER_OVER, r) / polynomial(OUTER_UNDER, r)
-    middle = r * polynomial(MIDDLE_OVER, r * r) / polynomial(MIDDLE_UNDER, r * r)
-    return F.when(p < OUTER, outer).when(p > 1 - OUTER, -outer).otherwise(middle)
+    m = p - 0.5
+    middle = m * polynomial(MIDDLE_OVER, m * m) / polynomial(MIDDLE_UNDER, m * m)
+    return np.where(p < OUTER, outer, np.where(p > 1 - OUTER, -outer, middle))
 
 
-def truncated(draws: Column) -> Column:
-    """Draws of normal distributions cut to [0, 1], for an array of struct(mu, sigma, u), by the inverse of the distribution.
+def quantiles(mu: np.ndarray, sigma: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Draws of normal distributions cut to [0, 1], by the inverse of the distribution; NaN stands for null.
 
     Without spread, or where hardly any of the distribution lies inside, the mean clamped to [0, 1]; u itself if there
-    is no mean.  What is used several times is made a field first, a step at a time.
+    is no mean.
     """
-    def step(rows: Column, **new: Callable[[Column], Column]) -> Column:
-        names = list(known)
-        known.extend(n for n in new if n not in known)
-        return F.transform(rows, lambda e: F.struct(*[e[n].alias(n) for n in names if n not in new], *[f(e).alias(n) for n, f in new.items()]))
-
-    known = ["mu", "sigma", "u"]
-    mean = lambda e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), e["mu"]))
-    spread = lambda e, v: F.when(e["sigma"] > 0, v)
-    rows = step(draws, low=lambda e: spread(e, -e["mu"] / e["sigma"]), high=lambda e: spread(e, (1 - e["mu"]) / e["sigma"]))
-    rows = step(rows, low=lambda e: cdf(e["low"]), high=lambda e: cdf(e["high"]))
-    rows = step(rows, p=lambda e: e["low"] + e["u"] * (e["high"] - e["low"]))
-    rows = step(rows, p=lambda e: F.when((e["p"] > 0) & (e["p"] < 1) & (e["high"] - e["low"] >= 1e-12), e["p"]))
-    rows = step(rows, r=lambda e: F.when(e["p"] < OUTER, F.sqrt(-2 * F.log(e["p"]))).when(e["p"] > 1 - OUTER, F.sqrt(-2 * F.log(1 - e["p"]))).otherwise(e["p"] - 0.5))
-    rows = step(rows, x=lambda e: _rough_quantile(e["p"], e["r"]))
-    # one step of Halley's method
-    rows = step(rows, r=lambda e: (cdf(e["x"]) - e["p"]) * ROOT * F.exp(e["x"] * e["x"] / 2))
-    x = lambda e: e["x"] - e["r"] / (1 + e["x"] * e["r"] / 2)
-    drawn = lambda e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), e["mu"] + e["sigma"] * x(e)))
-    return F.transform(rows, lambda e: F.when(e["mu"].isNull() | F.isnan(e["mu"]), e["u"]).when(e["p"].isNull() | ~(e["sigma"] > 0) | e["sigma"].isNull(), mean(e)).otherwise(drawn(e)))
+    with np.errstate(all="ignore"):
+        spread = sigma > 0
+        low, high = cdf(np.where(spread, -mu / sigma, np.nan)), cdf(np.where(spread, (1 - mu) / sigma, np.nan))
+        p = low + u * (high - low)
+        drawn = spread & (p > 0) & (p < 1) & (high - low >= 1e-12)
+        x = _rough_quantile(p)
+        # one step of Halley's method
+        r = (cdf(x) - p) * ROOT * np.exp(x * x / 2)
+        x = x - r / (1 + x * r / 2)
+        return np.where(np.isnan(mu), u, np.clip(np.where(drawn, mu + sigma * x, mu), 0.0, 1.0))
+
+
+def truncated(draws: Column) -> Column:
+    """``quantiles`` of an array of struct(mu, sigma, u)."""
+    @F.arrow_udf("array<double>")
+    def drawn(rows: pa.Array) -> pa.Array:
+        each = rows.flatten()
+        out = quantiles(*(each.field(n).to_numpy(zero_copy_only=False) for n in ("mu", "sigma", "u")))
+        sizes = np.where(rows.is_null().to_numpy(zero_copy_only=False), 0, rows.value_lengths().fill_null(0).to_numpy())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(out), mask=rows.is_null())
+
+    return drawn(draws)

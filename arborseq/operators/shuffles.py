@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.normal import truncated
+from ..functions.normal import quantiles
 from ..functions.rng import draw_key, uniform
 from ..functions.shipping import ship
 
@@ -120,16 +120,19 @@ def continuous(branches: DataFrame, trials: int = 1, seed: int = 0, move: bool =
     branches of fewer than three elements, which stay.  With ``move`` an input takes its own new position on the
     segment; ``literal_positions`` leaves the new positions in the old order of elements instead.
     """
+    ship(branches.sparkSession)
     rows = with_trials(branches, trials)
     parts = [F.col("trial"), F.col("post_cell"), F.col("branch_id")]
-    rows = rows.withColumn("_seg", segment_choice(F.col("segs"), seed, parts))
-    chosen = F.zip_with("segs", "_seg", lambda s, k: F.element_at(s, (k + 1).cast("int")))
+    us = F.transform("segs", lambda e, i: uniform(seed, *parts, i, "segment"))
     within = F.transform("segs", lambda e, i: uniform(seed, *parts, i, "within"))
-    draws = F.zip_with(chosen, within, lambda c, u: F.struct(c["mu"].alias("mu"), c["sigma"].alias("sigma"), u.alias("u")))
-    rows = rows.withColumn("_t", truncated(draws))
+
+    @F.arrow_udf("array<struct<s:int,t:double>>")
+    def fallen_on(segs: pa.Array, us: pa.Array, within: pa.Array) -> pa.Array:
+        return falls(segs, us, within)
+
+    rows = rows.withColumn("_on", fallen_on(F.col("segs"), us, within))
     # the draws go along with their elements, so no lambda reaches back for them
-    fallen = F.zip_with("_seg", "_t", lambda s, t: F.struct((s + t).alias("value"), s.alias("s"), t.alias("t")))
-    rows = rows.withColumn("_fallen", F.transform(fallen, lambda f, i: F.struct(f["value"].alias("value"), i.alias("element"), f["s"].alias("s"), f["t"].alias("t"))))
+    rows = rows.withColumn("_fallen", F.transform("_on", lambda f, i: F.struct((f["s"] + f["t"]).alias("value"), i.alias("element"), f["s"].alias("s"), f["t"].alias("t"))))
     rows = rows.withColumn("_order", F.array_sort("_fallen"))
     seq = F.col("seq")
     moved = F.transform("_order", lambda p, slot: F.struct(slot.alias("slot"), p["element"].alias("element")))
@@ -141,18 +144,33 @@ def continuous(branches: DataFrame, trials: int = 1, seed: int = 0, move: bool =
             return F.struct(e["syn_id"].alias("syn_id"), e["pre_cell"].alias("pre_cell"), e["cell_type"].alias("cell_type"), *[(a[c] + q["t"] * (b[c] - a[c])).alias(c) for c in "xyz"])
 
         new = F.zip_with("_order", "_fallen" if literal_positions else "_order", build)
-    return rows.withColumn("seq", F.when(F.col("segs").isNotNull(), new).otherwise(seq)).drop("segs", "_seg", "_t", "_fallen", "_order").withColumn("shuffle", F.lit("continuous"))
-
-
-def segment_choice(segs: Column, seed: int, parts: list[Column]) -> Column:
-    """For each element the first segment whose cumulated cleaned probability exceeds the draw."""
-    def choose(s, i):
-        p = clean_probs(F.transform(s, lambda c: c["prob"]))
-        u = uniform(seed, *parts, i, "segment")
-        walk = F.aggregate(p, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")), lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), (acc["k"] + F.when(acc["sum"] + v <= u, 1).otherwise(0)).alias("k")))
-        return F.least(walk["k"], F.size(s) - 1)
-
-    return F.transform(segs, choose)
+    return rows.withColumn("seq", F.when(F.col("segs").isNotNull(), new).otherwise(seq)).drop("segs", "_on", "_fallen", "_order").withColumn("shuffle", F.lit("continuous"))
+
+
+def falls(segs: pa.ListArray, us: pa.ListArray, within: pa.ListArray) -> pa.Array:
+    """For each element of each row the first segment whose cumulated cleaned probability exceeds its number of ``us``, and where within it falls."""
+    elements = segs.flatten()
+    n = elements.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    first, each = np.cumsum(n) - n, elements.flatten()
+    mu, sigma, prob = (each.field(c).to_numpy(zero_copy_only=False) for c in ("mu", "sigma", "prob"))
+    u, inside = (x.flatten().to_numpy() for x in (us, within))
+    ok = np.where(prob >= 0, prob, 0.0)
+    most = int(n.max(initial=0))
+    there = [np.flatnonzero(n > k) for k in range(most)]
+    total, reached, chosen = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), dtype=np.int32)
+    for k, at in enumerate(there):
+        total[at] += ok[first[at] + k]
+    for k, at in enumerate(there):
+        some = total[at] > 0
+        reached[at] += np.where(some, ok[first[at] + k] / np.where(some, total[at], 1.0), 1.0 / n[at])
+        chosen[at] += reached[at] <= u[at]
+    chosen = np.minimum(chosen, n - 1).astype(np.int32)
+    place = first + chosen
+    t = quantiles(mu[place], sigma[place], inside)
+    null = segs.is_null()
+    sizes = segs.value_lengths().fill_null(0).to_numpy()
+    rows = pa.StructArray.from_arrays([pa.array(chosen), pa.array(t)], names=["s", "t"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), rows, mask=null)
 
 
 def shuffle(branches: DataFrame, model: str, trials: int = 1, seed: int = 0, **kw) -> DataFrame:

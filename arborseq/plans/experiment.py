@@ -39,7 +39,7 @@ def null_branches(branches: DataFrame, models: Sequence[str], trials: int, seed:
         if m in ("axon", "continuous"):
             if mixtures is None:
                 raise ValueError(f"{m} needs the cells' mixtures")
-            given = mixture.with_scores(branches, mixtures) if m == "axon" else mixture.with_segments(branches, mixture.segment_probs(sequences.flat(branches), mixtures))
+            given = mixture.with_scores(branches, mixtures) if m == "axon" else mixture.with_segments(branches, mixtures)
         one = shuffles.shuffle(given, m, trials, seed).select("shuffle", "trial", *keep)
         every = one if every is None else every.unionByName(one)
     return every

@@ -293,3 +293,32 @@ def test_score_rows_add_the_components_of_each_cell(spark):
     each = spark.createDataFrame([(1, i, *p) for i, p in enumerate(places)], "cell_id long, i long, x double, y double, z double")
     want = {r.i: r.p for r in mixture.weighted(each, m, ["i"]).groupBy("i").agg(mixture.F.sum("p").alias("p")).collect()}
     assert all(abs(v - want[i]) < 1e-12 for i, v in enumerate(got[1, 10])) and got[1, 11] == got[1, 10][:1] and got[1, 12] == [] and got[2, 10] == [0.0, 0.0]
+
+
+def test_segments_of_nested_branches_equal_the_rows(spark):
+    rng = random.Random(3)
+    rows = [(b, b, i, 100 * b + i, rng.randrange(4), "A", float(rng.randrange(5)), float(rng.randrange(3)), 1.0) for b in range(30) for i in range(rng.randrange(1, 9))]
+    rows = spark.createDataFrame(rows, "post_cell long, branch_id long, seq_pos int, syn_id long, pre_cell long, cell_type string, x double, y double, z double")
+    mix = mixture.path_moments(rows.select(F.col("pre_cell").alias("cell_id"), (F.col("syn_id") % 3).alias("path_id"), *"xyz"))
+    branches = sequences.nested(rows)
+    want = {(r.branch_id, r.i, r.seg): (r.mu, r.sigma, r.prob) for r in mixture.segment_probs(rows, mix).collect()}
+    got = {}
+    for r in mixture.with_segments(branches, mix).collect():
+        assert (r.segs is None) == (len(r.seq) < 3)
+        got |= {(r.branch_id, i, k): tuple(e) for i, s in enumerate(r.segs or []) for k, e in enumerate(s)}
+    assert got.keys() == want.keys() and len(got) > 100
+    for k, w in want.items():
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)) for a, b in zip(got[k], w, strict=True)), k
+    # cells without a mixture leave segments alike, and their inputs stay on the branch
+    some = mixture.with_segments(branches, mix.where("cell_id > 0"))
+    out = shuffles.continuous(some, 2).collect()
+    before = {r.branch_id: sorted(e.syn_id for e in r.seq) for r in branches.collect()}
+    assert len(out) == 2 * len(before) and all(sorted(e.syn_id for e in r.seq) == before[r.branch_id] for r in out)
+
+
+def test_flattening_works_out_arrays_once(spark):
+    made = long_branches(spark, 3).withColumn("seq", F.transform("seq", lambda e: e.withField("cell_type", F.md5(e["cell_type"]))))
+    plan = sequences.flat(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    empty = made.select(*sequences.BRANCH, F.filter("seq", lambda e: F.lit(False)).alias("seq"))
+    assert sequences.flat(empty).count() == 0
