@@ -3,9 +3,12 @@
 Links come in two rounds, and both are verified on the shingle sets themselves.
 
 The first only saves work.  Texts meet on sampled keys of ``KEY_BITS`` bits of a
-128-bit SimHash in ``TABLES`` tables, and each bucket proposes a few short links, so
-that large groups are found with links in proportion to documents.  What it misses
-or proposes in vain is left to the second.
+128-bit SimHash in ``TABLES`` tables.  A bucket's pairs pass the pigeonring's chains
+before the full check: fingerprints are cut into ``RING`` segments on a ring, and two
+that differ in at most ``MOST`` bits have a start from which every chain of l segments
+differs in at most ``l * MOST / RING`` bits.  Of what is left each bucket proposes a few
+short links, so that large groups are found with links in proportion to documents.
+What it misses or proposes in vain is left to the second.
 
 The second is exact.  Under any one order of all shingles, two sets of a similarity
 of at least t have their first common shingle among the first ``n - ceil(t * n) + 1``
@@ -38,6 +41,8 @@ from .components import components
 TABLES, KEY_BITS, KEY_ROWS = 12, 14, 8
 #: Pairs that differ in more bits aren't proposed in the first round.
 MOST = 36
+#: Segments of the fingerprints' ring, and the lengths of the chains that pairs pass before the full check.
+RING, CHAINS = 16, (1, 2, 4, 8)
 NEAREST = 1
 #: Of a larger bucket's rows, links to this many nearest are weighed for the forest.
 AROUND = 6
@@ -161,15 +166,34 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of fingerprints have a start on the ring whose chains keep within their shares of ``MOST``; all that differ in no more bits do."""
+    chain = np.bitwise_count((a ^ b).view(np.uint8))  # by start; a segment is a byte
+    ok = chain <= MOST // RING
+    for n in CHAINS[1:]:
+        chain = chain + np.roll(chain, -(n // 2), axis=-1)
+        ok &= chain <= n * MOST // RING
+    return ok.any(axis=-1)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits pairs of fingerprints differ; 999 where in more than ``MOST``.  The chains come first, the full check is left to what passes them."""
+    out = np.full(np.broadcast_shapes(a.shape, b.shape)[:-1], 999)
+    at = np.nonzero(chained(a, b))
+    a, b = (np.broadcast_to(x, (*out.shape, x.shape[-1]))[at] for x in (a, b))
+    d = apart(a, b)
+    out[at] = np.where(d <= MOST, d, 999)
+    return out
+
+
 def bucket_links(fp: np.ndarray) -> np.ndarray:
     """Links (i, j) within one bucket of the first round: of each row with its nearest, and a shortest forest."""
     pairs, sizes = [], []
     k = min(AROUND, len(fp))
     for lo in range(0, len(fp), 256):
         rows = np.arange(lo, min(lo + 256, len(fp)))
-        d = apart(fp[rows][:, None], fp[None])
+        d = distances(fp[rows][:, None], fp[None])
         d[np.arange(len(rows)), rows] = 999
-        d[d > MOST] = 999
         j = np.argpartition(d, k - 1, axis=1)[:, :k]
         i = np.repeat(np.arange(len(rows)), k)
         ok = d[i, j.ravel()] < 999
@@ -245,7 +269,7 @@ def _proposed(key, ids, f, g) -> Iterator[np.ndarray]:
     close, bits = [], []
     for lag in range(1, 8):
         i = np.flatnonzero((key[:-lag] == key[lag:]) & (size[:-lag] <= 8)) if lag < len(key) else np.zeros(0, int)
-        d = apart(fp[i], fp[i + lag])
+        d = distances(fp[i], fp[i + lag])
         ok = d <= MOST
         close.append(np.stack([i[ok], i[ok] + lag], axis=1))
         bits.append(d[ok])

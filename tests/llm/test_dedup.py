@@ -258,6 +258,26 @@ def test_bucket_links_span_a_family():
     assert len(set(union_find(len(fp), links.tolist()))) == 1 and len(links) < 8 * len(fp)
 
 
+def test_chains_lose_no_near_pair_and_prune_others():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**64, (20_000, 2), dtype=np.uint64)
+    flips = np.zeros((len(a), 128), dtype=np.uint8)
+    for row, n in zip(flips, rng.integers(0, near_copies.MOST + 1, len(a)), strict=True):
+        # half of the patterns crowd into a few segments
+        row[rng.choice(128, n, replace=False) if n % 2 else (rng.integers(128) + rng.choice(48, n, replace=False)) % 128] = 1
+    near = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    assert near_copies.chained(a, near).all()
+    assert (near_copies.distances(a, near) == flips.sum(axis=1)).all()
+    # pairs that only share a key are mostly dropped by the chains, before the full check
+    key = np.zeros((1, 128), dtype=np.uint8)
+    key[0, near_copies.places(near_copies.KEY_BITS)[0]] = 1
+    other = rng.integers(0, 2**64, a.shape, dtype=np.uint64) & ~np.packbits(key, axis=1, bitorder="little").view(np.uint64)
+    far = near_copies.apart(a, a ^ other) > near_copies.MOST
+    left = near_copies.chained(a, a ^ other)
+    assert far.mean() > 0.99 and left[far].mean() < 0.1
+    assert (near_copies.distances(a, a ^ other)[far] == 999).all()
+
+
 def test_crowded_keys_are_dealt_in_blocks_and_lose_no_pair(spark, monkeypatch):
     """Every pair of different groups meets in some cell, and no cell is large."""
     monkeypatch.setattr(near_copies, "CROWDED", 5)
