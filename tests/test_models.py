@@ -322,3 +322,38 @@ def test_flattening_works_out_arrays_once(spark):
     assert plan.count("md5(") == 1
     empty = made.select(*sequences.BRANCH, F.filter("seq", lambda e: F.lit(False)).alias("seq"))
     assert sequences.flat(empty).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 2, "HELD": 3, "DEALT": 5, "SCORED": 4}])
+def test_extended_scores_match_all_pairs(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(mixture, name, value)
+    rng = random.Random(5)
+    far = 1 << 60  # identifiers that doubles don't hold
+    rows = [(far + b, far + b, i, 10 * b + i, far + rng.randrange(8), "A", *(float(rng.randrange(4)) for _ in "xyz")) for b in range(25) for i in range(rng.randrange(1, 6))]
+    rows = spark.createDataFrame([*rows, (None, 1, 0, 999, far, "A", 1.0, 1.0, 1.0)], "post_cell long, branch_id long, seq_pos int, syn_id long, pre_cell long, cell_type string, x double, y double, z double")
+    points = rows.where(F.col("pre_cell") < far + 7)  # one cell has no mixture
+    m = mixture.path_moments(points.select(F.col("pre_cell").alias("cell_id"), (F.col("syn_id") % 3).alias("path_id"), *"xyz"))
+    got = {(r.post_cell, r.branch_id, r.pre_cell, r.j): r.score for r in mixture.extended_scores(rows, rows, m, 1.0, log=False).collect()}
+    every = [r for r in rows.collect() if r.post_cell is not None]
+    comps = m.collect()
+
+    def density(cell, at):
+        return sum(c.weight * math.sqrt(c.det) * (2 * math.pi) ** -1.5 * math.exp(-0.5 * form(c, [at.x - c.mx, at.y - c.my, at.z - c.mz])) for c in comps if c.cell_id == cell)
+
+    def form(c, d):
+        return c.p_xx * d[0] ** 2 + c.p_yy * d[1] ** 2 + c.p_zz * d[2] ** 2 + 2 * (c.p_xy * d[0] * d[1] + c.p_xz * d[0] * d[2] + c.p_yz * d[1] * d[2])
+
+    want = {}
+    for b in {r.branch_id for r in every}:
+        branch = [r for r in every if r.branch_id == b]
+        near = {s.pre_cell for s in rows.collect() for r in branch if sum((r[k] - s[k]) ** 2 for k in "xyz") <= 1.0} - {r.pre_cell for r in branch}
+        want |= {(r.post_cell, b, cell, r.seq_pos): density(cell, r) for cell in near for r in branch}
+    assert got.keys() == want.keys() and len(want) > 100 and any(k[2] == far + 7 for k in want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_cells_near_a_place_are_listed_once(spark):
+    rows = spark.createDataFrame([(b, b, c, 0.0, 0.0, 0.0) for b in range(30) for c in range(40)], "post_cell long, branch_id long, pre_cell long, x double, y double, z double")
+    near = spatial.cells_within(rows, rows, 1.0, ["post_cell", "branch_id"], F.lit(0)).collect()
+    assert len(near) == 30 and all(r.cells == list(range(40)) for r in near)
