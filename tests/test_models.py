@@ -357,3 +357,22 @@ def test_cells_near_a_place_are_listed_once(spark):
     rows = spark.createDataFrame([(b, b, c, 0.0, 0.0, 0.0) for b in range(30) for c in range(40)], "post_cell long, branch_id long, pre_cell long, x double, y double, z double")
     near = spatial.cells_within(rows, rows, 1.0, ["post_cell", "branch_id"], F.lit(0)).collect()
     assert len(near) == 30 and all(r.cells == list(range(40)) for r in near)
+
+
+def test_moments_meet_by_path_before_they_are_summed(spark):
+    points = spark.createDataFrame([(c, p, float(i), float(i * p), 1.0) for c in range(3) for p in range(2) for i in range(5)], "cell_id long, path_id long, x double, y double, z double")
+    m = mixture.path_moments(points)
+    assert "RebalancePartitions" in m._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.cell_id, r.comp): (r.weight, r.mx) for r in m.collect()} == {(c, p): (0.5, 2.0) for c in range(3) for p in range(2)}
+
+
+@pytest.mark.parametrize("places", [[0, 1, 2], [3, 5, 9], [0]])
+def test_score_matrix_keeps_places(spark, places):
+    rows = spark.createDataFrame([(1, 1, i, i, 7 + i % 2, "A", float(i), 1.0, 2.0) for i in places], "post_cell long, branch_id long, seq_pos int, syn_id long, pre_cell long, cell_type string, x double, y double, z double")
+    m = mixture.path_moments(rows.select(F.col("pre_cell").alias("cell_id"), F.lit(0).cast("long").alias("path_id"), *"xyz"))
+    out = mixture.score_matrix(rows, m)
+    assert out.schema["j"].dataType == rows.schema["seq_pos"].dataType
+    got = {(r.i, r.j): r.score for r in out.collect()}
+    each = rows.select(F.col("seq_pos").alias("j"), *"xyz").crossJoin(rows.select(F.col("seq_pos").alias("i"), F.col("pre_cell").alias("cell")))
+    want = {(r.i, r.j): r.p for r in mixture.weighted(each, m, ["i", "j"], "cell").groupBy("i", "j").agg(F.sum("p").alias("p")).collect()}
+    assert got.keys() == want.keys() == {(i, j) for i in places for j in places} and all(abs(got[k] - want[k]) < 1e-12 for k in want)
