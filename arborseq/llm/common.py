@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship as ship_code
+from ..sources.storage import shuffles_cleaned
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -43,18 +43,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-@contextlib.contextmanager
-def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
-    """Jobs started here remove their shuffle files when they end, not when the driver next collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete ``stored`` tables that nothing reads any more."""
     for df in frames:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arborseq.functions import normal
 from arborseq.operators import mixture, pairs, sequences, shuffles, spatial, stats, trees
 from arborseq.plans import experiment
-from arborseq.sources import fixtures, tables
+from arborseq.sources import fixtures, storage, tables
 from tests.test_sequences import branch
 
 
@@ -376,3 +376,33 @@ def test_score_matrix_keeps_places(spark, places):
     each = rows.select(F.col("seq_pos").alias("j"), *"xyz").crossJoin(rows.select(F.col("seq_pos").alias("i"), F.col("pre_cell").alias("cell")))
     want = {(r.i, r.j): r.p for r in mixture.weighted(each, m, ["i", "j"], "cell").groupBy("i", "j").agg(F.sum("p").alias("p")).collect()}
     assert got.keys() == want.keys() == {(i, j) for i in places for j in places} and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("limits", [(100_000, 4_000_000), (3, 20)])
+def test_score_matrix_deals_a_branch_once_to_a_range_of_cells(spark, monkeypatch, limits):
+    for name, most in zip(("HELD", "UNIT"), limits, strict=True):
+        monkeypatch.setattr(mixture, name, most)
+    monkeypatch.setattr(mixture, "SCORED", 7)  # rows of a branch come apart
+    rng = random.Random(3)
+    places = [(b % 5, b, i, rng.choice([-4, *range(9), 99, None]), float(rng.randrange(5)), float(rng.randrange(3)), 1.0) for b in range(25) for i in range(rng.randrange(1, 8))]
+    rows = spark.createDataFrame(places, "post_cell long, branch_id long, seq_pos int, pre_cell long, x double, y double, z double")
+    known = rows.where("pre_cell <> 99").select(F.col("pre_cell").alias("cell_id"), (F.col("x").cast("int") % 2).alias("path_id"), *"xyz")
+    m = mixture.path_moments(known)
+    out = mixture.score_matrix(rows, m)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+    got = {(r.branch_id, r.i, r.j): r.score for r in out.collect()}
+    p = rows.alias("a").join(rows.alias("b"), "branch_id").select("branch_id", F.col("a.seq_pos").alias("i"), F.col("b.seq_pos").alias("j"), F.col("a.pre_cell").alias("cell"), *[F.col(f"b.{c}").alias(c) for c in "xyz"])
+    want = {(r.branch_id, r.i, r.j): r.p for r in mixture.weighted(p, m, ["branch_id", "i", "j"], "cell").groupBy("branch_id", "i", "j").agg(F.sum("p").alias("p")).collect()}
+    assert got.keys() == {(r.branch_id, r.i, r.j) for r in p.collect()} and len(want) < len(got) == out.count()
+    assert all(abs(v - want.get(k, 0.0)) < 1e-12 for k, v in got.items())
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    status = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = status.shuffleStatuses().size()
+    out = storage.stored(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert status.shuffleStatuses().size() <= held
+    assert out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == before
