@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import blocks, gather
-from .common import Numbers, ship, texts
+from .common import Numbers, frugal, ship, texts
 
 CACHE_WORDS = 450_000
 BLOCK_TOKENS = 4_000_000
+#: Characters spelled at a time, and tokens given on at a time, about: what a task holds besides a block's tokens.
+SPELLED, SHOWN = 2_000_000, 500_000
 
 
 #: Latin, Greek (but for the capital sigma, whose lower case depends on its place), Cyrillic, punctuation, kana, Han, Hangul.
@@ -184,6 +186,21 @@ def balance(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic:
     return out
 
 
+def shown(keys: pa.Array, ids: np.ndarray, lengths: np.ndarray, pieces: list[tuple[int, int, int, int, int]], first: int, digest: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block's pieces, those of about ``SHOWN`` tokens at a time."""
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    pieces = np.array(pieces, dtype=np.int64)
+    group = (np.cumsum(pieces[:, 2]) - 1) // SHOWN
+    for some in np.split(pieces, np.flatnonzero(group[1:] != group[:-1]) + 1):
+        d, s, n, q, o = some.T
+        cut = [ids[i : i + m] for i, m in zip((at[d] + s).tolist(), n.tolist(), strict=True)]
+        if digest:
+            column = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], pa.int64())
+        else:
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(cut).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(d)), pa.array(s), pa.array(n), column, pa.array(lengths[d]), pa.array(q + first), pa.array(o)], names=names)
+
+
 SCHEMA = "start long, length long, ids array<long>, doc_tokens long, sequence_id long, offset long"
 
 
@@ -199,35 +216,26 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int | None =
     tail = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32" if digest else "ids", T.LongType() if digest else T.ArrayType(T.LongType())), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())]
     schema = T.StructType([key_field] + [T.StructField(n, t) for n, t in tail])
 
-    def flush(held: list, first: int) -> tuple[pa.RecordBatch, int]:
+    def flush(held: list, first: int) -> Iterator[pa.RecordBatch]:
         lengths = np.concatenate([np.diff(starts) for _, _, starts in held])
         ids = np.concatenate([x for _, x, _ in held])
-        at = np.concatenate([[0], np.cumsum(lengths)])
         keys = pa.concat_arrays([k for k, _, _ in held])
-        pieces = balance(lengths, capacity, linear, quadratic)
-        d, s, n, q, o = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
-        cut = [ids[at[i] + j : at[i] + j + m] for i, j, m, _, _ in pieces]
-        if digest:
-            shown = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], pa.int64())
-        else:
-            shown = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(cut).astype(np.int64)))
-        batch = pa.RecordBatch.from_arrays([keys.take(pa.array(d)), pa.array(s), pa.array(n), shown, pa.array(lengths[d]), pa.array(q + first), pa.array(o)], names=schema.names)
-        return batch, first + int(q.max()) + 1
+        held.clear()
+        return shown(keys, ids, lengths, balance(lengths, capacity, linear, quadratic), first, digest, schema.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_tokenizer(path)
         first, held, size = TaskContext.get().partitionId() << 36, [], 0
         for batch in batches:
             values = texts(batch.column(1))
-            for a, b in blocks(values, 8_000_000):
+            for a, b in blocks(values, SPELLED):
                 ids, starts = model.spell(values[a:b], end_id)
                 held.append((batch.column(0).slice(a, b - a), ids, starts))
                 size += len(ids)
                 if size >= BLOCK_TOKENS:
-                    out, first = flush(held, first)
-                    held, size = [], 0
-                    yield out
+                    yield from flush(held, first)
+                    first, held, size = first - (-size // capacity), [], 0
         if size:
-            yield flush(held, first)[0]
+            yield from flush(held, first)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(frugal(run), schema)

@@ -315,7 +315,7 @@ def repeated_windows(anchor: np.ndarray, off: np.ndarray, n: np.ndarray, bodies:
         live, group = live[keep], group[keep]
         if not len(live):
             break
-        word = np.ascontiguousarray(buffer[(begin[live] + d)[:, None] + np.arange(min(8, depth - d))])
+        word = np.lib.stride_tricks.sliding_window_view(buffer, min(8, depth - d))[begin[live] + d]
         if word.shape[1] < 8:
             word = np.concatenate([word, np.zeros((len(word), 8 - word.shape[1]), np.uint8)], axis=1)
         digit = np.ascontiguousarray(word).view(">u8").ravel().astype(np.uint64)

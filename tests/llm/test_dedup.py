@@ -442,3 +442,17 @@ def test_filtered_rows_keep_columns_of_any_name(spark):
         assert none.count() == 0 and every.count() == 200
     finally:
         common.FILTER_WORDS = before
+
+
+def test_windows_are_sorted_in_little_more_than_their_numbers():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 20_000, dtype=np.uint8).tobytes()
+    bodies, n = [text] * 10, np.full(10, len(text) - 99)
+    tracemalloc.start()
+    row, window = suffix_dedup.repeated_windows(np.zeros(10, np.int64), np.full(10, 30_000), n, bodies, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(row.tolist(), window.tolist(), strict=True)) == [(r, w) for r in range(1, 10) for w in range(len(text) - 99)]
+    assert peak < 130 * int(n.sum())

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -149,3 +150,18 @@ def test_packing_on_odd_documents(spark):
     assert sorted(r.ids_crc32 for r in digest) == sorted(zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in rows)
     assert packing.pack(empty(spark), WORDS, 128, 2).count() == 0
     assert packing.pack(docs.where("text is null"), WORDS, 128).count() == 0
+
+
+@pytest.mark.parametrize("digest", [False, True])
+def test_packed_blocks_are_shown_by_parts(monkeypatch, digest):
+    monkeypatch.setattr(packing, "SHOWN", 300)
+    lengths = np.array([5, 700, 0, 128, 33, 90, 1, 260] * 9)
+    ids = np.arange(int(lengths.sum()), dtype=np.uint32)
+    pieces = packing.balance(lengths, 128)
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    parts = list(packing.shown(pa.array(range(len(lengths))), ids, lengths, pieces, 7, digest, names))
+    assert len(parts) > 5 and all(sum(p.column(2).to_pylist()) < 300 + 128 for p in parts)
+    at = np.append(0, np.cumsum(lengths))
+    cut = [ids[at[d] + s : at[d] + s + n] for d, s, n, _, _ in pieces]
+    rows = [tuple(r.values()) for r in pa.Table.from_batches(parts).to_pylist()]
+    assert rows == [(d, s, n, zlib.crc32(x.tobytes()) if digest else x.tolist(), lengths[d], q + 7, o) for (d, s, n, q, o), x in zip(pieces, cut, strict=True)]
