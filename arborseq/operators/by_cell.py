@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.shipping import ship
@@ -23,10 +24,12 @@ def by_cell(df: DataFrame, order: list[str], fn: Callable[[Columns], dict], sche
     """Apply ``fn`` to runs of complete cells, sorted by cell and ``order``.
 
     One exchange by cell; a task holds about ``_TARGET`` rows at a time, or one cell if that is larger, so the cost of a
-    call is shared by many small cells.
+    call is shared by many small cells.  The exchange is by the cell's hash, not by the column: that of a column which
+    rows are already dealt out by is left out, and as nothing that Spark knows of needs it here, partitions are then
+    coalesced on each side of a union for itself, or split, so a cell's rows end up in different tasks.
     """
     ship(df.sparkSession)
-    rows = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell).sortWithinPartitions(cell, *order)
+    rows = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(cell)).sortWithinPartitions(cell, *order)
     schema = rows.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     kinds = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
 
