@@ -68,22 +68,53 @@ def draw_without_replacement(scores: np.ndarray, u: np.ndarray) -> np.ndarray:
     A row draws the first column whose cumulated weight exceeds its number; a row without weight left is uniform over
     what is left.  All trials take a row's draw together.
     """
-    trials, n = u.shape
+    return _draws(scores[None], u[None])[0]
+
+
+def _draws(scores: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """``draw_without_replacement`` for many branches of one length: scores (branch, row, column), numbers and results (branch, trial, row)."""
+    branches, trials, n = u.shape
     weights = np.where(np.isfinite(scores) & (scores > 0), scores, 0.0)
-    free = np.ones((trials, n), dtype=bool)
-    out = np.zeros((trials, n), dtype=np.int32)
-    every = np.arange(trials)
+    free = np.ones((branches, trials, n), dtype=bool)
+    out = np.zeros((branches, trials, n), dtype=np.int32)
+    b, t = np.ogrid[:branches, :trials]
     for i in range(n):
-        p = np.where(free, weights[i], 0.0)
-        total = p.sum(axis=1, keepdims=True)
+        p = np.where(free, weights[:, i, None], 0.0)
+        total = p.sum(axis=2, keepdims=True)
         p = np.where(total > 0, p, free)
-        reached = np.cumsum(p / p.sum(axis=1, keepdims=True), axis=1) > u[:, i : i + 1]
-        last = n - 1 - (p[:, ::-1] > 0).argmax(axis=1)
-        out[:, i] = np.where(reached.any(axis=1), np.minimum(reached.argmax(axis=1), last), last)
-        free[every, out[:, i]] = False
+        reached = np.cumsum(p / p.sum(axis=2, keepdims=True), axis=2) > u[:, :, i, None]
+        last = n - 1 - (p[:, :, ::-1] > 0).argmax(axis=2)
+        out[:, :, i] = np.where(reached.any(axis=2), np.minimum(reached.argmax(axis=2), last), last)
+        free[b, t, out[:, :, i]] = False
     return out
 
 
+#: Entries of matrices and draws that are worked on at once, about.
+ENTRIES = 2_000_000
+
+
+def _permuted(scores: pa.ListArray, draws: pa.ListArray, invert: bool) -> pa.ListArray:
+    """For each branch a permutation for each trial: branches of one length together."""
+    n, trials, rows, lines = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (scores, draws, scores.flatten(), draws.flatten()))
+    if not np.array_equal(rows, np.repeat(n, n)) or not np.array_equal(lines, np.repeat(n, trials)):
+        raise ValueError("a score matrix doesn't fit its branch")
+    m, u = (x.flatten().flatten().to_numpy(zero_copy_only=False) for x in (scores, draws))
+    first, begin = np.cumsum(n * n) - n * n, np.cumsum(trials * n) - trials * n
+    out = np.zeros(len(u), dtype=np.int32)
+    order = np.lexsort((trials, n))
+    for like in np.split(order, np.flatnonzero(np.diff(n[order]) | np.diff(trials[order])) + 1):
+        k, t = (int(x[like[0]]) if len(like) else 0 for x in (n, trials))
+        if not k * t:
+            continue
+        most = max(1, ENTRIES // (k * (k + t)))
+        for some in np.split(like, range(most, len(like), most)):
+            at = begin[some, None] + np.arange(t * k)
+            p = _draws(m[first[some, None] + np.arange(k * k)].reshape(-1, k, k), u[at].reshape(-1, t, k))
+            out[at] = (np.argsort(p, axis=2, kind="stable") if invert else p).reshape(-1, t * k)
+    inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lines)).astype(np.int32)), pa.array(out))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(trials)).astype(np.int32)), inner)
+
+
 def axon(branches: DataFrame, trials: int = 1, seed: int = 0, invert: bool = False) -> DataFrame:
     """Inputs drawn by their score at each place; ``branches`` has ``scores``, a row of the matrix for each element.
 
@@ -94,14 +125,7 @@ def axon(branches: DataFrame, trials: int = 1, seed: int = 0, invert: bool = Fal
 
     def permutations(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for s, d in zip(batch.column("scores").to_pylist(), batch.column("_draws").to_pylist(), strict=True):
-                m, draws = np.array(s, dtype=float).reshape(len(s), -1), np.array(d, dtype=float).reshape(len(d), -1)
-                if m.shape[0] != draws.shape[1] or m.size and m.shape[0] != m.shape[1]:
-                    raise ValueError("a score matrix doesn't fit its branch")
-                p = draw_without_replacement(m, draws)
-                out.append((np.argsort(p, axis=1, kind="stable") if invert else p).tolist())
-            yield batch.drop_columns(["scores", "_draws"]).append_column("_perms", pa.array(out, pa.list_(pa.list_(pa.int32()))))
+            yield batch.drop_columns(["scores", "_draws"]).append_column("_perms", _permuted(batch.column("scores"), batch.column("_draws"), invert))
 
     every = F.sequence(F.lit(0), F.lit(trials - 1))
     draws = F.transform(every, lambda t: F.transform("seq", lambda e, i: uniform(seed, t, F.col("post_cell"), F.col("branch_id"), i, "axon")))

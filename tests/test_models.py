@@ -406,3 +406,70 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert status.shuffleStatuses().size() <= held
     assert out.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == before
+
+
+def mixed_branches(spark):
+    rng = random.Random(5)
+    rows = [(b % 3, b // 2, 2 * i, 100 * b + i, rng.choice([0, 1, 2, 3, None]), "A", float(rng.randrange(5)), float(rng.randrange(3)), 1.0) for b in range(24) for i in range(rng.randrange(1, 7))]
+    rows = spark.createDataFrame(rows, "post_cell long, branch_id long, seq_pos int, syn_id long, pre_cell long, cell_type string, x double, y double, z double")
+    known = rows.where("pre_cell > 0")
+    return rows, mixture.path_moments(known.select(F.col("pre_cell").alias("cell_id"), (F.col("syn_id") % 3).alias("path_id"), *"xyz"))
+
+
+def dealt_once(df) -> bool:
+    """Whether branches are shuffled whole, once, and neither joined nor put together again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Repartition") == 1 and plan.count("Join ") == 1 and "Aggregate" not in plan and "Window" not in plan
+
+
+def test_scores_of_nested_branches_equal_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "TAKEN", 7)
+    monkeypatch.setattr(mixture, "SCORED", 20)
+    rows, mix = mixed_branches(spark)
+    got = mixture.with_scores(sequences.nested(rows), mix)
+    assert dealt_once(got)
+    got = {(r.post_cell, r.branch_id, e.syn_id, f.syn_id): s for r in got.collect() for e, row in zip(r.seq, r.scores, strict=True) for f, s in zip(r.seq, row, strict=True)}
+    syn = {(r.post_cell, r.branch_id, r.seq_pos): r.syn_id for r in rows.collect()}
+    want = {(r.post_cell, r.branch_id, syn[r.post_cell, r.branch_id, r.i], syn[r.post_cell, r.branch_id, r.j]): r.score for r in mixture.score_matrix(rows, mix).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want) and any(want.values())
+
+
+def test_branches_of_all_lengths_draw_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(shuffles, "ENTRIES", 40)
+    rng = np.random.default_rng(4)
+    sizes = [1, 5, 3, 0, 5, 2, 3, 3, 7]
+    scores = [np.where(rng.random((n, n)) < 0.3, 0.0, rng.random((n, n))) for n in sizes]
+    u = [rng.random((3, n)) for n in sizes]
+    arrays = [pa.array([m.tolist() for m in x], pa.list_(pa.list_(pa.float64()))) for x in (scores, u)]
+    want = [shuffles.draw_without_replacement(m, d).tolist() if m.size else [[]] * 3 for m, d in zip(scores, u, strict=True)]
+    assert shuffles._permuted(*arrays, False).to_pylist() == want
+    assert shuffles._permuted(*arrays, True).to_pylist() == [np.argsort(np.array(p), axis=1).tolist() for p in want]
+    assert all(sorted(p) == list(range(n)) for n, b in zip(sizes, want, strict=True) for p in b)
+
+
+def test_segment_rows_leave_out_what_is_unknown(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "TAKEN", 7)
+    rows, mix = mixed_branches(spark)
+    rows = rows.withColumn("x", F.when(F.col("syn_id") % 11 != 0, F.col("x")))
+    out = mixture.segment_probs(rows, mix)
+    assert dealt_once(out) and dict(out.dtypes)["seg"] == "int"
+    want, branches = set(), {}
+    for r in rows.collect():
+        branches.setdefault((r.post_cell, r.branch_id), []).append(r)
+    for k, b in branches.items():
+        b.sort(key=lambda r: r.seq_pos)
+        if len(b) >= 3:
+            want |= {(*k, e.seq_pos, o.seq_pos) for e in b if e.pre_cell for o, p in zip(b, b[1:], strict=False) if o.x is not None and p.x is not None}
+    got = {(r.post_cell, r.branch_id, r.i, r.seg): r.prob for r in out.collect()}
+    assert set(got) == want
+    total = {}
+    for k, p in got.items():
+        total.setdefault(k[:3], []).append(p)
+    assert all(sum(p) <= 1 + 1e-9 for p in total.values()) and any(math.isclose(sum(p), 1) for p in total.values())
+
+
+def test_segments_go_with_whole_branches(spark):
+    rows, mix = mixed_branches(spark)
+    assert dealt_once(mixture.with_segments(sequences.nested(rows), mix))
