@@ -473,3 +473,21 @@ def test_segment_rows_leave_out_what_is_unknown(spark, monkeypatch):
 def test_segments_go_with_whole_branches(spark):
     rows, mix = mixed_branches(spark)
     assert dealt_once(mixture.with_segments(sequences.nested(rows), mix))
+
+
+def test_places_of_many_cells_are_scored_cell_by_cell():
+    """The same sums, in less than a third of the time that fetching components for each place takes."""
+    import time
+
+    rng = np.random.default_rng(1)
+    c = {k: rng.random(600) for k in mixture._NUMBERS}
+    first, n = np.arange(0, 600, 6), np.full(100, 6)
+    n[3] = 0
+    cuts = np.append(0, np.cumsum(rng.integers(0, 4000, 100)))
+    at, row = rng.random((cuts[-1], 3)), np.repeat(np.arange(100), np.diff(cuts))
+    took = []
+    for f in (lambda: mixture._summed(at, row, first, n, c), lambda: mixture._summed_runs(at, cuts, first, n, c)):
+        start = time.process_time()
+        out = f()
+        took.append((time.process_time() - start, out))
+    assert np.allclose(took[0][1], took[1][1], rtol=1e-13, atol=0) and took[1][0] < took[0][0] / 3
